@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quarry.llm.bpe import op3_bpe_codec
+from quarry.llm.chat import SQL_OP7, op7_chat_format
+from quarry.llm.dart_minhash import op10_near_duplicates
+from quarry.llm.decontaminate import SQL_OP4, op4_decontaminate
+from quarry.llm.langid import op6_language_id
+from quarry.llm.line_dedup import SQL_OP1, op1_line_dedup
 from quarry.llm.quality import op9_quality_rules
 from quarry.llm.secrets import op8_secret_scan
 from quarry.llm.token_store import op5_token_store
+from quarry.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op5_token_store, op8_secret_scan, op9_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_toxicity, op3_bpe_codec, op4_decontaminate, op5_token_store, op6_language_id, op7_chat_format, op8_secret_scan, op9_quality_rules, op10_near_duplicates)
+} | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Encoders, trained models and signatures have no SQL twin; their tests hold them against brute force or held-out rows.
+ORACLE_SQL = {"op1_line_dedup": SQL_OP1, "op4_decontaminate": SQL_OP4, "op7_chat_format": SQL_OP7}
