@@ -15,11 +15,13 @@ same file, through a temporary name.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import byte_alphabet
 from quarry.llm.common import arrow_map, fresh_dir, table, text_of, written
 
 MAGIC = b"QRMPH01\n"
@@ -155,30 +158,116 @@ def _key_hashes(key: str, ordinal: str) -> list[Column]:
 # ------------------------------------------------------------------------------------------------ writing
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, cache_pieces: int, width: str):
-    """Ids of one text as bytes. Pre-tokens of this kind of vocabulary hold no white space and depend on nothing
-    beyond it, so a text is encoded as its parts between blanks and line feeds, each part once a worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _latin_symbols() -> tuple[bytes, bytes, dict[int, int]]:
+    """One byte for each byte of lower-case Latin words in UTF-8, and another one where it ends the word."""
+    used = [*range(0x61, 0x7B), *range(0x80, 0xC6)]
+    inner, last = bytearray(256), bytearray(256)
+    for k, b in enumerate(used):
+        inner[b], last[b] = k, len(used) + k
+    return bytes(inner), bytes(last), {b: k for k, b in enumerate(used)}
+
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    cache: dict[str, bytes] = {}
+def latin_ranks(path: str) -> dict[bytes, int] | None:
+    """The tokens of lower-case Latin words as strings of those bytes, with their ids; None unless merging by rank is exact.
+
+    Merging the pair whose token has the least id does what the list of merges says if ids follow that list and every token,
+    taken apart, is put together again by the list: then no two neighbours ever meet that make up a token in another way.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, steps = spec["model"], json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+    known = model["end_of_word_suffix"] == "</w>" and '"Lowercase"' in steps and '"NFC"' in steps and r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in steps
+    if not known:
+        return None
+    inner, last, used = _latin_symbols()
+    of_char = {c: b for b, c in enumerate(byte_alphabet())}
+    vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    rank = {m: k for k, m in enumerate(merges)}
+    ids = [vocab[a + b] for a, b in merges]
+    if ids != sorted(ids):
+        return None
+    out = {}
+    for token, i in vocab.items():
+        ends = token.endswith("</w>")
+        b = [of_char.get(c, -1) for c in (token[:-4] if ends else token)]
+        if not b or any(x not in used for x in b):
+            continue
+        parts = list(token[:-4] if ends else token)
+        if ends:
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), len(rank)))
+            if (parts[k], parts[k + 1]) not in rank:
+                return None
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        x = bytes(b)
+        out[x[:-1].translate(inner) + (x[-1:].translate(last) if ends else x[-1:].translate(inner))] = i
+    return out
+
+
+class PieceEncoder:
+    """Ids of texts as bytes. Pre-tokens of this kind of vocabulary hold no white space and depend on nothing beyond it, so
+    a text is encoded as its pieces between blanks and line feeds. The ids of pieces are kept in two generations: a piece
+    that is met again moves into the young one, and when that is full the old one goes. New pieces that are a Latin word and
+    signs behind it are merged by rank where that is exact; the tokenizers library encodes the rest.
+    """
 
-    def encode(text: str) -> bytes:
+    def __init__(self, path: str, width: str, ranks: dict[bytes, int] | None, generation: int = 500_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.code, self.generation = {"<u2": "H", "<u4": "I"}[width], generation
+        self.inner, self.last, _ = _latin_symbols()
+        self.merge = tiktoken.Encoding("latin", pat_str="", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece if ranks else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        rest, young, merge = [], self.young, self.merge
+        for piece in new:
+            word = piece.rstrip(".,;:!?*$%&#")
+            if merge and word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                tail = piece[len(word) :]
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails = {"": b""}
+                    self.tails[tail] = self._encode([tail])[0]
+                b = word.lower().encode()
+                young[piece] = array(self.code, merge(b[:-1].translate(self.inner) + b[-1:].translate(self.last))).tobytes() + self.tails[tail]
+            else:
+                rest.append(piece)
+        if rest:
+            young.update(zip(rest, self._encode(rest), strict=True))
+
+    def __call__(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
-        if new := set(pieces).difference(cache):
-            if len(cache) + len(new) > cache_pieces:
-                cache.clear()
+        if new := set(pieces).difference(self.young):
+            if len(self.young) > self.generation:
+                self.old, self.young = self.young, {}
                 new = set(pieces)
-            new = list(new)
-            for piece, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[piece] = np.array(e.ids, width).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+            if again := {p: self.old[p] for p in new if p in self.old}:
+                self.young.update(again)
+                new = new.difference(again)
+            self.learn(list(new))
+        return b"".join(map(self.young.__getitem__, pieces))
+
+
+_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+
 
-    return encode
+def _encoder(path: str, width: str, ranks: dict[bytes, int] | None) -> PieceEncoder:
+    """One encoder a worker process and file."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = PieceEncoder(path, width, ranks)
+    return _ENCODERS[path, width]
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", keys_per_bucket: int = 200_000, root: str | None = None) -> dict:
@@ -193,11 +282,12 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id) < 65536 else "<u4"
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([end_id], width).tobytes()
+    sent = spark.sparkContext.broadcast(latin_ranks(tokenizer_path))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, number = _encoder(tokenizer_path, 400_000, width), TaskContext.get().partitionId()
+        encode, number = _encoder(tokenizer_path, width, sent.value), TaskContext.get().partitionId()
         rows: list[pa.RecordBatch] = []
 
         def chunks() -> Iterator[bytes]:
