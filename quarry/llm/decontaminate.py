@@ -1,12 +1,12 @@
 """Operator 4: benchmark decontamination over a positional inverted index (DataFrame functions only).
 
 A posting is a document, a position and a term. Of every benchmark window (ten words in a row, or a shorter item as a
-whole) the rarest term of the corpus is looked up; its postings, moved by the term's place in the window, are the only
-places where the window can stand, and the lists of the window's other terms are intersected there, read off the
-document's own words. Postings are drawn and looked up inside the scan: no list of a frequent term is ever shuffled.
+whole) the rarest term of the corpus, by the number of documents that hold it, is looked up; its postings, moved by the term's place in
+the window, are the only places where the window can stand, and the lists of the window's other terms are intersected there, read off
+the document's own words. Postings are drawn inside the scan, for wanted terms alone: no list of a frequent term is ever shuffled.
 
-The look-up table has one row a window. It is broadcast only up to ``broadcast_windows`` rows; beyond that the postings
-meet it in a shuffled join and candidate places are taken back to their documents.
+The wanted terms are a set in the plan up to ``most_terms`` of them. Beyond that all postings meet the terms in a shuffled
+join and candidate places are taken back to their documents.
 
 Edge cases: null and empty texts have no words and no hits; an item without words has no window; items with the same id
 count once; a null item id is written as the empty string; documents are told apart by key and text, so that repeated keys with different texts each
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table, text_of, written
 
-#: Fixed: what a word is, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed: what stands between words, after A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 
 
@@ -34,7 +34,7 @@ def _low(text: str) -> Column:
 
 
 def words(text: str = "text") -> Column:
-    return F.regexp_extract_all(_low(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(_low(text), GAP), "")
 
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -49,27 +49,49 @@ def _postings(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, F.posexplode("words").alias("pos", "term"))
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", broadcast_windows: int = 200_000) -> DataFrame:
-    """``key, fingerprint, start, n, window_id``: every place where a window stands in a document."""
-    d = docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("fingerprint"), words(text).alias("words"))
+def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), words(text).alias("words"))
+
+
+def rarest_terms(d: DataFrame, windows: DataFrame, most_terms: int) -> DataFrame:
+    """``term, place, window_id, window``: of each window the term that the fewest documents hold, and its place."""
     distinct = windows.select("window_id", "window").dropDuplicates(["window_id"])
     terms = distinct.select(F.explode("window").alias("term")).distinct()
-    small = distinct.count() <= broadcast_windows
-    hint = F.broadcast if small else (lambda x: x)
-    frequency = _postings(d, ()).select("term").join(hint(terms), "term").groupBy("term").agg(F.count("*").alias("n_postings"))
-    # Rarest first; a term without a posting ends its window's search before it begins.
+    wanted = [r["term"] for r in terms.limit(most_terms + 1).collect()]
+    if len(wanted) <= most_terms:
+        held = d.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(wanted)))).alias("term"))
+    else:
+        held = d.select(F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left_semi")
+    frequency = held.groupBy("term").agg(F.count("*").alias("n"))
+    # A term that no document holds ends its window's search before it begins.
     placed = distinct.select("window_id", "window", F.posexplode("window").alias("place", "term")).join(frequency, "term", "left")
-    rarest = placed.groupBy("window_id").agg(F.min(F.struct(F.coalesce("n_postings", F.lit(0)).alias("n"), "place", "term")).alias("r"), F.first("window").alias("window"))
-    anchors = written(rarest.where(F.col("r.n") > 0).select(F.col("r.term").alias("term"), F.col("r.place").alias("place"), "window_id", "window"), "anchors")
+    rarest = placed.groupBy("window_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term")).alias("r"), F.first("window").alias("window"))
+    return written(rarest.where(F.col("r.n") > 0).select(F.col("r.term").alias("term"), F.col("r.place").alias("place"), "window_id", "window"), "anchors")
+
+
+def find_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", most_terms: int = 20_000) -> DataFrame:
+    """``k, f, n_words, rows, start, n, window_id``: every place where a window stands in a document.
+
+    ``k``: the key, ``f``: a hash of the text. For every document there is also one row that counts, in ``rows``, as 1 and has no place.
+    """
+    d = _documents(docs, key, text)
+    anchors = rarest_terms(d, windows, most_terms)
+    wanted = [r["term"] for r in anchors.select("term").distinct().limit(most_terms + 1).collect()]
     start = F.col("pos") - F.col("place")
-    stands = (start >= 0) & (F.slice("words", start + 1, F.size("window")) == F.col("window"))
-    if small:
-        hits = _postings(d, ("k", "fingerprint", "words")).join(F.broadcast(anchors), "term").where(F.when(start >= 0, stands).otherwise(False))
-    else:
-        places = _postings(d, ("k", "fingerprint")).join(anchors, "term").where(start >= 0).select("k", "fingerprint", "pos", "place", "window_id", "window").distinct()
-        same = places["k"].eqNullSafe(d["k"]) & (places["fingerprint"] == d["fingerprint"])
-        hits = places.join(d.dropDuplicates(["k", "fingerprint"]), same).where(stands).select(places["k"], places["fingerprint"], "pos", "place", "window_id", "window")
-    return hits.select(F.col("k").alias(key), "fingerprint", start.alias("start"), F.size("window").alias("n"), "window_id").distinct()
+    stands = F.when(start >= 0, F.slice("words", start + 1, F.size("window")) == F.col("window")).otherwise(False)
+    n_words = F.size("words").cast("long").alias("n_words")
+    if len(wanted) <= most_terms:
+        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(wanted))
+        places = F.when(F.size("words") > 0, places).otherwise(F.array().cast("array<int>")) if wanted else F.array().cast("array<int>")
+        at = d.select("k", "f", n_words, "words", F.explode(F.concat(F.array(F.lit(-1)), places)).alias("pos")).withColumn("at", F.get("words", F.col("pos")))
+        met = at.join(F.broadcast(anchors) if anchors.count() <= 10 * most_terms else anchors, at["at"] == anchors["term"], "left")
+        hit = stands & (F.col("pos") >= 0)
+        return met.where((F.col("pos") < 0) | hit).select("k", "f", "n_words", F.when(F.col("pos") < 0, 1).otherwise(0).alias("rows"), F.when(hit, start).alias("start"), F.when(hit, F.size("window")).alias("n"), F.when(hit, F.col("window_id")).alias("window_id"))
+    places = _postings(d, ("k", "f")).join(anchors, "term").where(start >= 0).select("k", "f", "pos", "place", "window_id", "window").distinct()
+    once = d.dropDuplicates(["k", "f"])
+    hits = places.join(once, places["k"].eqNullSafe(once["k"]) & (places["f"] == once["f"])).where(stands)
+    hits = hits.select(places["k"], places["f"], n_words, F.lit(0).alias("rows"), start.alias("start"), F.size("window").alias("n"), "window_id")
+    return d.select("k", "f", n_words, F.lit(1).alias("rows"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("window_id")).unionByName(hits)
 
 
 def _covered(spans: Column) -> Column:
@@ -83,17 +105,18 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", size: int = WINDOW, broadcast_windows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", size: int = WINDOW, most_terms: int = 20_000) -> DataFrame:
     """``key, fingerprint, n_words, n_hit, items array<string>`` of every document."""
     windows = written(benchmark_windows(items, item, size=size), "windows")
-    hits = find_windows(docs, windows, key, text, broadcast_windows)
-    of_doc = hits.groupBy(key, "fingerprint").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"), F.collect_set("window_id").alias("ids"))
-    of_doc = written(of_doc.select(F.col(key).alias("k"), F.col("fingerprint").alias("f"), _covered(F.col("spans")).cast("long").alias("n_hit"), "ids"), "hits")
+    found = find_windows(docs, windows, key, text, most_terms)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "n"))
+    of_doc = found.groupBy("k", "f").agg(F.first("n_words").alias("n_words"), F.sum("rows").cast("int").alias("rows"), F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("window_id").alias("ids"))
+    of_doc = written(of_doc.select("k", "f", "n_words", "rows", _covered(F.col("spans")).cast("long").alias("n_hit"), "ids"), "hits")
     owners = of_doc.select("k", "f", F.explode("ids").alias("window_id")).join(windows.select("window_id", "item"), "window_id").select("k", "f", "item").distinct()
     named = owners.groupBy(F.col("k").alias("k2"), F.col("f").alias("f2")).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = of_doc.drop("ids").join(named, F.col("k").eqNullSafe(F.col("k2")) & (F.col("f") == F.col("f2"))).select("k", "f", "n_hit", "items")
-    base = docs.select(F.col(key), F.xxhash64(text_of(text)).alias("fingerprint"), F.regexp_count(_low(text), F.lit(WORD)).cast("long").alias("n_words"))
-    return base.join(found, base[key].eqNullSafe(found["k"]) & (base["fingerprint"] == found["f"]), "left").select(key, "fingerprint", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = of_doc.drop("ids").join(named, F.col("k").eqNullSafe(F.col("k2")) & (F.col("f") == F.col("f2")), "left")
+    out = out.select(F.col("k").alias(key), F.col("f").alias("fingerprint"), "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.sequence(F.lit(1), "rows")).alias("row"))
+    return out.drop("row")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n_terms: int = 4, within: int = 20) -> DataFrame:
@@ -103,7 +126,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     blocks of ``within`` words, so that only places near each other meet.
     """
     w = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.explode(F.array_distinct(words(text))).alias("term")).distinct()
-    d = docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("fingerprint"), words(text).alias("words"))
+    d = _documents(docs, key, text).withColumnRenamed("f", "fingerprint")
     frequency = _postings(d, ()).select("term").join(w.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
     ranked = w.join(frequency, "term", "left").groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))), 1, n_terms).alias("t"))
     wanted = ranked.select("item", F.size("t").alias("needed"), F.posexplode("t.term").alias("rank", "term"))
@@ -123,7 +146,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents in which no window of an item stands, with their own columns."""
     windows = written(benchmark_windows(items, item), "windows")
-    hit = find_windows(docs, windows, key, text).select(F.col(key).alias("__k"), F.col("fingerprint").alias("__f")).distinct()
+    hit = find_windows(docs, windows, key, text).where(F.col("start").isNotNull()).select(F.col("k").alias("__k"), F.col("f").alias("__f")).distinct()
     return docs.join(hit, docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(text_of(text)) == hit["__f"]), "left_anti")
 
 
