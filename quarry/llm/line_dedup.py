@@ -4,8 +4,9 @@ A line goes if an earlier line (by document key, then position) is equal to it o
 deleted or replaced. Only lines of ``min_chars`` characters or more take part.
 
 Equal lines meet by hash. Of the different lines, only those go on that share an exact half with another line of the same
-length or one more: one edit cannot touch both halves, so nothing is lost, and few lines are left. Those emit their deletion variants as hashed
-keys: the line itself, the line without each one character, and the same again with the place of the missing character.
+length or one more: one edit cannot touch both halves. Of these, only those go on that share all but one of ``PIECES`` pieces, again
+because one edit touches one piece; so nothing is lost, and few lines are left. Those emit their deletion variants, for the characters of
+the piece in question, as hashed keys: the line itself, the line without one character, and the same again with the place of the missing character.
 Lines that are equal without the character of the same place differ by a replacement at most; a line that equals another without
 some character is one deletion away. So within each key it is enough to compare with the earliest line of the
 other kind (or of the same place): keys are grouped with a minimum, and no pairs are formed within a group. The edit distance of
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, table, text_of, written
 
 MIN_CHARS = 20
+PIECES = 8
 U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64: hashes of a line without a character come from running sums.
 BASE = U64(0x9E3779B97F4A7C15)
@@ -65,21 +67,44 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([whole, shorter]), place
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """``key, kind, h, g``: kind 0 the line itself, 1 without a character, 2 without the character of a certain place."""
+def _pieces(line: Column) -> Column:
+    """For the line as one of its own length and as one of a character less: a key of all but one piece, for each piece."""
+    out = []
+    for less in (0, 1):
+        length = F.length(line) - less
+        for k in range(PIECES):
+            a, b = (F.floor(length * j / PIECES).cast("int") for j in (k, k + 1))
+            key = F.xxhash64(length, F.lit(k), F.left(line, a), F.lit("|"), F.right(line, length - b))
+            out.append(F.struct(key.alias("key"), F.lit(less).alias("less"), F.lit(k).alias("piece")))
+    return F.array(*out)
+
+
+def _variants(asked: DataFrame) -> DataFrame:
+    """``key, kind, own``: kind 0 the line itself, 1 without a character, 2 without the character of a certain place.
+
+    ``asked``: ``own, line, less, piece``; a line as one of its own length gives itself and kind 2, else kind 1.
+    """
 
     def make():
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [variant_keys(t) for t in b.column("line").to_pylist()]
-            sizes = [len(x) + len(y) for x, y in found]
-            keys = np.concatenate([z for pair in found for z in pair]).view(np.int64)
-            kinds = np.concatenate([np.concatenate([[0], np.ones(len(x) - 1, np.int8), np.full(len(y), 2, np.int8)]) for x, y in found]).astype(np.int8)
-            of = np.repeat(np.arange(len(found)), sizes)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), b.column("h").take(pa.array(of)), b.column("g").take(pa.array(of))], ["key", "kind", "h", "g"])
+            keys, kinds, sizes = [], [], []
+            for line, less, k in zip(*(b.column(c).to_pylist() for c in ("line", "less", "piece")), strict=True):
+                all_keys, placed = variant_keys(line)
+                n = len(placed) - less
+                a, e = n * k // PIECES, n * (k + 1) // PIECES + less
+                own = all_keys[1 + a : 1 + e] if less else np.concatenate([all_keys[:1], placed[a:e]])
+                kind = np.full(len(own), 1 if less else 2, np.int8)
+                if not less:
+                    kind[0] = 0
+                keys.append(own)
+                kinds.append(kind)
+                sizes.append(len(own))
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds)), b.column("own").take(of)], schema=pa.schema([("key", pa.int64()), ("kind", pa.int8()), b.schema.field("own")]))
 
         return each
 
-    return arrow_map(lines.select("h", "g", "line"), make, "key long, kind byte, h long, g int")
+    return arrow_map(asked.select("own", "line", "less", "piece"), make, f"key long, kind byte, own {asked.schema['own'].dataType.simpleString()}")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000) -> DataFrame:
@@ -91,11 +116,14 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     close = written(halves.join(shared, "half", "left_semi").select("h", "g").distinct().join(distinct.drop("halves", "n"), ["h", "g"]), "close")
     hint = F.broadcast if close.count() <= broadcast_rows else (lambda x: x)
     texts = written(lines.select("h", "g", "pos", "line").join(hint(close), ["h", "g", "pos"], "left_semi").dropDuplicates(["h", "g"]), "close-lines")
-    met = _variants(texts).join(texts.select("h", "g", "pos"), ["h", "g"]).select("key", "kind", F.struct("pos", "h", "g").alias("line"))
-    own, other = F.when(F.col("kind") == 0, F.col("line")), F.when(F.col("kind") != 0, F.col("line"))
-    first = met.groupBy("key").agg(F.min(own).alias("whole"), F.min(other).alias("cut"), F.count("*").alias("n")).where("n > 1").drop("n")
-    partner = F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("cut"))
-    pairs = met.join(first, "key").select("line", partner.alias("earlier")).where(F.col("earlier.pos") < F.col("line.pos")).select("line.h", "line.g", F.col("earlier.h").alias("h1"), F.col("earlier.g").alias("g1")).distinct()
+    own = F.struct("pos", "h", "g")
+    placed = texts.select("h", "g", F.explode(_pieces(F.col("line"))).alias("p")).select("h", "g", "p.key", "p.less", "p.piece")
+    several = placed.groupBy("key").agg(F.min(F.struct("h", "g")).alias("low"), F.max(F.struct("h", "g")).alias("high")).where(F.col("low") != F.col("high")).select("key")
+    asked = placed.join(several, "key", "left_semi").select("h", "g", "less", "piece").distinct().join(texts, ["h", "g"]).select(own.alias("own"), "line", "less", "piece")
+    met = written(_variants(asked), "variants")
+    first = met.groupBy("key").agg(F.min(F.when(F.col("kind") == 0, F.col("own"))).alias("whole"), F.min(F.when(F.col("kind") == 1, F.col("own"))).alias("cut"), F.min(F.when(F.col("kind") == 2, F.col("own"))).alias("placed"), F.count("*").alias("n")).where("n > 1").drop("n")
+    partner = F.when(F.col("kind") == 0, F.col("cut")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("placed"))
+    pairs = met.join(first, "key").select("own", partner.alias("earlier")).where(F.col("earlier.pos") < F.col("own.pos")).select("own.h", "own.g", F.col("earlier.h").alias("h1"), F.col("earlier.g").alias("g1")).distinct()
     near = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(texts.select(F.col("h").alias("h1"), F.col("g").alias("g1"), F.col("line").alias("earlier")), ["h1", "g1"])
     near = written(near.where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h", "g").distinct().withColumn("near", F.lit(True)), "near-lines")
     gone = written(distinct.select("h", "g", F.col("pos").alias("first"), "n").join(near, ["h", "g"], "left").where((F.col("n") > 1) | F.col("near")).select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "gone")
