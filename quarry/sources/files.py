@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEXT_SUFFIXES = (".txt", ".md", ".markdown")
 
@@ -16,7 +17,7 @@ def load_files(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("suffix", known)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode(content: pd.Series) -> pd.Series:
     """UTF-8, UTF-16, GB 18030 or Latin-1, the first that fits."""
 
@@ -70,7 +71,7 @@ def evict(cache: DataFrame, most_bytes: int) -> DataFrame:
     return cache.withColumn("total", total).where(F.col("total") <= most_bytes).drop("total")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def vector_from_base64(text: pd.Series) -> pd.Series:
     """Vectors stored as base64 of little-endian 32-bit floats; null where the length does not fit."""
     import base64
