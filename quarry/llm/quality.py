@@ -161,9 +161,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 def quality_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", strata: tuple[str, ...] = ("lang",), max_false_rejection: float = 0.02, error: float = 0.05) -> DataFrame:
     """The documents that stay, with their own columns: levels are learned from the labelled ones, then one pass filters all."""
     labelled = docs.join(labels.where(F.col(label) == 1).select(key).distinct(), key, "left_semi")
-    levels = learn_levels(measure(labelled, (key,), text, strata), labels, key, label, max_false_rejection, error)
+    levels = learn_levels(written(measure(labelled, (key,), text, strata), "quality"), labels, key, label, max_false_rejection, error)
     whole = docs.select(F.struct("*").alias("row"), F.col(text).alias("row_text"), *[F.col(s).alias(f"row_{k}") for k, s in enumerate(strata)])
-    return measure(whole, ("row",), "row_text", tuple(f"row_{k}" for k in range(len(strata)))).where(verdict(levels)).select("row.*")
+    measured = measure(whole, ("row",), "row_text", tuple(f"row_{k}" for k in range(len(strata))))
+    # A filter would be pushed below the measures and work them out again for each time that the verdict names them.
+    return measured.select(F.explode(F.array_repeat("row", F.when(verdict(levels), 1).otherwise(0))).alias("row")).select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
