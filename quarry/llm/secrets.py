@@ -78,14 +78,16 @@ class MarkovPair:
 
     @staticmethod
     def _model(runs: list[str]) -> np.ndarray:
-        """P(third | two), backed off to P(third | one) and to the uniform distribution."""
+        """P(third | two), backed off to P(third | one) and to the frequency of the character."""
         three = np.zeros(SIZE**3)
         for run in runs:
             c = _codes(run)
             np.add.at(three, (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], 1.0)
         three = three.reshape(SIZE, SIZE, SIZE)
         two = three.sum(0)
-        p2 = (two + 0.5) / (two.sum(1, keepdims=True) + 0.5 * SIZE)
+        one = two.sum(0)
+        p1 = (one + 0.1) / (one.sum() + 0.1 * SIZE)
+        p2 = (two + 10.0 * p1[None]) / (two.sum(1, keepdims=True) + 10.0)
         return (three + 4.0 * p2[None]) / (three.sum(2, keepdims=True) + 4.0)
 
     def score(self, run: str) -> float:
