@@ -131,7 +131,9 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 
 def sample_texts(docs: DataFrame, key: str, text: str, n: int) -> list[str]:
     """The texts of the first ``n`` documents by a hash of the key: a bounded sample that any run draws alike."""
-    rows = docs.select(F.xxhash64(F.col(key), F.col(key).isNull()).alias("h"), text_of(text).alias("t")).orderBy("h", "t").limit(n)
+    h = F.xxhash64(F.col(key), F.col(key).isNull()).alias("h")
+    chosen = docs.select(h).orderBy("h").limit(n).distinct()  # keys alone are sorted; texts follow for those chosen
+    rows = docs.select(h, text_of(text).alias("t")).join(F.broadcast(chosen), "h", "left_semi").orderBy("h", "t").limit(n)
     return [r["t"] for r in rows.select("t").collect()]
 
 
