@@ -311,8 +311,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     def make():
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(words(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["h", "label", "words"])
 
-    rows = arrow_map(low.select("h", "label", "t"), make, "h long, label int, words array<string>").collect()
-    return [(set(r["words"]), r["label"]) for r in sorted(rows, key=lambda r: (r["h"], r["words"]))]
+    rows = arrow_map(low.select("h", "label", "t"), make, "h long, label int, words array<string>").toArrow().to_pylist()
+    known: dict[str, str] = {}  # one copy of each word
+    rows = [(r["h"], r["label"], [known.setdefault(w, w) for w in r["words"]]) for r in rows]
+    return [(set(found), y) for _, y, found in sorted(rows, key=lambda r: (r[0], r[2]))]
 
 
 def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, key: str = "doc_id", text: str = "text", cut: float = 0.7, cache_words: int = 400_000) -> DataFrame:
@@ -343,7 +345,7 @@ def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, key: str
     return arrow_map(docs.select(F.col(key).alias("key"), text_of(text).alias("text")), make, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
 
 
-def op2_toxicity(spark: SparkSession, sf_dir: str, per_class: int = 3000) -> DataFrame:
+def op2_toxicity(spark: SparkSession, sf_dir: str, per_class: int = 1200) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_fold("doc_id", 3) != 1)
     held_out = crc_fold("doc_id", 3) == 1
