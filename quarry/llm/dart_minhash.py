@@ -7,10 +7,12 @@ rank chosen so that some ``K ln K`` darts are expected, each marked with one of
 is the signature, and two documents agree in a coordinate with a probability that is their weighted similarity. The work is in proportion to the set plus
 ``K ln K``, not to their product. Bands of the signature are joined.
 
-Documents with equal sets are one class before any joining. Within a band's bucket every class is compared with one
-class of the bucket (the least under an order common to all buckets), by the exact similarity of their sets;
-found links are contracted to components, and further rounds with other orders compare what is still apart. So
-pairs grow with the members of a bucket and never with their square.
+Documents with equal sets are one class before any joining. In each round some classes of a band's bucket are compared with
+all others there, by the exact similarity of their sets, and leave the bucket; links are contracted to components at once. A bucket is done when
+all classes left in it are of one component: then every two classes of it that are still apart have been compared, so that no link is lost. The classes that ask
+lie outside the bucket's largest component, one at first and up to some 2, 8, 32 and so on later. So a group of near copies, which is
+one component after its first round, costs pairs in proportion to its members; only members that are unlike all others are compared with each. Pairs whose
+sketches (six bits of each coordinate) disagree in more coordinates than a pair of the threshold's similarity does but once in ten thousand times are no candidates.
 
 Edge cases: null and empty texts, and texts without a word, have no shingle and are groups of their own; a text of fewer than five
 words has one shingle, all of it; repeated rows and copies share a class; a null key never names a group unless all keys in it
@@ -25,7 +27,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_map, table, text_of, written
@@ -36,6 +38,9 @@ BANDS, ROWS = 24, 5
 #: Ranks below 2**-LOW are one cell; a set of more than K ln K * 2**LOW elements would throw a few darts too many.
 LOW = 16
 
+#: Of each coordinate this many bits go into a sketch; a pair of the threshold's similarity disagrees too often with at most this probability.
+PLANES, SKETCH_LOSS = 6, 1e-4
+
 _WORD = re.compile(r"\w+")
 U64 = np.uint64
 _M1, _M2, _GOLD = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
@@ -165,34 +170,67 @@ def bands(signature: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Six bits of each coordinate, one bit plane after the other, in words of 60 coordinates."""
+    rows = signature.reshape(-1, 60)
+    planes = [((rows >> U64(63 - j)) & U64(1)) << np.arange(60, dtype=np.uint64) for j in range(PLANES)]
+    return np.concatenate([p.sum(axis=1, dtype=np.uint64) for p in planes]).view(np.int64)
+
+
+def most_disagreements(threshold: float, k: int = BANDS * ROWS) -> int:
+    """The least bound on disagreeing coordinates of two sketches that a pair at ``threshold`` exceeds with ``SKETCH_LOSS`` at most."""
+    q = (1 - threshold) * (1 - 2.0**-PLANES)
+    total = 0.0
+    for d in range(k + 1):
+        total += math.comb(k, d) * q**d * (1 - q) ** (k - d)
+        if total >= 1 - SKETCH_LOSS:
+            return d
+    return k
+
+
+def disagreements(a: str, b: str, k: int = BANDS * ROWS) -> Column:
+    """In how many coordinates two sketch columns disagree."""
+    words, total = k // 60, F.lit(0)
+    for w in range(words):
+        differ = F.lit(0).cast("long")
+        for j in range(PLANES):
+            differ = differ.bitwiseOR(F.col(a)[j * words + w].bitwiseXOR(F.col(b)[j * words + w]))
+        total = total + F.bit_count(differ)
+    return total
+
+
 def sign_documents(docs: DataFrame, key: str, text: str, counted: bool) -> DataFrame:
-    """``k, f, class, bands``: class is a digest of the document's set (null without words), f a hash of its text."""
+    """``k, f, class, bands, sketch``: class is a digest of the document's set (null without words), f a hash of its text."""
 
     def make():
         shingler, darts = Shingler(), DartMinHash()
         last: dict[bytes, list] = {}
 
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            classes, rows = [], []
+            classes, rows, sketches = [], [], []
             for t in b.column(2).to_pylist():
                 s, n = shingler(t)
                 if not len(s):
                     classes.append(None)
                     rows.append(None)
+                    sketches.append(None)
                     continue
                 c = xxhash.xxh3_128_digest(s.tobytes() + (n.tobytes() if counted else b""))
                 if c not in last:
                     if len(last) > 2000:
                         last.clear()
-                    last[c] = bands(darts.signature(s, n.astype(float) if counted else None)).tolist()
+                    signature = darts.signature(s, n.astype(float) if counted else None)
+                    last[c] = bands(signature).tolist(), sketch(signature).tolist()
                 classes.append(c)
-                rows.append(last[c])
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["k", "f", "class", "bands"])
+                rows.append(last[c][0])
+                sketches.append(last[c][1])
+            lists = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.binary()), pa.array(rows, lists), pa.array(sketches, lists)], ["k", "f", "class", "bands", "sketch"])
 
         return each
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), text_of(text).alias("t")), make, f"k {kind}, f long, class binary, bands array<long>")
+    return arrow_map(docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), text_of(text).alias("t")), make, f"k {kind}, f long, class binary, bands array<long>, sketch array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], counted: bool) -> float:
@@ -246,19 +284,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, counted: bool = False, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
     """``key, fingerprint, class_id, first_fingerprint``: for each row the least key of its group of near copies.
 
     The group's first document is the one with that key and, among rows with the same key, the ``first_fingerprint`` of its text.
     """
     signed = written(sign_documents(docs, key, text, counted), "signed")
     first = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("f").alias("f")))
-    classes = written(signed.where(F.col("class").isNotNull()).groupBy("class").agg(first.alias("first")), "classes")
+    classes = written(signed.where(F.col("class").isNotNull()).groupBy("class").agg(first.alias("first"), F.any_value("sketch").alias("sketch")), "classes")
     keys = signed.where(F.col("class").isNotNull()).select("class", F.explode("bands").alias("band")).distinct()
     # Only buckets with two classes or more go on.
     shared = keys.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(F.col("low") != F.col("high")).select("band")
     members = written(keys.join(shared, "band"), "members")
-    asked = members.select("class").distinct().join(classes, "class").select("class", F.col("first.k").alias("k1"), F.col("first.f").alias("f1"))
+    asked = members.select("class").distinct().join(classes, "class").select("class", F.col("first.k").alias("k1"), F.col("first.f").alias("f1"), "sketch")
 
     def make():
         shingler = Shingler()
@@ -272,22 +310,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("f", F.xxhash64("t"))
     asked_texts = texts.join(asked, texts["k"].eqNullSafe(asked["k1"]) & (texts["f"] == asked["f1"])).select("class", "t").dropDuplicates(["class"])
     sets = written(arrow_map(asked_texts, make, "class binary, elements binary, counts binary"), "sets")
-    links, roots = None, None
-    for turn in range(rounds):
-        order = F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), F.col("class").alias("class")) if turn else F.struct(F.lit(0).alias("h"), F.col("class").alias("class"))
-        placed = members if roots is None else members.join(roots, members["class"] == roots["node"], "left").select("band", "class", F.coalesce("root", "class").alias("root"))
-        best = placed.groupBy("band").agg(F.min(order)["class"].alias("b"), *([] if roots is None else [F.min("root").alias("r1"), F.max("root").alias("r2")]))
-        if roots is None:
-            pairs = placed.join(best, "band").where(F.col("class") != F.col("b"))
-        else:  # what is already together needs no more comparing
-            best = best.where(F.col("r1") != F.col("r2")).select("band", "b")
-            of_best = roots.withColumnsRenamed({"node": "b", "root": "root_b"})
-            pairs = placed.join(best, "band").join(of_best, "b", "left").where(F.col("root") != F.coalesce("root_b", "b"))
-        pairs = written(pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct(), "pairs")
-        found = _links(pairs, sets, threshold, counted)
-        links = written(found if links is None else links.unionByName(found), "found")
-        roots = components(links)
-    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "first")
+    roots = written(asked.select("class", F.col("class").alias("root"), "sketch"), "roots")
+    waiting, compared, share = members, None, 0
+    while True:
+        placed = waiting.join(roots, "class")
+        parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.min("class").alias("least"))
+        of_band = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.min(F.struct("n", "root", "least"))["least"].alias("first"))
+        of_band = of_band.where(F.col("n") > F.col("main.n")).select("band", F.col("main.root").alias("main"), "first", (F.lit(float(share)) / (F.col("n") - F.col("main.n"))).alias("chance"))
+        drawn = (F.col("root") != F.col("main")) & ((F.xxhash64("class") / 2.0**64 + 0.5) < F.col("chance"))
+        placed = written(placed.join(of_band, "band").select("band", "class", "root", "sketch", (drawn | (F.col("class") == F.col("first"))).alias("asks")), "placed")
+        if placed.isEmpty():
+            break
+        asking = placed.where("asks").select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"))
+        pairs = placed.join(asking, "band").where((F.col("root") != F.col("root_b")) & (disagreements("sketch", "sketch_b") <= most_disagreements(threshold)))
+        pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+        pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        links = _links(pairs, sets, threshold, counted)
+        of_a, of_b = roots.select(F.col("class").alias("a"), F.col("root").alias("ra")), roots.select(F.col("class").alias("b"), F.col("root").alias("rb"))
+        merged = components(links.join(of_a, "a").join(of_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        roots = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("class", F.coalesce("now", "root").alias("root"), "sketch"), "roots")
+        waiting, share = placed.where("NOT asks").select("band", "class"), max(2, share * 4)
+    named = classes.drop("sketch").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
     group = named.groupBy("root").agg(F.min("first").alias("group"))
     named = named.join(group, "root").select("class", F.col("group.k").alias("class_id"), F.col("group.f").alias("first_fingerprint"))
     out = signed.select("k", "f", "class").join(named, "class", "left")
