@@ -12,7 +12,8 @@ all others there, by the exact similarity of their sets, and leave the bucket; l
 all classes left in it are of one component: then every two classes of it that are still apart have been compared, so that no link is lost. The classes that ask
 lie outside the bucket's largest component, one at first and up to some 2, 8, 32 and so on later. So a group of near copies, which is
 one component after its first round, costs pairs in proportion to its members; only members that are unlike all others are compared with each. Pairs whose
-sketches (six bits of each coordinate) disagree in more coordinates than a pair of the threshold's similarity does but once in ten thousand times are no candidates.
+sketches (six bits of each coordinate) disagree in more coordinates than a pair of the threshold's similarity does but once in ten thousand times are no candidates, nor those whose parity maps differ in more bits than
+sets of that similarity have unshared elements.
 
 Edge cases: null and empty texts, and texts without a word, have no shingle and are groups of their own; a text of fewer than five
 words has one shingle, all of it; repeated rows and copies share a class; a null key never names a group unless all keys in it
@@ -40,6 +41,8 @@ LOW = 16
 
 #: Of each coordinate this many bits go into a sketch; a pair of the threshold's similarity disagrees too often with at most this probability.
 PLANES, SKETCH_LOSS = 6, 1e-4
+#: Bits of the parity map that follows them: of each of so many cells, whether the number of elements in it is odd.
+PARITY = 512
 
 _WORD = re.compile(r"\w+")
 U64 = np.uint64
@@ -177,6 +180,27 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return np.concatenate([p.sum(axis=1, dtype=np.uint64) for p in planes]).view(np.int64)
 
 
+def parity(elements: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The parity map of a set, and its size as the last word; with ``counts`` an element stands as often as it occurs."""
+    odd = elements if counts is None else elements[counts % 2 == 1]
+    cells = np.bincount((odd >> U64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.append(np.packbits(cells.astype(np.uint8)).view(np.int64), len(elements) if counts is None else counts.sum())
+
+
+def may_be_near(a: str, b: str, threshold: float, k: int = BANDS * ROWS) -> Column:
+    """Whether two sketch columns leave it open that the sets are near.
+
+    Elements that only one of two sets has are ``(1 - s) / (1 + s)`` of both sizes together at similarity ``s``, and each turns
+    one bit of the parity map: more bits than that differ in no pair at the threshold. This bound is exact.
+    """
+    first, words = PLANES * (k // 60), PARITY // 64
+    bits = F.lit(0)
+    for w in range(first, first + words):
+        bits = bits + F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w]))
+    size = F.col(a)[first + words] + F.col(b)[first + words]
+    return (bits * (1 + threshold) <= size * (1 - threshold) + 1e-6) & (disagreements(a, b, k) <= most_disagreements(threshold, k))
+
+
 def most_disagreements(threshold: float, k: int = BANDS * ROWS) -> int:
     """The least bound on disagreeing coordinates of two sketches that a pair at ``threshold`` exceeds with ``SKETCH_LOSS`` at most."""
     q = (1 - threshold) * (1 - 2.0**-PLANES)
@@ -220,7 +244,7 @@ def sign_documents(docs: DataFrame, key: str, text: str, counted: bool) -> DataF
                     if len(last) > 2000:
                         last.clear()
                     signature = darts.signature(s, n.astype(float) if counted else None)
-                    last[c] = bands(signature).tolist(), sketch(signature).tolist()
+                    last[c] = bands(signature).tolist(), np.append(sketch(signature), parity(s, n if counted else None)).tolist()
                 classes.append(c)
                 rows.append(last[c][0])
                 sketches.append(last[c][1])
@@ -322,7 +346,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         if placed.isEmpty():
             break
         asking = placed.where("asks").select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"))
-        pairs = placed.join(asking, "band").where((F.col("root") != F.col("root_b")) & (disagreements("sketch", "sketch_b") <= most_disagreements(threshold)))
+        pairs = placed.join(asking, "band").where((F.col("root") != F.col("root_b")) & may_be_near("sketch", "sketch_b", threshold))
         pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
         pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
