@@ -28,10 +28,12 @@ def recall_at(ranked: DataFrame, gold: DataFrame, cuts: list[int]) -> DataFrame:
 
 def gram_coverage(evidence: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """Share of the different ``n``-grams of each evidence text that stand in the corpus."""
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    asked = evidence.select("item_id", F.explode(F.array_distinct(grams(tokens(F.col("text")), n))).alias("gram"))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens")
+    distinct_grams = F.explode(F.array_distinct(grams(F.col("tokens"), n))).alias("gram")
+    # Tokens are a column of their own: inside the gram's expression they would be cut anew for every gram.
+    asked = evidence.select("item_id", tokens).select("item_id", distinct_grams)
     wanted = asked.select("gram").distinct()
-    there = corpus.select(F.explode(F.array_distinct(grams(tokens(F.col("text")), n))).alias("gram")).join(wanted, "gram", "left_semi").distinct().withColumn("there", F.lit(1))
+    there = corpus.select(tokens).select(distinct_grams).join(wanted, "gram", "left_semi").distinct().withColumn("there", F.lit(1))
     found = asked.join(there, "gram", "left").groupBy("item_id").agg(F.count("*").alias("n_grams"), F.count("there").alias("n_found"))
     return evidence.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), F.coalesce("n_found", F.lit(0)).alias("n_found"))
 
