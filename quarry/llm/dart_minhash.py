@@ -10,7 +10,7 @@ is the signature, and two documents agree in a coordinate with a probability tha
 Documents with equal sets are one class before any joining. In each round some classes of a band's bucket are compared with
 all others there, by the exact similarity of their sets, and leave the bucket; links are contracted to components at once. A bucket is done when
 all classes left in it are of one component: then every two classes of it that are still apart have been compared, so that no link is lost. The classes that ask
-lie outside the bucket's largest component, one at first and up to some 2, 8, 32 and so on later. So a group of near copies, which is
+lie outside the bucket's largest component, one at first and some 16, 256, 4096 and so on later. So a group of near copies, which is
 one component after its first round, costs pairs in proportion to its members; only members that are unlike all others are compared with each. Pairs whose
 sketches (six bits of each coordinate) disagree in more coordinates than a pair of the threshold's similarity does but once in ten thousand times are no candidates, nor those whose parity maps differ in more bits than
 sets of that similarity have unshared elements.
@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         of_a, of_b = roots.select(F.col("class").alias("a"), F.col("root").alias("ra")), roots.select(F.col("class").alias("b"), F.col("root").alias("rb"))
         merged = components(links.join(of_a, "a").join(of_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         roots = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("class", F.coalesce("now", "root").alias("root"), "sketch"), "roots")
-        waiting, share = placed.where("NOT asks").select("band", "class"), max(2, share * 4)
+        waiting, share = placed.where("NOT asks").select("band", "class"), max(16, share * 16)
     named = classes.drop("sketch").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
     group = named.groupBy("root").agg(F.min("first").alias("group"))
     named = named.join(group, "root").select("class", F.col("group.k").alias("class_id"), F.col("group.f").alias("first_fingerprint"))
