@@ -2,11 +2,12 @@
 
 Two second-order Markov models over characters, one of random strings and one of ordinary words and identifiers, are
 trained from labelled samples. A run of key characters is a secret if its log-likelihood ratio exceeds a threshold that
-held-out ordinary runs stay below. Three fixed patterns (assignments, access keys, hex runs) find what is sure; the models
+one in ``1 / FALSE_POSITIVES`` held-out ordinary runs may pass. Three fixed patterns (assignments, access keys, hex runs) find what is sure; the models
 add spans that overlap none of those.
 
 Labelled samples: ordinary ones are the runs of letters, digits and underscores of at most ``sample_docs`` documents (the first
-by a hash of their key) outside the fixed patterns; random ones are what the fixed patterns find there, and strings drawn
+by a hash of their key) outside the fixed patterns, without the runs that could be keys and look random to models of the words that are
+too short for keys, whatever the alphabet (numbers stay); random ones are what the fixed patterns find there, and strings drawn
 from a generator with a fixed seed over the usual alphabets of keys.
 
 Edge cases: a null or empty text has no spans, and the digests of the empty string; positions count code points; texts are
@@ -42,6 +43,10 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 #: What the models judge.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _WORD = re.compile(r"[A-Za-z0-9_]{4,}")
+_LETTER = re.compile(r"[A-Za-z]")
+
+#: Share of held-out ordinary runs that may score above the threshold.
+FALSE_POSITIVES = 0.001
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(128, np.int64)
@@ -72,9 +77,10 @@ class MarkovPair:
     def __init__(self, random_runs: list[str], ordinary: list[str], seed: int = 7) -> None:
         held = [w for k, w in enumerate(ordinary) if k % 5 == 0]
         self.steps = np.log(self._model(random_runs) / self._model([w for k, w in enumerate(ordinary) if k % 5])).astype(np.float32)
-        #: No held-out ordinary run scores as high; the margin is that of a few characters.
+        #: A share of FALSE_POSITIVES of held-out ordinary runs scores higher at most; the margin is that of a few characters.
         longer = [a + b for a, b in zip(held[::2], held[1::2], strict=False)] + held
-        self.threshold = max(8.0, max((self.score(w) for w in longer if len(w) >= 12), default=0.0) + 3.0)
+        scores = [self.score(w) for w in longer if len(w) >= 12]
+        self.threshold = max(8.0, float(np.quantile(scores, 1 - FALSE_POSITIVES, method="higher")) + 3.0 if scores else 0.0)
 
     @staticmethod
     def _model(runs: list[str]) -> np.ndarray:
@@ -98,19 +104,23 @@ class MarkovPair:
 def train(sample: list[str], seed: int = 7) -> MarkovPair:
     draw = random.Random(seed)
     sets = ["0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[:26] + "0123456789", ALPHABET[26:62]]
-    found, ordinary = [], []
+    found, short, long = [], [], set()
     for text in sample:
         spans, at, rest = base_spans(text), 0, []
         for start, _, end in spans:
             found += [w for w in _RUN.findall(text[start:end])]
             rest.append(text[at : max(at, start)])
             at = max(at, end)
-        ordinary += _WORD.findall(" ".join([*rest, text[at:]]))
-    # Runs that look random by any measure are no ordinary samples: they hold digits between letters of both cases.
-    ordinary = sorted({w for w in ordinary if w.isascii() and not (len(w) >= 16 and re.search(r"\d", w) and re.search(r"[A-Z]", w[1:]) and re.search(r"[a-z]", w))})
+        rest = " ".join([*rest, text[at:]])
+        long.update(_RUN.findall(rest))
+        short += _WORD.findall(_RUN.sub(" ", rest))
+    made = ["".join(draw.choices(draw.choice(sets), k=draw.randint(16, 64))) for _ in range(4000)]
+    short = sorted(set(short))
+    # Runs that could be keys are judged by models of what could not: those that look random are no ordinary samples. Plain numbers are.
+    judge = MarkovPair(made, short) if short else None
+    ordinary = sorted({*short, *(w for run in long if judge is None or not _LETTER.search(run) or judge.score(run) <= 0 for w in _WORD.findall(run))})
     ordinary += [a + b for a, b in zip(ordinary[::3], ordinary[1::3], strict=False)] + [f"{a}_{b}" for a, b in zip(ordinary[::4], ordinary[2::4], strict=False)]
     draw.shuffle(ordinary)
-    made = ["".join(draw.choices(draw.choice(sets), k=draw.randint(16, 64))) for _ in range(4000)]
     return MarkovPair(made + found[:4000], ordinary[:200_000] or ["ordinary_identifier", "another_name"])
 
 

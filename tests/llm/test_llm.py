@@ -231,6 +231,19 @@ def test_op8_base_patterns_and_models(odd, empty):
     assert secrets.find_secrets(empty, models).count() == 0
 
 
+def test_op8_keys_among_the_ordinary_sample_hide_no_others():
+    draw = random.Random(12)
+    sets = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", secrets.ALPHABET[:62]]
+    key = lambda chars, n: "".join(draw.choices(chars, k=n))
+    plain = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.fillna("").tolist()
+    for chars in sets:
+        models = secrets.train(plain + [f"see {key(chars, 20 if len(chars) == 16 else 40)} there" for _ in range(60)])
+        for other in sets:
+            for n in (16, 20, 32, 40):
+                assert sum(models.score(key(other, n)) > models.threshold for _ in range(100)) >= 95
+        assert not any(k == 3 for t in plain for _, k, _ in secrets.spans(t, models))
+
+
 def brute_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
