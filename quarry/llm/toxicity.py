@@ -26,10 +26,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections.abc import Collection
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,7 +157,7 @@ def _rows(batch: list[str], all_windows: bool) -> list[tuple[np.ndarray, np.ndar
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, sweeps: int = 100, seed: int = 3) -> np.ndarray:
     """Linear L2-loss machine by dual coordinate descent; the last feature is the constant one."""
     draw, alpha, w = np.random.default_rng(seed), np.zeros(len(y)), np.zeros(x.shape[1])
-    diagonal, square = 0.5 / cost, (x**2).sum(1)
+    diagonal, square = 0.5 / cost, np.einsum("ij,ij->i", x, x)
     for _ in range(sweeps):
         for i in draw.permutation(len(y)):
             g = y[i] * (w @ x[i]) - 1 + diagonal[i] * alpha[i]
@@ -177,13 +179,13 @@ def _platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[f
     return best[1], best[2]
 
 
-def without_copies(docs: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
+def without_copies(docs: list[tuple[Collection[str], int]]) -> list[tuple[Collection[str], int]]:
     """One document of each group of near copies: in copies of a toxic document any word looks like a witness.
 
     Three min-hashes over the long words of a document; documents that share one are taken for copies.
     """
     for salt in ("a", "b", "c"):
-        first: dict[tuple, tuple[set[str], int]] = {}
+        first: dict[tuple, tuple[Collection[str], int]] = {}
         for k, (found, label) in enumerate(docs):
             long = [w for w in found if len(w) >= 7]
             key = min((zlib.crc32((salt + w).encode()), w) for w in long) if len(long) > 4 else (-k, "")
@@ -234,8 +236,8 @@ def _plain(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}#*%&|<>")
 
 
-def train(docs: list[tuple[set[str], int]], share: float | None = None, landmarks: int = 500, negatives: int = 12000, rounds: int = 3, seed: int = 5) -> SubsequenceMachine | None:
-    """A machine from ``(words, label)`` of documents; None without documents of both labels or without a witness.
+def train(docs: list[tuple[Collection[str], int]], share: float | None = None, landmarks: int = 500, negatives: int = 12000, rounds: int = 3, seed: int = 5) -> SubsequenceMachine | None:
+    """A machine from ``(different words, label)`` of documents; None without documents of both labels or without a witness.
 
     ``share``: of toxic documents where the machine is used; that of ``docs`` by default.
     """
@@ -286,11 +288,16 @@ def train(docs: list[tuple[set[str], int]], share: float | None = None, landmark
         values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
         good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        x = np.concatenate([kernel @ root, np.ones((len(features), 1))], axis=1)
-        w = _svm(x, y, np.concatenate([4.0 * seen, np.full(len(features) - n_pos, 4.0)]))
+        n_neg = len(features) - n_pos
+        x = np.ones((len(features), root.shape[1] + 1))
+        for at in range(0, len(x), 2048):
+            x[at : at + 2048, :-1] = kernel[at : at + 2048] @ root
+        del kernel, features  # no round's arrays stay while the next one's are made
+        w = _svm(x, y, np.concatenate([4.0 * seen, np.full(n_neg, 4.0)]))
         weights = np.zeros(SIZE, np.float32)
         weights[own] = dense.T @ (root @ w[:-1]).astype(np.float32)
         machine = SubsequenceMachine(weights, float(w[-1]))
+        del dense, x
     worst = np.array([machine.margins(d).max() if d else -2.0 for g in kept for d in g], np.float64)
     label = np.array([1.0] * len(kept[0]) + [0.0] * len(kept[1]))
     share = len(toxic) / (len(toxic) + len(clean)) if share is None else share
@@ -298,7 +305,7 @@ def train(docs: list[tuple[set[str], int]], share: float | None = None, landmark
     return machine
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> list[tuple[set[str], int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> list[tuple[Collection[str], int]]:
     """At most ``per_class`` documents of each label, the first by a hash of their key, as their different words."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64(F.col(key), F.lit("toxicity"))
@@ -311,10 +318,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     def make():
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(words(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["h", "label", "words"])
 
-    rows = arrow_map(low.select("h", "label", "t"), make, "h long, label int, words array<string>").toArrow().to_pylist()
-    known: dict[str, str] = {}  # one copy of each word
-    rows = [(r["h"], r["label"], [known.setdefault(w, w) for w in r["words"]]) for r in rows]
-    return [(set(found), y) for _, y, found in sorted(rows, key=lambda r: (r[0], r[2]))]
+    rows = arrow_map(low.select("h", "label", "t"), make, "h long, label int, words array<string>").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return []
+    found = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
+    known, number = found.dictionary.to_pylist(), found.indices.to_numpy()  # one copy of each word
+    ends = np.cumsum(pc.list_value_length(rows["words"]).to_numpy())
+    h, label = rows["h"].to_pylist(), rows["label"].to_pylist()
+    out = [(h[k], [known[i] for i in part], label[k]) for k, part in enumerate(np.split(number, ends[:-1]))]
+    return [(tuple(own), y) for _, own, y in sorted(out)]
 
 
 def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, key: str = "doc_id", text: str = "text", cut: float = 0.7, cache_words: int = 400_000) -> DataFrame:
@@ -345,7 +357,7 @@ def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, key: str
     return arrow_map(docs.select(F.col(key).alias("key"), text_of(text).alias("text")), make, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
 
 
-def op2_toxicity(spark: SparkSession, sf_dir: str, per_class: int = 1200) -> DataFrame:
+def op2_toxicity(spark: SparkSession, sf_dir: str, per_class: int = 3000) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_fold("doc_id", 3) != 1)
     held_out = crc_fold("doc_id", 3) == 1

@@ -302,6 +302,18 @@ def test_op2_finds_disguised_words(spark, odd, empty):
     assert toxicity.score_toxicity(empty, machine).count() == 0 and toxicity.train([]) is None
 
 
+def test_op2_reads_enough_for_what_one_toxic_document_in_two_hundred_holds(spark, tmp_path, monkeypatch):
+    docs = [(k, f"plain words {k} " + ("stone" if k % 2 else "quimbat" if k % 400 == 0 else "zorgol"), k % 2 ^ 1) for k in range(10_000)]
+    spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([d[::2] for d in docs], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read = []
+    monkeypatch.setattr(toxicity, "train", lambda sample, share: read.extend(sample))
+    toxicity.op2_toxicity(spark, str(tmp_path))
+    toxic, clean = ([sorted(d) for k, (d, y) in enumerate(x for x in read if x[1] == label) if k % 5] for label in (1, 0))
+    assert {w for w, _ in toxicity.witnesses(toxic, clean, 2500)} >= {"quimbat", "zorgol"}
+    assert all(len(set(d)) == len(d) == 4 for d in toxic)
+
+
 def test_pipeline_keeps_the_columns(spark):
     import corpus_pipeline
 
