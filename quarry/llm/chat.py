@@ -83,12 +83,17 @@ def format_conversations(conversations: DataFrame, key: str = "conv_id", turn: s
     return whole.select(F.col("key").alias(key), "n_turns", proven.alias("formatted"), "loss_spans")
 
 
+def masked_texts(formatted: Column, loss_spans: Column) -> Column:
+    """The texts under the loss mask, unescaped."""
+    return F.transform(loss_spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(probe).alias("text")) for k, r in enumerate(("user", "assistant"))])).alias("row")).select("row.*")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = format_conversations(rows).select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    back = format_conversations(rows).select("conv_id", "formatted", "loss_spans", parse(F.col("formatted")).alias("turns"))
+    said = F.array_join(masked_texts(F.col("formatted"), F.col("loss_spans")), "")
     back = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("all"), said.alias("said"), F.length("formatted").cast("long").alias("formatted_chars"))
     return back.select("conv_id", "n_turns", F.sha2("all", 256).alias("turns_sha256"), F.length("said").cast("long").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"), "formatted_chars")
 

@@ -221,6 +221,18 @@ def test_op7_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_op7_digests_what_the_loss_mask_covers(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    kept = chat.format_conversations
+    said = lambda: {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.op7_chat_format(spark, d).collect()}
+    right = said()
+    own = "<|im_end|><|im_start|>assistant ok"
+    assert right[-1] == (len(own), hashlib.sha256(own.encode()).hexdigest())
+    shifted = F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["end"].alias("end")))
+    monkeypatch.setattr(chat, "format_conversations", lambda rows: kept(rows).withColumn("loss_spans", shifted))
+    assert all(v[0] > right[k][0] for k, v in said().items() if right[k][0])
+
+
 def test_op8_base_patterns_and_models(odd, empty):
     t = "password = 'abcdef12' AKIA" + "A1" * 10 + " " + "0a" * 14 + " token:abc ſecret=aaaaaaaa KEY api_key=\"Zz9+/=\""
     assert [k for _, k, _ in secrets.base_spans(t)] == [0, 1, 2, 0]
