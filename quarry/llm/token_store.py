@@ -4,11 +4,13 @@ Documents are dealt out by ranges of their key and sorted, so that shard after s
 A shard is nothing but raw little-endian ids (two bytes each where the vocabulary allows it, else four). The index is
 split into buckets by key hash. A bucket file holds a minimal perfect hash over its keys: a cascade of bit arrays in
 which each key owns one bit of the first array where nothing else hashes to; the rank of that bit is the key's slot,
-and the slot stores a fingerprint, the shard, the offset and the length. A lookup so reads a fixed number of words,
-whatever the size of the corpus, and a stored fingerprint tells unknown keys apart.
+and the slot stores a fingerprint, the shard, the offset and the length. Every 512 bits carry the rank before them, so that the
+lookup of a key reads the head, one such block of each array up to its own and one slot, whatever the size of the corpus, and the stored
+fingerprint tells unknown keys apart. Where many keys of a bucket are asked for at once its file is read once instead.
 
 Edge cases: a null text is empty and holds the end id alone; a null key sorts first; rows with the same key stand
-next to each other (ordered by text) and get the ordinals 0, 1, ... under which the index holds each of them; an empty table gives no
+next to each other (ordered by a hash of the text, then as they were read), may fill several shards, and get the ordinals 0, 1, ...
+under which the index holds each of them; texts of any length are encoded whole; an empty table gives no
 shards and an empty result; columns other than the key and the text are not read. A repeated task writes the same bytes over the
 same file, through a temporary name.
 """
@@ -17,25 +19,26 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
+import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import byte_alphabet
-from quarry.llm.common import arrow_map, fresh_dir, table, text_of, written
+from quarry.llm.bpe import SIGNS, BulkEncoder, TwoGenerations, in_blocks
+from quarry.llm.common import arrow_map, fresh_dir, qualified, table, text_of, written
 
-MAGIC = b"QRMPH01\n"
+MAGIC = b"QRMPH02\n"
 #: Bits of a level for each key that is still without one.
 GAMMA = 2.0
+#: 64-bit words of a block of the index; a block is led by the rank before it.
+BLOCK_WORDS = 8
 U64 = np.uint64
 
 
@@ -43,17 +46,20 @@ U64 = np.uint64
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The file system of a path with a scheme, as :func:`qualified` gives it, and the path there."""
+    return fs.FileSystem.from_uri(uri)
 
 
 def _write_file(uri: str, chunks: Iterator[bytes]) -> None:
     """Writes under a name of this attempt, then moves: readers see whole files only."""
     store, path = _store(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
-    attempt = f"{path}.{os.getpid()}.tmp"
+    attempt = f"{path}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(attempt) as out:
         for chunk in chunks:
             out.write(chunk)
+    if store.get_file_info(path).type != fs.FileType.NotFound:  # by an earlier attempt, with the same bytes
+        store.delete_file(path)
     store.move(attempt, path)
 
 
@@ -70,43 +76,52 @@ def _mix(h: np.ndarray, step: np.ndarray, level: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Slots 0 .. n-1 for n keys, each key given as two 64-bit hashes."""
+    """Slots 0 .. n-1 for n keys, each key given as two 64-bit hashes.
+
+    A level is a matrix of blocks: the number of bits set before the block, on all levels together, and its words.
+    """
 
     def __init__(self, levels: list[np.ndarray]) -> None:
-        #: each level: its bits as 64-bit words
         self.levels = levels
-        self.ranks, n = [], 0
-        for words in levels:
-            counts = np.bitwise_count(words).astype(np.int64)
-            self.ranks.append(n + np.concatenate([[0], np.cumsum(counts)[:-1]]))
-            n += int(counts.sum())
-        self.n = n
 
     @classmethod
     def build(cls, h: np.ndarray, step: np.ndarray) -> PerfectHash:
-        levels, level = [], 0
+        levels, level, before = [], 0, 0
         while len(h):
             if level > 200:
                 raise ValueError("keys repeat: a perfect hash needs different ones")
-            bits = 64 * max(1, int(np.ceil(GAMMA * len(h) / 64)))
+            blocks = max(1, int(np.ceil(GAMMA * len(h) / (64 * BLOCK_WORDS))))
+            bits = 64 * BLOCK_WORDS * blocks
             at = (_mix(h, step, level) % U64(bits)).astype(np.int64)
             alone = np.bincount(at, minlength=bits) == 1
-            levels.append(np.packbits(alone, bitorder="little").view("<u8"))
+            words = np.packbits(alone, bitorder="little").view("<u8").reshape(blocks, BLOCK_WORDS)
+            inside = np.bitwise_count(words).sum(1).astype(np.int64)
+            rank = before + np.cumsum(inside) - inside
+            levels.append(np.column_stack([rank.astype("<u8"), words]))
+            before += int(inside.sum())
             left = ~alone[at]
             h, step, level = h[left], step[left], level + 1
         return cls(levels)
 
+    @staticmethod
+    def within(block: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of blocks (one a row) and places in them: whether the bit is set, and its rank."""
+        word, inner = (bit >> U64(6)).astype(np.int64), bit & U64(63)
+        own = block[np.arange(len(block)), 1 + word]
+        earlier = np.where(np.arange(BLOCK_WORDS)[None] < word[:, None], np.bitwise_count(block[:, 1:]), 0).sum(1)
+        below = np.bitwise_count(own & ((U64(1) << inner) - U64(1)))
+        return (own >> inner) & U64(1) == 1, block[:, 0].astype(np.int64) + earlier + below
+
     def slots(self, h: np.ndarray, step: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where no level has a bit for it."""
         out, todo = np.full(len(h), -1, np.int64), np.arange(len(h))
-        for level, words in enumerate(self.levels):
+        per = U64(64 * BLOCK_WORDS)
+        for level, blocks in enumerate(self.levels):
             if not len(todo):
                 break
-            at = _mix(h[todo], step[todo], level) % U64(64 * len(words))
-            word, bit = (at >> U64(6)).astype(np.int64), at & U64(63)
-            hit = (words[word] >> bit) & U64(1) == 1
-            below = words[word] & ((U64(1) << bit) - U64(1))
-            out[todo[hit]] = (self.ranks[level][word] + np.bitwise_count(below))[hit]
+            at = _mix(h[todo], step[todo], level) % (per * U64(len(blocks)))
+            hit, rank = self.within(blocks[(at // per).astype(np.int64)], at % per)
+            out[todo[hit]] = rank[hit]
             todo = todo[~hit]
         return out
 
@@ -114,40 +129,71 @@ class PerfectHash:
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("start", "<u8"), ("n", "<u4")])
 
 
+def _fingerprint(step: np.ndarray) -> np.ndarray:
+    return (step >> U64(32)).astype(np.uint32)
+
+
 def _index_bytes(keys: pd.DataFrame) -> bytes:
+    """A bucket file: magic, number of levels and keys, blocks of each level; the levels; the entries by slot."""
     h, step = (keys[c].to_numpy(np.int64).view(U64) for c in ("h", "step"))
     mph = PerfectHash.build(h, step)
     entries = np.zeros(len(keys), ENTRY)
     slot = mph.slots(h, step)
-    entries["print"][slot] = (step >> U64(32)).astype(np.uint32)
+    entries["print"][slot] = _fingerprint(step)
     for c in ("shard", "at", "start", "n"):
         entries[c][slot] = keys[c].to_numpy()
-    head = MAGIC + struct.pack("<IQ", len(mph.levels), mph.n) + b"".join(struct.pack("<Q", len(w)) for w in mph.levels)
-    return head + b"".join(w.astype("<u8").tobytes() for w in mph.levels) + entries.tobytes()
+    head = MAGIC + struct.pack("<IQ", len(mph.levels), len(keys)) + b"".join(struct.pack("<Q", len(b)) for b in mph.levels)
+    return head + b"".join(b.astype("<u8").tobytes() for b in mph.levels) + entries.tobytes()
 
 
 class IndexBucket:
-    """One bucket file, read back."""
+    """One bucket file. Keys are looked up by reading their blocks and slots alone, or after :meth:`load` in memory."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[: len(MAGIC)] != MAGIC:
+    #: Bytes of a block, and of the longest head.
+    BLOCK, HEAD = 8 * (1 + BLOCK_WORDS), len(MAGIC) + 12 + 8 * 256
+
+    def __init__(self, file: pa.NativeFile) -> None:
+        self.file, self.size, self.reads = file, file.size(), 0
+        head = self._read(0, min(self.HEAD, self.size))
+        if head[: len(MAGIC)] != MAGIC:
             raise ValueError("not an index bucket")
-        at = len(MAGIC)
-        n_levels, n = struct.unpack_from("<IQ", data, at)
-        at += 12
-        sizes = struct.unpack_from(f"<{n_levels}Q", data, at)
-        at += 8 * n_levels
-        levels = []
-        for size in sizes:
-            levels.append(np.frombuffer(data, "<u8", size, at))
-            at += 8 * size
-        self.mph, self.entries = PerfectHash(levels), np.frombuffer(data, ENTRY, n, at)
+        n_levels, self.n = struct.unpack_from("<IQ", head, len(MAGIC))
+        self.blocks = struct.unpack_from(f"<{n_levels}Q", head, len(MAGIC) + 12)
+        self.starts = np.cumsum([len(MAGIC) + 12 + 8 * n_levels, *(self.BLOCK * b for b in self.blocks)]).tolist()
+        self.whole: tuple[PerfectHash, np.ndarray] | None = None
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.reads += 1
+        return self.file.read_at(n, at)
+
+    def load(self) -> IndexBucket:
+        data = self._read(0, self.size)
+        levels = [np.frombuffer(data, "<u8", b * (1 + BLOCK_WORDS), at).reshape(b, -1) for b, at in zip(self.blocks, self.starts, strict=False)]
+        self.whole = PerfectHash(levels), np.frombuffer(data, ENTRY, self.n, self.starts[-1])
+        return self
+
+    def _one(self, h: np.ndarray, step: np.ndarray) -> np.ndarray | None:
+        """The entry of one key by a few reads of fixed size."""
+        per = U64(64 * BLOCK_WORDS)
+        for level, blocks in enumerate(self.blocks):
+            at = _mix(h, step, level) % (per * U64(blocks))
+            block = np.frombuffer(self._read(self.starts[level] + self.BLOCK * int(at[0] // per), self.BLOCK), "<u8")[None]
+            hit, rank = PerfectHash.within(block, at % per)
+            if hit[0]:
+                entry = np.frombuffer(self._read(self.starts[-1] + ENTRY.itemsize * int(rank[0]), ENTRY.itemsize), ENTRY)
+                return entry if entry["print"][0] == _fingerprint(step)[0] else None
+        return None
 
     def get(self, h: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is there, and its entry (any entry where it isn't)."""
-        slot = self.mph.slots(h, step)
-        entries = self.entries[np.maximum(slot, 0)] if len(self.entries) else np.zeros(len(h), ENTRY)
-        return (slot >= 0) & (entries["print"] == (step >> U64(32)).astype(np.uint32)), entries
+        if self.whole is None:
+            found = [self._one(h[k : k + 1], step[k : k + 1]) for k in range(len(h))]
+            entries = np.concatenate([np.zeros(1, ENTRY) if e is None else e for e in found]) if found else np.zeros(0, ENTRY)
+            return np.array([e is not None for e in found], bool), entries
+        mph, all_entries = self.whole
+        slot = mph.slots(h, step)
+        entries = all_entries[np.maximum(slot, 0)] if len(all_entries) else np.zeros(len(h), ENTRY)
+        return (slot >= 0) & (entries["print"] == _fingerprint(step)), entries
 
 
 def _key_hashes(key: str, ordinal: str) -> list[Column]:
@@ -158,115 +204,76 @@ def _key_hashes(key: str, ordinal: str) -> list[Column]:
 # ------------------------------------------------------------------------------------------------ writing
 
 
-def _latin_symbols() -> tuple[bytes, bytes, dict[int, int]]:
-    """One byte for each byte of lower-case Latin words in UTF-8, and another one where it ends the word."""
-    used = [*range(0x61, 0x7B), *range(0x80, 0xC6)]
-    inner, last = bytearray(256), bytearray(256)
-    for k, b in enumerate(used):
-        inner[b], last[b] = k, len(used) + k
-    return bytes(inner), bytes(last), {b: k for k, b in enumerate(used)}
-
-
-def latin_ranks(path: str) -> dict[bytes, int] | None:
-    """The tokens of lower-case Latin words as strings of those bytes, with their ids; None unless merging by rank is exact.
-
-    Merging the pair whose token has the least id does what the list of merges says if ids follow that list and every token,
-    taken apart, is put together again by the list: then no two neighbours ever meet that make up a token in another way.
-    """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, steps = spec["model"], json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
-    known = model["end_of_word_suffix"] == "</w>" and '"Lowercase"' in steps and '"NFC"' in steps and r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in steps
-    if not known:
-        return None
-    inner, last, used = _latin_symbols()
-    of_char = {c: b for b, c in enumerate(byte_alphabet())}
-    vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    rank = {m: k for k, m in enumerate(merges)}
-    ids = [vocab[a + b] for a, b in merges]
-    if ids != sorted(ids):
-        return None
-    out = {}
-    for token, i in vocab.items():
-        ends = token.endswith("</w>")
-        b = [of_char.get(c, -1) for c in (token[:-4] if ends else token)]
-        if not b or any(x not in used for x in b):
-            continue
-        parts = list(token[:-4] if ends else token)
-        if ends:
-            parts[-1] += "</w>"
-        while len(parts) > 1:
-            k = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), len(rank)))
-            if (parts[k], parts[k + 1]) not in rank:
-                return None
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        x = bytes(b)
-        out[x[:-1].translate(inner) + (x[-1:].translate(last) if ends else x[-1:].translate(inner))] = i
-    return out
-
-
 class PieceEncoder:
     """Ids of texts as bytes. Pre-tokens of this kind of vocabulary hold no white space and depend on nothing beyond it, so
-    a text is encoded as its pieces between blanks and line feeds. The ids of pieces are kept in two generations: a piece
-    that is met again moves into the young one, and when that is full the old one goes. New pieces that are a Latin word and
-    signs behind it are merged by rank where that is exact; the tokenizers library encodes the rest.
+    a text is encoded as its pieces between blanks and line feeds; the ids of pieces are kept in two generations. New pieces that
+    are a Latin word and signs behind it go to the library's model in one call; the whole tokenizer encodes the rest.
     """
 
-    def __init__(self, path: str, width: str, ranks: dict[bytes, int] | None, generation: int = 500_000) -> None:
+    def __init__(self, path: str, width: str, generation: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.code, self.generation = {"<u2": "H", "<u4": "I"}[width], generation
-        self.inner, self.last, _ = _latin_symbols()
-        self.merge = tiktoken.Encoding("latin", pat_str="", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece if ranks else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.width, self.known = width, TwoGenerations(generation)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        # Words go to the model as they are only under normalisation and pre-tokens of this kind.
+        self.plain = '"Lowercase"' in steps and '"NFC"' in steps and r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in steps
+        self.words = BulkEncoder(spec["model"]) if self.plain else None
         self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [np.array(e.ids, self.width).tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        rest, young, merge = [], self.young, self.merge
+        rest, named, words, tails = [], [], [], []
         for piece in new:
-            word = piece.rstrip(".,;:!?*$%&#")
-            if merge and word.isalpha() and (word.isascii() or max(word) < "\u0130"):
-                tail = piece[len(word) :]
-                if tail not in self.tails:
-                    if len(self.tails) > 10_000:
-                        self.tails = {"": b""}
-                    self.tails[tail] = self._encode([tail])[0]
-                b = word.lower().encode()
-                young[piece] = array(self.code, merge(b[:-1].translate(self.inner) + b[-1:].translate(self.last))).tobytes() + self.tails[tail]
+            word = piece.rstrip(SIGNS)
+            # Letters below U+0130 are composed already, and each has one lower-case letter.
+            if self.plain and word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                named.append(piece)
+                words.append(word.lower())
+                tails.append(piece[len(word) :])
             else:
                 rest.append(piece)
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        young, of_tail = self.known.young, self.tails
+        if unknown := list(set(tails).difference(of_tail)):
+            of_tail.update(zip(unknown, self._encode(unknown), strict=True))
+        if words:
+            different = list(set(words))
+            ids = dict(zip(different, self.words(different, self.width), strict=True))
+            for piece, word, tail in zip(named, words, tails, strict=True):
+                young[piece] = ids[word] + of_tail[tail]
         if rest:
             young.update(zip(rest, self._encode(rest), strict=True))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for block in in_blocks(texts):
+            cut = [t.replace("\n", " ").split(" ") for t in block]
+            if new := self.known.missing(set().union(*cut)):
+                self.learn(new)
+            of = self.known.young.__getitem__
+            out += [b"".join(map(of, pieces)) for pieces in cut]
+        return out
+
     def __call__(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        if new := set(pieces).difference(self.young):
-            if len(self.young) > self.generation:
-                self.old, self.young = self.young, {}
-                new = set(pieces)
-            if again := {p: self.old[p] for p in new if p in self.old}:
-                self.young.update(again)
-                new = new.difference(again)
-            self.learn(list(new))
-        return b"".join(map(self.young.__getitem__, pieces))
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
-def _encoder(path: str, width: str, ranks: dict[bytes, int] | None) -> PieceEncoder:
+def _encoder(path: str, width: str) -> PieceEncoder:
     """One encoder a worker process and file."""
     if (path, width) not in _ENCODERS:
-        _ENCODERS[path, width] = PieceEncoder(path, width, ranks)
+        _ENCODERS[path, width] = PieceEncoder(path, width)
     return _ENCODERS[path, width]
 
 
@@ -278,31 +285,29 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    root = root or fresh_dir(spark, "token-store")
+    root = qualified(spark, root) if root else fresh_dir(spark, "token-store")
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id) < 65536 else "<u4"
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([end_id], width).tobytes()
-    sent = spark.sparkContext.broadcast(latin_ranks(tokenizer_path))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, number = _encoder(tokenizer_path, width, sent.value), TaskContext.get().partitionId()
+        encoder, number = _encoder(tokenizer_path, width), TaskContext.get().partitionId()
         rows: list[pa.RecordBatch] = []
 
         def chunks() -> Iterator[bytes]:
             at, last, ordinal = 0, None, -1
             for b in batches:
-                keys, sizes, ordinals, out = b.column(0).to_pylist(), [], [], []
-                for k, t in zip(keys, b.column(1).to_pylist(), strict=True):
-                    ids = encode(t) + end
+                keys, ordinals = b.column(0).to_pylist(), []
+                out = [ids + end for ids in encoder.encode_all(b.column(1).to_pylist())]
+                for k in keys:
                     ordinal = ordinal + 1 if ordinal >= 0 and k == last else 0
                     last = k
-                    out.append(ids)
-                    sizes.append(len(ids) // len(end))
                     ordinals.append(ordinal)
-                ends = at + np.cumsum(sizes, dtype=np.int64)
-                at = int(ends[-1]) if sizes else at
+                sizes = np.array([len(ids) // len(end) for ids in out], np.int64)
+                ends = at + np.cumsum(sizes)
+                at = int(ends[-1])
                 rows.append(pa.RecordBatch.from_arrays([b.column(0), pa.array(ordinals, pa.int64()), pa.array([number] * len(keys), pa.int32()), pa.array(ends - sizes, pa.int64()), pa.array(sizes, pa.int64())], ["key", "ordinal", "shard", "at", "n"]))
                 yield b"".join(out)
 
@@ -320,8 +325,12 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str
         yield from rows
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    # Rows of one key are told apart by text and place, so that a key of any size is dealt out over shards.
+    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("row")
     listing = written(ordered.mapInArrow(shard, f"key {kind}, ordinal long, shard int, at long, n long"), "token-listing")
+    listing = _numbered(listing)
 
     # One row a shard: as many as tasks, whatever the number of documents.
     totals = sorted((r["shard"], r["n"]) for r in listing.groupBy("shard").agg(F.sum("n").alias("n")).collect())
@@ -344,6 +353,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str
     return {"root": root, "width": width, "buckets": buckets, "n_ids": n_ids, "listing": listing.select(F.col("key").alias(key), "ordinal"), "key": key}
 
 
+def _numbered(listing: DataFrame) -> DataFrame:
+    """The listing with ordinals that go on where a key goes on in the next shard: only the first key of a shard can have begun earlier."""
+    firsts = listing.where("at = 0").select(F.col("key").alias("k")).distinct()  # one row a shard at most
+    counts = listing.join(F.broadcast(firsts), F.col("key").eqNullSafe(F.col("k"))).groupBy("k", "shard").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    before = written(counts.select("k", F.col("shard").alias("s"), earlier.alias("before")).where("before > 0"), "ordinals")
+    out = listing.join(F.broadcast(before), F.col("key").eqNullSafe(F.col("k")) & (F.col("shard") == F.col("s")), "left")
+    return out.select("key", (F.col("ordinal") + F.coalesce("before", F.lit(0))).alias("ordinal"), "shard", "at", "n")
+
+
 # ------------------------------------------------------------------------------------------------ reading
 
 
@@ -357,8 +376,10 @@ def locate(store: dict, keys: DataFrame) -> DataFrame:
         if files.get_file_info(path).type == fs.FileType.NotFound:
             return asked.iloc[:0].reindex(columns=["key", "ordinal", "shard", "at", "start", "n"])
         with files.open_input_file(path) as f:
-            index = IndexBucket(f.read())
-        there, e = index.get(*(asked[c].to_numpy(np.int64).view(U64) for c in ("h", "step")))
+            index = IndexBucket(f)
+            if 64 * len(asked) > index.n:
+                index.load()
+            there, e = index.get(*(asked[c].to_numpy(np.int64).view(U64) for c in ("h", "step")))
         out = asked.loc[there, ["key", "ordinal"]].reset_index(drop=True)
         return out.assign(**{c: e[c][there].astype(np.int64) for c in ("shard", "at", "start", "n")})
 
