@@ -1,7 +1,8 @@
 """Operator 1: line deduplication over deletion neighbourhoods.
 
 A line goes if an earlier line (by document key, then position) is equal to it or one edit away: one character inserted,
-deleted or replaced. Only lines of ``min_chars`` characters or more take part.
+deleted or replaced. An edit counts only if it is at most ``edit_share`` of the longer line, so that lines of fewer than ten characters,
+of which one edit makes other words and numbers, go only if they are equal. All lines that are not blank take part.
 
 Equal lines meet by hash. Of the different lines, only those go on that share an exact half with another line of the same
 length or one more: one edit cannot touch both halves. Of these, only those go on that share all but one of ``PIECES`` pieces, again
@@ -12,32 +13,43 @@ some character is one deletion away. So within each key it is enough to compare
 other kind (or of the same place): keys are grouped with a minimum, and no pairs are formed within a group. The edit distance of
 each line and the one it would yield to is computed at the end.
 
-Edge cases: null and empty texts have no lines and stay as they are; line breaks are ``\\n``; rows that repeat both key and text count as one
-document and keep the same lines; null keys come last; a text that loses lines is the rest joined by ``\\n``, the empty text if
-none is left; other columns are carried along, whatever their names.
+Edge cases: null and empty texts have no lines and stay as they are; blank lines (of U+0020 and U+0009 to U+000D alone) always stay; line breaks
+are ``\n``; lines of any length are compared whole (a line of n characters emits at most n / 8 variants for each piece in question); rows that repeat both key
+and text count as one document and keep the same lines; null keys come last; a text that loses lines is the rest joined by ``\n``, the
+empty text if none is left; an empty table gives an empty result; other columns are carried along, whatever their names, but for a column that is
+named as the count of lines asked for, which is replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, table, text_of, written
+from quarry.llm.common import arrow_map, broadcast_if_small, table, text_of, written
 
-MIN_CHARS = 20
+EDIT_SHARE = 0.1
 PIECES = 8
 U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64: hashes of a line without a character come from running sums.
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Fixed: a character that is not blank.
+SHOWN = r"[^\x20\x09-\x0D]"
+
+
+def least_edited(edit_share: float) -> int:
+    """The length from which on a line may differ by an edit."""
+    return math.ceil(1 / edit_share)
 
 
-def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``pos struct<none, k, f, no>, h, g, line``: lines that take part; ``h, g``: 96 bits of hash."""
     d = docs.select(F.col(key).alias("k"), text_of(text).alias("t"))
-    d = d.select("k", F.xxhash64("t").alias("f"), F.posexplode(F.split("t", "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
+    d = d.select("k", F.xxhash64("t").alias("f"), F.posexplode(F.split("t", "\n")).alias("no", "line")).where(F.col("line").rlike(SHOWN))
     return d.select(F.struct(F.col("k").isNull().alias("none"), "k", "f", "no").alias("pos"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
 
 
@@ -79,10 +91,11 @@ def _pieces(line: Column) -> Column:
     return F.array(*out)
 
 
-def _variants(asked: DataFrame) -> DataFrame:
+def _variants(asked: DataFrame, least: int) -> DataFrame:
     """``key, kind, own``: kind 0 the line itself, 1 without a character, 2 without the character of a certain place.
 
-    ``asked``: ``own, line, less, piece``; a line as one of its own length gives itself and kind 2, else kind 1.
+    ``asked``: ``own, line, less, piece``; a line as one of its own length gives itself and kind 2, else kind 1. A line of fewer
+    than ``least`` characters gives itself alone: it can only be what a longer one is without a character.
     """
 
     def make():
@@ -92,7 +105,10 @@ def _variants(asked: DataFrame) -> DataFrame:
                 all_keys, placed = variant_keys(line)
                 n = len(placed) - less
                 a, e = n * k // PIECES, n * (k + 1) // PIECES + less
-                own = all_keys[1 + a : 1 + e] if less else np.concatenate([all_keys[:1], placed[a:e]])
+                if len(placed) < least:
+                    own = all_keys[: 0 if less else 1]
+                else:
+                    own = all_keys[1 + a : 1 + e] if less else np.concatenate([all_keys[:1], placed[a:e]])
                 kind = np.full(len(own), 1 if less else 2, np.int8)
                 if not less:
                     kind[0] = 0
@@ -107,55 +123,60 @@ def _variants(asked: DataFrame) -> DataFrame:
     return arrow_map(asked.select("own", "line", "less", "piece"), make, f"key long, kind byte, own {asked.schema['own'].dataType.simpleString()}")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000) -> DataFrame:
-    """``k, f, no``: the lines that go. ``broadcast_rows``: up to so many distinct lines are looked up inside the scan."""
-    lines = _lines(docs, key, text, min_chars)
-    distinct = written(lines.select("pos", "h", "g", _halves(F.col("line")).alias("halves")).groupBy("h", "g").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines")
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
+    """``k, f, no``: the lines that go."""
+    lines, least = _lines(docs, key, text), least_edited(edit_share)
+    halves = F.when(F.length("line") >= least - 1, _halves(F.col("line"))).alias("halves")
+    distinct = written(lines.select("pos", "h", "g", halves).groupBy("h", "g").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines")
     halves = distinct.select("h", "g", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min(F.struct("h", "g")).alias("low"), F.max(F.struct("h", "g")).alias("high")).where(F.col("low") != F.col("high")).select("half")
     close = written(halves.join(shared, "half", "left_semi").select("h", "g").distinct().join(distinct.drop("halves", "n"), ["h", "g"]), "close")
-    hint = F.broadcast if close.count() <= broadcast_rows else (lambda x: x)
-    texts = written(lines.select("h", "g", "pos", "line").join(hint(close), ["h", "g", "pos"], "left_semi").dropDuplicates(["h", "g"]), "close-lines")
+    texts = written(lines.select("h", "g", "pos", "line").join(broadcast_if_small(close), ["h", "g", "pos"], "left_semi").dropDuplicates(["h", "g"]), "close-lines")
     own = F.struct("pos", "h", "g")
     placed = texts.select("h", "g", F.explode(_pieces(F.col("line"))).alias("p")).select("h", "g", "p.key", "p.less", "p.piece")
     several = placed.groupBy("key").agg(F.min(F.struct("h", "g")).alias("low"), F.max(F.struct("h", "g")).alias("high")).where(F.col("low") != F.col("high")).select("key")
     asked = placed.join(several, "key", "left_semi").select("h", "g", "less", "piece").distinct().join(texts, ["h", "g"]).select(own.alias("own"), "line", "less", "piece")
-    met = written(_variants(asked), "variants")
+    met = written(_variants(asked, least), "variants")
     first = met.groupBy("key").agg(F.min(F.when(F.col("kind") == 0, F.col("own"))).alias("whole"), F.min(F.when(F.col("kind") == 1, F.col("own"))).alias("cut"), F.min(F.when(F.col("kind") == 2, F.col("own"))).alias("placed"), F.count("*").alias("n")).where("n > 1").drop("n")
     partner = F.when(F.col("kind") == 0, F.col("cut")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("placed"))
     pairs = met.join(first, "key").select("own", partner.alias("earlier")).where(F.col("earlier.pos") < F.col("own.pos")).select("own.h", "own.g", F.col("earlier.h").alias("h1"), F.col("earlier.g").alias("g1")).distinct()
     near = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(texts.select(F.col("h").alias("h1"), F.col("g").alias("g1"), F.col("line").alias("earlier")), ["h1", "g1"])
     near = written(near.where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h", "g").distinct().withColumn("near", F.lit(True)), "near-lines")
     gone = written(distinct.select("h", "g", F.col("pos").alias("first"), "n").join(near, ["h", "g"], "left").where((F.col("n") > 1) | F.col("near")).select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "gone")
-    hint = F.broadcast if gone.count() <= broadcast_rows else (lambda x: x)
-    out = lines.select("pos", "h", "g").join(hint(gone), ["h", "g"]).where(F.col("near") | (F.col("pos") > F.col("first")))
+    out = lines.select("pos", "h", "g").join(broadcast_if_small(gone), ["h", "g"]).where(F.col("near") | (F.col("pos") > F.col("first")))
     return out.select("pos.k", "pos.f", "pos.no").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000) -> DataFrame:
-    """All rows with their columns, the text without the lines that go, and in ``lines_gone`` their number."""
-    gone = repeated_lines(docs, key, text, min_chars, broadcast_rows).groupBy(F.col("k").alias("__k"), F.col("f").alias("__f")).agg(F.collect_list("no").alias("__no"))
-    same = docs[key].eqNullSafe(gone["__k"]) & (F.xxhash64(text_of(text)) == gone["__f"])
-    lines = F.split(text, "\n")
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__no")))
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
+    """``row, text, n_gone`` of every row: the row as it was, its text without the lines that go, and their number."""
+    gone = repeated_lines(docs, key, text, edit_share).groupBy(F.col("k").alias("gone_k"), F.col("f").alias("gone_f")).agg(F.collect_list("no").alias("gone_no"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), F.col(text).alias("text"))
+    lines = F.split("text", "\n")
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_no")))
     rest = F.transform(F.array(F.struct(lines.alias("all"), left.alias("left"))), lambda x: F.array_join(F.transform(x["left"], lambda i: x["all"][i]), "\n"))[0]
-    out = docs.join(gone, same, "left")
-    return out.select(*[F.when(F.col("__no").isNull(), docs[c]).otherwise(rest).alias(c) if c == text else docs[c] for c in docs.columns], F.coalesce(F.size("__no"), F.lit(0)).alias("lines_gone"))
+    out = whole.join(gone, F.col("k").eqNullSafe(F.col("gone_k")) & (F.col("f") == F.col("gone_f")), "left")
+    return out.select("row", F.when(F.col("gone_no").isNull(), F.col("text")).otherwise(rest).alias("text"), F.coalesce(F.size("gone_no"), F.lit(0)).alias("n_gone"))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edit_share: float = EDIT_SHARE, count: str = "lines_gone") -> DataFrame:
+    """All rows with their columns, the text without the lines that go, and in ``count`` their number."""
+    out = without_repeats(docs, key, text, edit_share)
+    kept = [F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != count]
+    return out.select(*kept, F.col("n_gone").alias(count))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_lines", F.when(text_of() == "", 0).otherwise(F.size(F.split(text_of(), "\n"))).cast("long"))
-    out = dedup_lines(docs)
-    return out.select("doc_id", "n_lines", F.when(F.col("lines_gone") > 0, F.col("lines_gone")).otherwise(0).cast("long").alias("n_gone"), F.sha2(text_of(), 256).alias("text_sha256"))
+    return dedup_lines(docs).select("doc_id", "n_lines", F.col("lines_gone").cast("long").alias("n_gone"), F.sha2(text_of(), 256).alias("text_sha256"))
 
 
 SQL_OP1 = r"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> ''
 ), d AS (
-  SELECT line, min((doc_id, no)) AS pos FROM l WHERE length(line) >= 20 GROUP BY line
+  SELECT line, min((doc_id, no)) AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
 ), v AS (
-  SELECT line, pos, left(line, i - 1) || substr(line, i + 1) AS cut, i FROM (SELECT line, pos, unnest(range(1, length(line) + 1)) AS i FROM d)
+  SELECT line, pos, left(line, i - 1) || substr(line, i + 1) AS cut, i FROM (SELECT line, pos, unnest(range(1, length(line) + 1)) AS i FROM d WHERE length(line) >= 10)
 ), near AS (
   SELECT DISTINCT b.line FROM v a JOIN v b ON a.cut = b.cut AND a.i = b.i WHERE a.pos < b.pos
   UNION SELECT DISTINCT b.line FROM d a JOIN v b ON a.line = b.cut WHERE a.pos < b.pos
