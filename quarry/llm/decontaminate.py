@@ -1,30 +1,32 @@
 """Operator 4: benchmark decontamination over a positional inverted index (DataFrame functions only).
 
-A posting is a document, a position and a term. Of every benchmark window (ten words in a row, or a shorter item as a
-whole) the rarest term of the corpus, by the number of documents that hold it, is looked up; its postings, moved by the term's place in
-the window, are the only places where the window can stand, and the lists of the window's other terms are intersected there, read off
-the document's own words. Postings are drawn inside the scan, for wanted terms alone: no list of a frequent term is ever shuffled.
-
-The wanted terms are a set in the plan up to ``most_terms`` of them. Beyond that all postings meet the terms in a shuffled
-join and candidate places are taken back to their documents.
+The corpus is cut into words once. A posting is a document, a position and a term; the postings of all terms that occur in the
+benchmark are stored as a table, with one posting of the empty term for each document, which carries its length. (No list of any
+other term is ever read.) A window is ten words of an item in a row, or a shorter item as a whole. The places where it can stand
+are the postings of its rarest term, moved by the term's place in the window; they are intersected with the list of the second rarest term, at its offset,
+and what is left with the lists of all others. Proximity matches are places of an item's rarest term near which its next rarest terms all stand.
 
 Edge cases: null and empty texts have no words and no hits; an item without words has no window; items with the same id
 count once; a null item id is written as the empty string; documents are told apart by key and text, so that repeated keys with different texts each
-get their own row and repeated rows equal ones; null keys are kept; an empty benchmark hits nothing. Other columns are not read.
+get their own row and repeated rows equal ones; null keys are kept; terms that the corpus does not hold end the search for a window and
+are left out of proximity; an empty benchmark hits nothing; an empty table gives an empty result; long texts, also of one term alone, are cut whole, and a
+posting does not carry its document. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, text_of, written
+from quarry.llm.common import broadcast_if_small, table, text_of, written
 
 #: Fixed: what stands between words, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: A proximity match holds so many of an item's rarest terms within so many words of the rarest.
+NEAR_TERMS, NEAR_WORDS = 4, 20
 
 
 def _low(text: str) -> Column:
@@ -45,53 +47,71 @@ def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text
     return out.select(F.sha2(F.array_join("window", " "), 256).alias("window_id"), "window", "item")
 
 
-def _postings(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    return docs.select(*keep, F.posexplode("words").alias("pos", "term"))
-
+def item_terms(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """``item, term``: the different terms of each item."""
+    return items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.explode(F.array_distinct(words(text))).alias("term")).distinct()
 
-def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), words(text).alias("words"))
 
+def positional_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k, f, n_words, pos, term``, stored: the postings of ``terms`` in all documents; positions count from 1.
 
-def rarest_terms(d: DataFrame, windows: DataFrame, most_terms: int) -> DataFrame:
-    """``term, place, window_id, window``: of each window the term that the fewest documents hold, and its place."""
+    ``k``: the key, ``f``: a hash of the text. Position 0 of every document holds the empty term.
+    """
+    spark = docs.sparkSession
+    wanted = written(terms.select("term").unionAll(spark.range(1).select(F.lit("").alias("term"))).distinct(), "terms")
+    d = docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), words(text).alias("words"))
+    # The words are a column of their own before anything refers to them twice, and no filter is inferred from an outer explode.
+    d = d.select("k", "f", F.size("words").cast("long").alias("n_words"), F.concat(F.array(F.lit("")), "words").alias("marked"))
+    found = d.select("k", "f", "n_words", F.posexplode_outer("marked").alias("pos", "term"))
+    return written(found.join(broadcast_if_small(wanted), "term", "left_semi").select("k", "f", "n_words", "pos", "term"), "postings")
+
+
+def anchors(windows: DataFrame, postings: DataFrame) -> DataFrame:
+    """``window_id, n, terms array<struct<n, place, term>>``, stored: of each window that can occur, its terms from the rarest on."""
+    frequency = postings.groupBy("term").agg(F.count("*").alias("n"))
     distinct = windows.select("window_id", "window").dropDuplicates(["window_id"])
-    terms = distinct.select(F.explode("window").alias("term")).distinct()
-    wanted = [r["term"] for r in terms.limit(most_terms + 1).collect()]
-    if len(wanted) <= most_terms:
-        held = d.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(wanted)))).alias("term"))
-    else:
-        held = d.select(F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left_semi")
-    frequency = held.groupBy("term").agg(F.count("*").alias("n"))
-    # A term that no document holds ends its window's search before it begins.
-    placed = distinct.select("window_id", "window", F.posexplode("window").alias("place", "term")).join(frequency, "term", "left")
-    rarest = placed.groupBy("window_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term")).alias("r"), F.first("window").alias("window"))
-    return written(rarest.where(F.col("r.n") > 0).select(F.col("r.term").alias("term"), F.col("r.place").alias("place"), "window_id", "window"), "anchors")
-
-
-def find_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", most_terms: int = 20_000) -> DataFrame:
-    """``k, f, n_words, rows, start, n, window_id``: every place where a window stands in a document.
-
-    ``k``: the key, ``f``: a hash of the text. For every document there is also one row that counts, in ``rows``, as 1 and has no place.
+    placed = distinct.select("window_id", F.posexplode("window").alias("place", "term")).join(frequency, "term", "left")
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term")))
+    out = placed.groupBy("window_id").agg(by_rarity.alias("terms"))
+    return written(out.where(F.get("terms", F.lit(0))["n"] > 0).select("window_id", F.size("terms").alias("n"), "terms"), "anchors")
+
+
+def find_windows(postings: DataFrame, windows: DataFrame) -> DataFrame:
+    """``k, f, start, n, window_id``: every place (from 0) where a window stands in a document, once."""
+    rare = anchors(windows, postings)
+    first = rare.select("window_id", "n", F.get("terms", F.lit(0))["term"].alias("term"), F.get("terms", F.lit(0))["place"].alias("place"))
+    start = (F.col("pos") - 1 - F.col("place")).alias("start")
+    begun = postings.join(broadcast_if_small(written(first, "rarest")), "term").select("k", "f", "n_words", "window_id", "n", start)
+    begun = written(begun.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))).drop("n_words").distinct(), "places")
+
+    def there(wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` (``k, f, window_id, n, start, place, term``) at whose offset the posting is."""
+        w = broadcast_if_small(written(wanted.withColumnsRenamed({"k": "wanted_k", "f": "wanted_f", "term": "wanted_term"}), "wanted"))
+        same = F.col("k").eqNullSafe(F.col("wanted_k")) & (F.col("f") == F.col("wanted_f")) & (F.col("term") == F.col("wanted_term")) & (F.col("pos") == F.col("start") + F.col("place") + 1)
+        return postings.select("k", "f", "pos", "term").join(w, same).select("k", "f", "window_id", "n", "start", "place").distinct()
+
+    terms = rare.select("window_id", "terms")
+    second = begun.where("n > 1").join(broadcast_if_small(terms), "window_id").select(begun["*"], F.get("terms", F.lit(1))["place"].alias("place"), F.get("terms", F.lit(1))["term"].alias("term"))
+    two = written(there(second).drop("place"), "two-terms")
+    others = two.where("n > 2").join(broadcast_if_small(terms), "window_id").select(two["*"], F.explode(F.slice("terms", 3, F.greatest(F.size("terms") - 2, F.lit(0)))).alias("t"))
+    others = others.select("k", "f", "window_id", "n", "start", F.col("t.place").alias("place"), F.col("t.term").alias("term"))
+    all_there = there(others).groupBy("k", "f", "window_id", "n", "start").agg(F.count("*").alias("met")).where(F.col("met") == F.col("n") - 2).drop("met")
+    columns = ["k", "f", "start", "n", "window_id"]
+    return begun.where("n = 1").select(*columns).unionAll(two.where("n = 2").select(*columns)).unionAll(all_there.select(*columns))
+
+
+def near_places(postings: DataFrame, terms: DataFrame, n_terms: int = NEAR_TERMS, within: int = NEAR_WORDS) -> DataFrame:
+    """``k, f, item, start``: places (from 0) of each item's rarest term that the next rarest ones all stand near, in any order.
+
+    ``terms``: of :func:`item_terms`. The ``n_terms`` rarest of an item's terms that occur at all count, ties by the term; near is less than ``within`` words away.
     """
-    d = _documents(docs, key, text)
-    anchors = rarest_terms(d, windows, most_terms)
-    wanted = [r["term"] for r in anchors.select("term").distinct().limit(most_terms + 1).collect()]
-    start = F.col("pos") - F.col("place")
-    stands = F.when(start >= 0, F.slice("words", start + 1, F.size("window")) == F.col("window")).otherwise(False)
-    n_words = F.size("words").cast("long").alias("n_words")
-    if len(wanted) <= most_terms:
-        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(wanted))
-        places = F.when(F.size("words") > 0, places).otherwise(F.array().cast("array<int>")) if wanted else F.array().cast("array<int>")
-        at = d.select("k", "f", n_words, "words", F.explode(F.concat(F.array(F.lit(-1)), places)).alias("pos")).withColumn("at", F.get("words", F.col("pos")))
-        met = at.join(F.broadcast(anchors) if anchors.count() <= 10 * most_terms else anchors, at["at"] == anchors["term"], "left")
-        hit = stands & (F.col("pos") >= 0)
-        return met.where((F.col("pos") < 0) | hit).select("k", "f", "n_words", F.when(F.col("pos") < 0, 1).otherwise(0).alias("rows"), F.when(hit, start).alias("start"), F.when(hit, F.size("window")).alias("n"), F.when(hit, F.col("window_id")).alias("window_id"))
-    places = _postings(d, ("k", "f")).join(anchors, "term").where(start >= 0).select("k", "f", "pos", "place", "window_id", "window").distinct()
-    once = d.dropDuplicates(["k", "f"])
-    hits = places.join(once, places["k"].eqNullSafe(once["k"]) & (places["f"] == once["f"])).where(stands)
-    hits = hits.select(places["k"], places["f"], n_words, F.lit(0).alias("rows"), start.alias("start"), F.size("window").alias("n"), "window_id")
-    return d.select("k", "f", n_words, F.lit(1).alias("rows"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("window_id")).unionByName(hits)
+    frequency = postings.groupBy("term").agg(F.count("*").alias("n"))
+    ranked = terms.join(frequency, "term").groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term"))), 1, n_terms).alias("t"))
+    wanted = written(ranked.select("item", F.size("t").alias("needed"), F.posexplode("t.term").alias("rank", "term")), "near-terms")
+    found = postings.join(broadcast_if_small(wanted), "term").select("k", "f", "item", "pos", "rank", "needed")
+    around = Window.partitionBy("k", "f", "item").orderBy("pos").rangeBetween(-(within - 1), within - 1)
+    met = found.withColumn("met", F.bit_or(F.expr("shiftleft(1, rank)")).over(around))
+    return met.where((F.col("rank") == 0) & (F.col("met") == F.expr("shiftleft(1, needed) - 1"))).select("k", "f", "item", (F.col("pos") - 1).alias("start")).distinct()
 
 
 def _covered(spans: Column) -> Column:
@@ -105,54 +125,57 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", size: int = WINDOW, most_terms: int = 20_000) -> DataFrame:
-    """``key, fingerprint, n_words, n_hit, items array<string>`` of every document."""
-    windows = written(benchmark_windows(items, item, size=size), "windows")
-    found = find_windows(docs, windows, key, text, most_terms)
-    span = F.when(F.col("start").isNotNull(), F.struct("start", "n"))
-    of_doc = found.groupBy("k", "f").agg(F.first("n_words").alias("n_words"), F.sum("rows").cast("int").alias("rows"), F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("window_id").alias("ids"))
-    of_doc = written(of_doc.select("k", "f", "n_words", "rows", _covered(F.col("spans")).cast("long").alias("n_hit"), "ids"), "hits")
-    owners = of_doc.select("k", "f", F.explode("ids").alias("window_id")).join(windows.select("window_id", "item"), "window_id").select("k", "f", "item").distinct()
-    named = owners.groupBy(F.col("k").alias("k2"), F.col("f").alias("f2")).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = of_doc.drop("ids").join(named, F.col("k").eqNullSafe(F.col("k2")) & (F.col("f") == F.col("f2")), "left")
-    out = out.select(F.col("k").alias(key), F.col("f").alias("fingerprint"), "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.sequence(F.lit(1), "rows")).alias("row"))
-    return out.drop("row")
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n_terms: int = 4, within: int = 20) -> DataFrame:
-    """``key, item, start``: places where the ``n_terms`` rarest terms of an item all stand within ``within`` words, in any order.
-
-    ``start`` is the position of the item's rarest term. Its postings are joined with those of the others, moved into
-    blocks of ``within`` words, so that only places near each other meet.
+def _named(owners: DataFrame, name: str) -> DataFrame:
+    """Sorted different items of each document."""
+    return owners.select("k", "f", "item").distinct().groupBy(F.col("k").alias(f"{name}_k"), F.col("f").alias(f"{name}_f")).agg(F.array_sort(F.collect_list("item")).alias(name))
+
+
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", size: int = WINDOW) -> DataFrame:
+    """``key, fingerprint, n_words, n_hit, items array<string>, near_items array<string>`` of every document.
+
+    ``n_hit``: words inside windows; ``items``: those with an occurring window; ``near_items``: those with a proximity match.
     """
-    w = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.explode(F.array_distinct(words(text))).alias("term")).distinct()
-    d = _documents(docs, key, text).withColumnRenamed("f", "fingerprint")
-    frequency = _postings(d, ()).select("term").join(w.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = w.join(frequency, "term", "left").groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))), 1, n_terms).alias("t"))
-    wanted = ranked.select("item", F.size("t").alias("needed"), F.posexplode("t.term").alias("rank", "term"))
-    near = _postings(d, ("k", "fingerprint")).join(wanted, "term")
-    first = near.where(F.col("rank") == 0).select("k", "fingerprint", "item", "needed", F.col("pos").alias("start"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: (F.col("pos") / within).cast("long") + o)).alias("block"))
-    rest = near.select("k", "fingerprint", "item", "rank", "pos", (F.col("pos") / within).cast("long").alias("block"))
-    met = first.alias("a").join(rest.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.fingerprint") == F.col("b.fingerprint")) & (F.col("a.item") == F.col("b.item")) & (F.col("a.block") == F.col("b.block")))
-    met = met.where(F.abs(F.col("b.pos") - F.col("a.start")) < within).groupBy(F.col("a.k").alias(key), F.col("a.fingerprint").alias("fingerprint"), F.col("a.item").alias("item"), F.col("a.start").alias("start")).agg(F.countDistinct("b.rank").alias("found"), F.first("a.needed").alias("needed"))
-    return met.where(F.col("found") == F.col("needed")).select(key, "item", F.col("start").cast("long").alias("start"))
+    windows = written(benchmark_windows(items, item, size=size), "windows")
+    terms = written(item_terms(items, item), "item-terms")
+    postings = positional_index(docs, terms, key, text)
+    hits = written(find_windows(postings, windows), "hits")
+    spans = hits.groupBy(F.col("k").alias("hit_k"), F.col("f").alias("hit_f")).agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"))
+    spans = spans.select("hit_k", "hit_f", _covered(F.col("spans")).cast("long").alias("n_hit"))
+    owners = hits.select("k", "f", "window_id").distinct().join(windows.select("window_id", "item"), "window_id")
+    out = postings.where("term = ''").select("k", "f", "n_words")
+    for found in (spans, _named(owners, "items"), _named(near_places(postings, terms), "near_items")):
+        its_k, its_f = found.columns[:2]
+        out = out.join(found, F.col("k").eqNullSafe(F.col(its_k)) & (F.col("f") == F.col(its_f)), "left").drop(its_k, its_f)
+    none = F.array().cast("array<string>")
+    return out.select(F.col("k").alias(key), F.col("f").alias("fingerprint"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n_terms: int = NEAR_TERMS, within: int = NEAR_WORDS) -> DataFrame:
+    """``key, item, start``: the places of :func:`near_places`."""
+    terms = written(item_terms(items, item, text), "item-terms")
+    found = near_places(positional_index(docs, terms, key, text), terms, n_terms, within)
+    return found.select(F.col("k").alias(key), "item", F.col("start").cast("long").alias("start"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    items = F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    return found.select("doc_id", "n_words", "n_hit", *items, F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def without_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents in which no window of an item stands, with their own columns."""
     windows = written(benchmark_windows(items, item), "windows")
-    hit = find_windows(docs, windows, key, text).where(F.col("start").isNotNull()).select(F.col("k").alias("__k"), F.col("f").alias("__f")).distinct()
-    return docs.join(hit, docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(text_of(text)) == hit["__f"]), "left_anti")
+    postings = positional_index(docs, windows.select(F.explode("window").alias("term")), key, text)
+    hit = written(find_windows(postings, windows).select(F.col("k").alias("hit_k"), F.col("f").alias("hit_f")).distinct(), "hits")
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"))
+    kept = whole.join(broadcast_if_small(hit), F.col("k").eqNullSafe(F.col("hit_k")) & (F.col("f") == F.col("hit_f")), "left_anti")
+    return kept.select("row.*")
 
 
 SQL_OP4 = r"""
 WITH dw AS (
-  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), iw AS (
   SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), windows AS (
@@ -164,8 +187,19 @@ WITH dw AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)
 ), hits AS (SELECT doc_id, i, n, item FROM grams JOIN windows USING (gram, n)
 ), pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
-), its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+), its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+), occ AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS term FROM dw WHERE len(w) > 0
+), it AS (SELECT DISTINCT item, unnest(w) AS term FROM iw
+), cnt AS (SELECT term, count(*) AS n FROM occ JOIN (SELECT DISTINCT term FROM it) USING (term) GROUP BY term
+), rare AS (SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY n, term) AS rank FROM it JOIN cnt USING (term)
+), need AS (SELECT item, least(count(*), 4) AS needed FROM rare GROUP BY item
+), spot AS (SELECT doc_id, item, rank, p FROM occ JOIN rare USING (term) WHERE rank <= 4
+), near AS (
+  SELECT DISTINCT doc_id, item FROM (
+    SELECT a.doc_id, a.item, a.p, count(DISTINCT b.rank) AS met FROM spot a JOIN spot b ON a.doc_id = b.doc_id AND a.item = b.item AND abs(a.p - b.p) < 20 WHERE a.rank = 1 GROUP BY ALL
+  ) JOIN need USING (item) WHERE met = needed
+), nearby AS (SELECT doc_id, count(*) AS n_near FROM near GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
