@@ -7,17 +7,18 @@ rank chosen so that some ``K ln K`` darts are expected, each marked with one of
 is the signature, and two documents agree in a coordinate with a probability that is their weighted similarity. The work is in proportion to the set plus
 ``K ln K``, not to their product. Bands of the signature are joined.
 
-Documents with equal sets are one class before any joining. In each round some classes of a band's bucket are compared with
-all others there, by the exact similarity of their sets, and leave the bucket; links are contracted to components at once. A bucket is done when
-all classes left in it are of one component: then every two classes of it that are still apart have been compared, so that no link is lost. The classes that ask
-lie outside the bucket's largest component, one at first and some 16, 256, 4096 and so on later. So a group of near copies, which is
-one component after its first round, costs pairs in proportion to its members; only members that are unlike all others are compared with each. Pairs whose
-sketches (six bits of each coordinate) disagree in more coordinates than a pair of the threshold's similarity does but once in ten thousand times are no candidates, nor those whose parity maps differ in more bits than
-sets of that similarity have unshared elements.
+Documents with equal sets are one class before any joining. Twice, one class of every bucket of a band asks all others there, and the links
+found are contracted to components at once: a group of near copies, however large, is one component after that, for pairs in proportion
+to its members. What is left are buckets whose classes are of several components. Of those classes, all that are still apart are compared
+by prefixes: among sets ordered from the rarest element on, two of similarity ``t`` share one of the first ``n - ceil(t n) + 1`` elements of each. So classes
+meet by the elements of their prefixes; within an element's list those outside its largest component ask all others. Members that are unlike
+all others have rare elements of their own there, and do not meet: the work does not grow with the square of their number, and no link of two classes that share a band is lost.
+
+Pairs are compared by their whole sets, but for those that the sizes or the parity maps of the sets rule out (both bounds are exact).
 
 Edge cases: null and empty texts, and texts without a word, have no shingle and are groups of their own; a text of fewer than five
 words has one shingle, all of it; repeated rows and copies share a class; a null key never names a group unless all keys in it
-are null; texts are shingled whole; columns other than key and text are not read; an empty table gives an empty result.
+are null; texts of any length are shingled whole; columns other than key and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, table, text_of, written
+from quarry.llm.common import arrow_map, broadcast_if_small, discard, table, text_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24 > 0.9999.
@@ -39,10 +40,10 @@ BANDS, ROWS = 24, 5
 #: Ranks below 2**-LOW are one cell; a set of more than K ln K * 2**LOW elements would throw a few darts too many.
 LOW = 16
 
-#: Of each coordinate this many bits go into a sketch; a pair of the threshold's similarity disagrees too often with at most this probability.
-PLANES, SKETCH_LOSS = 6, 1e-4
-#: Bits of the parity map that follows them: of each of so many cells, whether the number of elements in it is odd.
-PARITY = 512
+#: Bits of the parity map: of each of so many cells, whether the number of elements in it is odd.
+PARITY = 1024
+#: Members of one bucket or list that one task compares with those that ask.
+SALTED = 2000
 
 _WORD = re.compile(r"\w+")
 U64 = np.uint64
@@ -106,12 +107,13 @@ class DartMinHash:
             number, low, width = _cells(top)
             tail, term = [], np.exp(-width)
             below = term.copy()
-            for n in range(1, 9):  # of the number of darts in a cell, the distribution up to eight
-                tail.append(below.copy())
+            scale, n = float(2**53), 1
+            while not tail or (tail[-1] < U64(2**53)).any():  # the distribution of the number of darts in a cell, to its end
+                tail.append((below * scale).astype(np.uint64) if n < 64 else np.full(len(width), U64(2**53)))
                 term = term * width / n
-                below += term
-            scale = float(2**53)
-            self.cells[top] = number, low, width, [(x * scale).astype(np.uint64) for x in tail]
+                below = np.minimum(below + term, 1.0)
+                n += 1
+            self.cells[top] = number, low, width, tail
         return self.cells[top]
 
     def signature(self, elements: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -173,116 +175,91 @@ def bands(signature: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """Six bits of each coordinate, one bit plane after the other, in words of 60 coordinates."""
-    rows = signature.reshape(-1, 60)
-    planes = [((rows >> U64(63 - j)) & U64(1)) << np.arange(60, dtype=np.uint64) for j in range(PLANES)]
-    return np.concatenate([p.sum(axis=1, dtype=np.uint64) for p in planes]).view(np.int64)
+def multiset(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set whose similarities are the weighted ones of ``elements`` with ``counts``: an element that occurs n times is n elements."""
+    times = counts.astype(np.int64)
+    level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    with np.errstate(over="ignore"):
+        of = np.repeat(elements, times)
+        return np.unique(np.where(level == 0, of, mix(of + level.astype(np.uint64) * _M2)))
 
 
-def parity(elements: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-    """The parity map of a set, and its size as the last word; with ``counts`` an element stands as often as it occurs."""
-    odd = elements if counts is None else elements[counts % 2 == 1]
-    cells = np.bincount((odd >> U64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.append(np.packbits(cells.astype(np.uint8)).view(np.int64), len(elements) if counts is None else counts.sum())
+def parity(elements: np.ndarray) -> np.ndarray:
+    """The parity map of a set, and its size as the last word."""
+    cells = np.bincount((elements >> U64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.append(np.packbits(cells.astype(np.uint8)).view(np.int64), len(elements))
 
 
-def may_be_near(a: str, b: str, threshold: float, k: int = BANDS * ROWS) -> Column:
-    """Whether two sketch columns leave it open that the sets are near.
+def may_be_near(a: str, b: str, threshold: float) -> Column:
+    """Whether two columns of parity maps leave it open that the sets are near.
 
-    Elements that only one of two sets has are ``(1 - s) / (1 + s)`` of both sizes together at similarity ``s``, and each turns
-    one bit of the parity map: more bits than that differ in no pair at the threshold. This bound is exact.
+    The smaller of two sets at similarity ``s`` has at least ``s`` of the elements of the larger. Elements that only one of them
+    has are at most ``(1 - s) / (1 + s)`` of both sizes together, and each turns one bit of the map. Both bounds are exact.
     """
-    first, words = PLANES * (k // 60), PARITY // 64
+    words = PARITY // 64
+    m, n = F.col(a)[words], F.col(b)[words]
     bits = F.lit(0)
-    for w in range(first, first + words):
-        bits = bits + F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w]))
-    size = F.col(a)[first + words] + F.col(b)[first + words]
-    return (bits * (1 + threshold) <= size * (1 - threshold) + 1e-6) & (disagreements(a, b, k) <= most_disagreements(threshold, k))
-
-
-def most_disagreements(threshold: float, k: int = BANDS * ROWS) -> int:
-    """The least bound on disagreeing coordinates of two sketches that a pair at ``threshold`` exceeds with ``SKETCH_LOSS`` at most."""
-    q = (1 - threshold) * (1 - 2.0**-PLANES)
-    total = 0.0
-    for d in range(k + 1):
-        total += math.comb(k, d) * q**d * (1 - q) ** (k - d)
-        if total >= 1 - SKETCH_LOSS:
-            return d
-    return k
-
-
-def disagreements(a: str, b: str, k: int = BANDS * ROWS) -> Column:
-    """In how many coordinates two sketch columns disagree."""
-    words, total = k // 60, F.lit(0)
     for w in range(words):
-        differ = F.lit(0).cast("long")
-        for j in range(PLANES):
-            differ = differ.bitwiseOR(F.col(a)[j * words + w].bitwiseXOR(F.col(b)[j * words + w]))
-        total = total + F.bit_count(differ)
-    return total
+        bits = bits + F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w]))
+    return (F.least(m, n) >= threshold * F.greatest(m, n) - 1e-6) & (bits * (1 + threshold) <= (m + n) * (1 - threshold) + 1e-6)
 
 
 def sign_documents(docs: DataFrame, key: str, text: str, counted: bool) -> DataFrame:
-    """``k, f, class, bands, sketch``: class is a digest of the document's set (null without words), f a hash of its text."""
+    """``k, f, class, bands, parity``: class is a digest of the document's set (null without words), f a hash of its text."""
 
     def make():
         shingler, darts = Shingler(), DartMinHash()
         last: dict[bytes, list] = {}
 
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            classes, rows, sketches = [], [], []
+            classes, rows, maps = [], [], []
             for t in b.column(2).to_pylist():
                 s, n = shingler(t)
                 if not len(s):
                     classes.append(None)
                     rows.append(None)
-                    sketches.append(None)
+                    maps.append(None)
                     continue
                 c = xxhash.xxh3_128_digest(s.tobytes() + (n.tobytes() if counted else b""))
                 if c not in last:
                     if len(last) > 2000:
                         last.clear()
                     signature = darts.signature(s, n.astype(float) if counted else None)
-                    last[c] = bands(signature).tolist(), np.append(sketch(signature), parity(s, n if counted else None)).tolist()
+                    last[c] = bands(signature).tolist(), parity(multiset(s, n) if counted else s).tolist()
                 classes.append(c)
                 rows.append(last[c][0])
-                sketches.append(last[c][1])
+                maps.append(last[c][1])
             lists = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.binary()), pa.array(rows, lists), pa.array(sketches, lists)], ["k", "f", "class", "bands", "sketch"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.binary()), pa.array(rows, lists), pa.array(maps, lists)], ["k", "f", "class", "bands", "parity"])
 
         return each
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), text_of(text).alias("t")), make, f"k {kind}, f long, class binary, bands array<long>, sketch array<long>")
+    return arrow_map(docs.select(F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), text_of(text).alias("t")), make, f"k {kind}, f long, class binary, bands array<long>, parity array<long>")
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], counted: bool) -> float:
-    """Weighted Jaccard similarity of two sets given as sorted elements and counts."""
-    if not len(a[0]) or not len(b[0]):
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets given as sorted elements."""
+    if not len(a) or not len(b):
         return 0.0
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not counted:
-        return len(both) / (len(a[0]) + len(b[0]) - len(both))
-    low = np.minimum(a[1][i], b[1][j]).sum()
-    return float(low / (a[1].sum() + b[1].sum() - low))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float, counted: bool) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets are similar enough."""
-    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb"))
+    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
+    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            part = lambda name, kind: [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
-            rows = zip(part("ea", np.uint64), part("ca", np.int32), part("eb", np.uint64), part("cb", np.int32), strict=True)
-            near = [similarity((ea, ca), (eb, cb), counted) >= threshold for ea, ca, eb, cb in rows]
+            part = lambda name: [x.values.to_numpy() for x in batch.column(name)]
+            near = [similarity(ea, eb) >= threshold for ea, eb in zip(part("ea"), part("eb"), strict=True)]
             return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
         return each
 
-    return arrow_map(pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "ca", "eb", "cb"), make, "a binary, b binary")
+    return arrow_map(pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb"), make, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -303,11 +280,45 @@ def components(links: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
         after = written(hooked.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
         changed = after.where(F.col("old") != F.col("root")).limit(1).count()
-        labels = after.select("node", "root")
+        discard(labels)
+        path, labels = after._written_to, after.select("node", "root")
+        labels._written_to = path
         if not changed:
+            discard(edges)
             return labels
 
 
+def _pairs(members: DataFrame, asking: DataFrame, by: str, threshold: float) -> DataFrame:
+    """``a, b``: each class that asks (``by, b, root_b, parity_b, n``) with all members (``by, class, root, parity, n``) of its list that are of
+    another component and may be near. A list is dealt out over one task for each ``SALTED`` of its ``n`` members."""
+    parts = F.ceil(F.col("n") / SALTED).cast("int")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("class"), parts).cast("int")).drop("n")
+    asks = asking.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    met = dealt.join(asks, [by, "salt"]).where((F.col("root") != F.col("root_b")) & may_be_near("parity", "parity_b", threshold))
+    return met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+
+
+def _mains(placed: DataFrame, by: str) -> DataFrame:
+    """``by, n, main, first``: of each list with classes of several components its size, its largest component, and a class outside that."""
+    parts = placed.groupBy(by, "root").agg(F.count("*").alias("n"), F.min("class").alias("least"))
+    out = parts.groupBy(by).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.min(F.struct("n", "root", "least"))["least"].alias("first"))
+    return out.where(F.col("n") > F.col("main.n")).select(by, "n", F.col("main.root").alias("main"), "first")
+
+
+def _prefixes(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``e, class, root, parity``: the prefixes of the sets of ``apart`` (``class, root, parity``), without elements that one set alone has."""
+    size = F.col("parity")[PARITY // 64]
+    held = apart.join(sets, "class").select("class", F.explode("elements").alias("e"))
+    often = held.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = held.join(often, "e").join(apart.select("class", size.alias("size")), "class")
+    own = Window.partitionBy("class")
+    # Elements of one set alone stand first in its order; they are counted, not listed.
+    alone = F.col("size") - F.count("*").over(own)
+    prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-6) + 1
+    ranked = ranked.withColumns({"rank": F.row_number().over(own.orderBy("df", "e")), "room": prefix - alone}).where(F.col("rank") <= F.col("room"))
+    return ranked.select("e", "class").join(apart, "class")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
     """``key, fingerprint, class_id, first_fingerprint``: for each row the least key of its group of near copies.
 
@@ -315,47 +326,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     signed = written(sign_documents(docs, key, text, counted), "signed")
     first = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("f").alias("f")))
-    classes = written(signed.where(F.col("class").isNotNull()).groupBy("class").agg(first.alias("first"), F.any_value("sketch").alias("sketch")), "classes")
-    keys = signed.where(F.col("class").isNotNull()).select("class", F.explode("bands").alias("band")).distinct()
+    classes = written(signed.where(F.col("class").isNotNull()).groupBy("class").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("parity").alias("parity")), "classes")
+    keys = classes.select("class", F.explode("bands").alias("band"))
     # Only buckets with two classes or more go on.
-    shared = keys.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(F.col("low") != F.col("high")).select("band")
+    shared = written(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     members = written(keys.join(shared, "band"), "members")
-    asked = members.select("class").distinct().join(classes, "class").select("class", F.col("first.k").alias("k1"), F.col("first.f").alias("f1"), "sketch")
+    asked = written(members.select("class").distinct().join(classes, "class").select("class", F.col("first.k").alias("k1"), F.col("first.f").alias("f1")), "asked")
 
     def make():
         shingler = Shingler()
 
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingler(t) for t in b.column("t").to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column("class"), pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in sets], pa.binary())], ["class", "elements", "counts"])
+            found = [shingler(t) for t in b.column("t").to_pylist()]
+            elements = [(multiset(s, n) if counted else s).view(np.int64) for s, n in found]
+            return pa.RecordBatch.from_arrays([b.column("class"), pa.array(elements, pa.list_(pa.int64()))], ["class", "elements"])
 
         return each
 
     texts = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("f", F.xxhash64("t"))
-    asked_texts = texts.join(asked, texts["k"].eqNullSafe(asked["k1"]) & (texts["f"] == asked["f1"])).select("class", "t").dropDuplicates(["class"])
-    sets = written(arrow_map(asked_texts, make, "class binary, elements binary, counts binary"), "sets")
-    roots = written(asked.select("class", F.col("class").alias("root"), "sketch"), "roots")
-    waiting, compared, share = members, None, 0
-    while True:
-        placed = waiting.join(roots, "class")
-        parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.min("class").alias("least"))
-        of_band = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.min(F.struct("n", "root", "least"))["least"].alias("first"))
-        of_band = of_band.where(F.col("n") > F.col("main.n")).select("band", F.col("main.root").alias("main"), "first", (F.lit(float(share)) / (F.col("n") - F.col("main.n"))).alias("chance"))
-        drawn = (F.col("root") != F.col("main")) & ((F.xxhash64("class") / 2.0**64 + 0.5) < F.col("chance"))
-        placed = written(placed.join(of_band, "band").select("band", "class", "root", "sketch", (drawn | (F.col("class") == F.col("first"))).alias("asks")), "placed")
-        if placed.isEmpty():
-            break
-        asking = placed.where("asks").select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"))
-        pairs = placed.join(asking, "band").where((F.col("root") != F.col("root_b")) & may_be_near("sketch", "sketch_b", threshold))
-        pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+    asked_texts = texts.join(broadcast_if_small(asked), F.col("k").eqNullSafe(F.col("k1")) & (F.col("f") == F.col("f1"))).select("class", "t").dropDuplicates(["class"])
+    sets = written(arrow_map(asked_texts, make, "class binary, elements array<long>"), "sets")
+    roots = written(asked.join(classes.select("class", "parity"), "class").select("class", F.col("class").alias("root"), "parity"), "roots")
+    waiting, compared = members, None
+
+    def contracted(pairs: DataFrame, roots: DataFrame, compared: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Components after the links among pairs that were not compared before, and all pairs compared."""
         pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = _links(pairs, sets, threshold, counted)
+        links = _links(pairs, sets, threshold)
         of_a, of_b = roots.select(F.col("class").alias("a"), F.col("root").alias("ra")), roots.select(F.col("class").alias("b"), F.col("root").alias("rb"))
         merged = components(links.join(of_a, "a").join(of_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        roots = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("class", F.coalesce("now", "root").alias("root"), "sketch"), "roots")
-        waiting, share = placed.where("NOT asks").select("band", "class"), max(16, share * 16)
-    named = classes.drop("sketch").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
+        now = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("class", F.coalesce("now", "root").alias("root"), "parity"), "roots")
+        discard(merged, roots)
+        return now, pairs if compared is None else compared.unionByName(pairs)
+
+    def apart(waiting: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of buckets with several components: ``band, class, root, parity, n, main, first``."""
+        placed = waiting.join(roots, "class")
+        return written(placed.join(_mains(placed, "band"), "band"), "placed")
+
+    for _ in range(2):
+        placed = apart(waiting, roots)
+        asking = placed.where(F.col("class") == F.col("first")).select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), "n")
+        roots, compared = contracted(_pairs(placed.select("band", "class", "root", "parity", "n"), asking, "band", threshold), roots, compared)
+        waiting = placed.select("band", "class")
+    left = written(apart(waiting, roots).select("class", "root", "parity").dropDuplicates(["class"]), "apart")
+    prefixes = written(_prefixes(left, sets, threshold), "prefixes")
+    listed = written(prefixes.join(_mains(prefixes, "e"), "e").drop("first"), "listed")
+    asking = listed.where(F.col("root") != F.col("main")).select("e", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), "n")
+    roots, _ = contracted(_pairs(listed.drop("main"), asking, "e", threshold), roots, compared)
+    named = classes.select("class", "first").join(roots.select("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
     group = named.groupBy("root").agg(F.min("first").alias("group"))
     named = named.join(group, "root").select("class", F.col("group.k").alias("class_id"), F.col("group.f").alias("first_fingerprint"))
     out = signed.select("k", "f", "class").join(named, "class", "left")
@@ -364,13 +383,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def first_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The first document of each group of near copies, with its own columns; texts without words all stay."""
+    """The first document of each group of near copies, with its own columns; of repeated rows one; texts without words all stay."""
     found = near_duplicates(docs, key, text, threshold)
-    wordless = docs.where(~text_of(text).rlike(r"(?U)\w"))
-    firsts = found.where(F.col("class_id").eqNullSafe(F.col(key)) & (F.col("first_fingerprint") == F.col("fingerprint"))).select(F.col(key).alias("__k"), F.col("fingerprint").alias("__f")).distinct()
-    rest = docs.where(text_of(text).rlike(r"(?U)\w"))
-    same = rest[key].eqNullSafe(firsts["__k"]) & (F.xxhash64(text_of(text)) == firsts["__f"])
-    return rest.join(firsts, same, "left_semi").dropDuplicates([key, text]).unionByName(wordless)
+    same = F.col("class_id").eqNullSafe(F.col(key)) & (F.col("first_fingerprint") == F.col("fingerprint"))
+    firsts = found.where(same).select(F.col(key).alias("first_k"), F.col("fingerprint").alias("first_f")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("f"), text_of(text).rlike(r"(?U)\w").alias("worded"))
+    kept = whole.where("worded").join(firsts, F.col("k").eqNullSafe(F.col("first_k")) & (F.col("f") == F.col("first_f")), "left_semi").dropDuplicates(["k", "f"])
+    return kept.select("row.*").unionAll(whole.where("NOT worded").select("row.*"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
