@@ -7,10 +7,13 @@ binomial bound, at most ``max_false_rejection``. Levels are tested in a fixed se
 fails ends the sequence, which keeps the error rate without a further correction) and strata are corrected for by
 Bonferroni. No rule rejects anything in a stratum without enough labels to prove a level safe.
 
+A trial of the bound is a labelled text, not a row: copies and repeated rows would count the same trial twice. The rules are
+given beforehand and not fitted, so that all labelled texts serve as the holdout.
+
 Edge cases: a null or empty text has no words, so the base rules reject it; a null stratum value is a stratum of its own;
-labels of unknown documents and null labels count for nothing; a document labelled more than once counts as good only
-if no label says otherwise; repeated rows get a row each; an empty table gives an empty result. Columns other than key,
-text and strata are not read.
+labels of unknown documents and null labels count for nothing; a document labelled more than once, or a text under several keys, counts as
+good only if no label says otherwise; repeated rows get a row each; texts of any length are measured whole; an empty table gives an empty
+result. Columns other than key, text and strata are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, text_of, written
+from quarry.llm.common import broadcast_if_small, table, text_of, written
 
 #: Fixed: the blanks that end a word, and the characters that count as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -80,6 +83,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...], text: str = "text", strata:
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
+        F.xxhash64("t").alias("fingerprint"),
     ]
     strata_out = [f"stratum_{k}" for k in range(len(strata))]
     out = t.select(*keep, *strata_out, *measures)
@@ -87,6 +91,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...], text: str = "text", strata:
     return out.select(
         *keep,
         F.concat_ws("\x1f", *strata_out).alias("stratum"),
+        "fingerprint",
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         (F.col("n_symbols") / words).alias("symbol_share"),
@@ -131,9 +136,11 @@ def choose_levels(counts: list[dict], max_false_rejection: float, error: float)
 
 
 def learn_levels(measured: DataFrame, labels: DataFrame, key: str, label: str, max_false_rejection: float, error: float) -> dict[str, int]:
-    """Stratum -> level, from all measured documents that have labels."""
-    good = labels.where(F.col(label).isNotNull()).groupBy(key).agg((F.min(label) == 1).alias("good")).where("good").select(key)
-    counted = measured.where(~F.col("base_failed")).join(good, key).groupBy("stratum").agg(F.count("*").alias("good"), *[F.count_if(rejects(level)).alias(f"rejected_{level}") for level in range(LEVELS)])
+    """Stratum -> level, from all labelled texts among the measured documents."""
+    marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("label_key")).agg((F.min(label) == 1).alias("good"))
+    trials = measured.where(~F.col("base_failed")).join(marked, F.col(key) == F.col("label_key"))
+    trials = trials.groupBy("stratum", "fingerprint").agg(F.min("good").alias("good"), *[F.first(rule).alias(rule) for rule in RULES]).where("good")
+    counted = trials.groupBy("stratum").agg(F.count("*").alias("good"), *[F.count_if(rejects(level)).alias(f"rejected_{level}") for level in range(LEVELS)])
     # A stratum with fewer labels cannot prove even a rule set that rejects none of them; the rest is at most so many rows.
     least = math.log(error) / math.log1p(-max_false_rejection)
     return choose_levels([r.asDict() for r in counted.where(F.col("good") >= least).collect()], max_false_rejection, error)
@@ -160,7 +167,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 
 def quality_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", strata: tuple[str, ...] = ("lang",), max_false_rejection: float = 0.02, error: float = 0.05) -> DataFrame:
     """The documents that stay, with their own columns: levels are learned from the labelled ones, then one pass filters all."""
-    labelled = docs.join(labels.where(F.col(label) == 1).select(key).distinct(), key, "left_semi")
+    marked = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("label_key")).distinct()
+    marked = broadcast_if_small(written(marked, "labelled"))
+    labelled = docs.select(F.col(key), F.col(text), *strata).join(marked, F.col(key) == F.col("label_key"), "left_semi")
     levels = learn_levels(written(measure(labelled, (key,), text, strata), "quality"), labels, key, label, max_false_rejection, error)
     whole = docs.select(F.struct("*").alias("row"), F.col(text).alias("row_text"), *[F.col(s).alias(f"row_{k}") for k, s in enumerate(strata)])
     measured = measure(whole, ("row",), "row_text", tuple(f"row_{k}" for k in range(len(strata))))
