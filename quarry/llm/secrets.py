@@ -5,13 +5,16 @@ trained from labelled samples. A run of key characters is a secret if its log-li
 one in ``1 / FALSE_POSITIVES`` held-out ordinary runs may pass. Three fixed patterns (assignments, access keys, hex runs) find what is sure; the models
 add spans that overlap none of those.
 
-Labelled samples: ordinary ones are the runs of letters, digits and underscores of at most ``sample_docs`` documents (the first
-by a hash of their key) outside the fixed patterns, without the runs that could be keys and look random to models of the words that are
+Runs without a letter are numbers (of cards, parts, telephones) and no secrets: the models do not judge them.
+
+Labelled samples: ordinary ones are the runs of letters, digits and underscores of at most ``sample_docs`` documents with ``sample_chars``
+characters in all (the first by a hash of key and text) outside the fixed patterns, without the runs that could be keys and look random to models of the words that are
 too short for keys, whatever the alphabet (numbers stay); random ones are what the fixed patterns find there, and strings drawn
-from a generator with a fixed seed over the usual alphabets of keys.
+from a generator with a fixed seed over the usual alphabets of keys. The models are trained in one task of an executor.
 
-Edge cases: a null or empty text has no spans, and the digests of the empty string; positions count code points; texts are
-scanned whole; repeated rows give a row each; columns other than key and text are not read.
+Edge cases: a null or empty text has no spans, and the digests of the empty string; positions count code points; texts of any length are
+scanned whole, in time that is linear in their length and number of spans; repeated rows give a row each; columns other than key and text are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, table, text_of
+from quarry.llm.common import arrow_map, in_one_task, sampled, table, text_of
 
 # The base patterns, in the order of their kinds, with the least length of a match's value.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -121,16 +124,19 @@ def train(sample: list[str], seed: int = 7) -> MarkovPair:
     ordinary = sorted({*short, *(w for run in long if judge is None or not _LETTER.search(run) or judge.score(run) <= 0 for w in _WORD.findall(run))})
     ordinary += [a + b for a, b in zip(ordinary[::3], ordinary[1::3], strict=False)] + [f"{a}_{b}" for a, b in zip(ordinary[::4], ordinary[2::4], strict=False)]
     draw.shuffle(ordinary)
-    return MarkovPair(made + found[:4000], ordinary[:200_000] or ["ordinary_identifier", "another_name"])
+    return MarkovPair(made + found, ordinary or ["ordinary_identifier", "another_name"])
 
 
 def spans(text: str, models: MarkovPair) -> list[tuple[int, int, int]]:
-    """Fixed and modelled spans; a modelled one overlaps no fixed one."""
+    """Fixed and modelled spans; a modelled one overlaps no fixed one. Both kinds come in order and are walked together."""
     base = base_spans(text)
-    out = list(base)
+    out, k, reach = list(base), 0, 0
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if not any(s < end and start < e for s, _, e in base) and models.score(m[0]) > models.threshold:
+        while k < len(base) and base[k][0] < end:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= start and _LETTER.search(m[0]) and models.score(m[0]) > models.threshold:
             out.append((start, 3, end))
     return sorted(out)
 
@@ -139,12 +145,20 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in found])
 
 
-def sample_texts(docs: DataFrame, key: str, text: str, n: int) -> list[str]:
-    """The texts of the first ``n`` documents by a hash of the key: a bounded sample that any run draws alike."""
-    h = F.xxhash64(F.col(key), F.col(key).isNull()).alias("h")
-    chosen = docs.select(h).orderBy("h").limit(n).distinct()  # keys alone are sorted; texts follow for those chosen
-    rows = docs.select(h, text_of(text).alias("t")).join(F.broadcast(chosen), "h", "left_semi").orderBy("h", "t").limit(n)
-    return [r["t"] for r in rows.select("t").collect()]
+def train_on(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 1000, sample_chars: int = 8_000_000) -> MarkovPair:
+    """The models of a bounded sample of the documents."""
+    rows = sampled(docs, F.lit(0), [F.col(key), F.col(key).isNull()], text, sample_docs, sample_chars)
+
+    def make(sample: pa.Table) -> pa.RecordBatch:
+        models = train(sample["t"].to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array([models.steps.tobytes()], pa.binary()), pa.array([models.threshold], pa.float64())], ["steps", "threshold"])
+
+    found = in_one_task(rows.select("h", "t"), "h", make, "steps binary, threshold double").first()
+    if found is None:
+        return train([])
+    models = MarkovPair.__new__(MarkovPair)
+    models.steps, models.threshold = np.frombuffer(found["steps"], np.float32).reshape(SIZE, SIZE, SIZE), found["threshold"]
+    return models
 
 
 def find_secrets(docs: DataFrame, models: MarkovPair, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,6 +185,6 @@ def find_secrets(docs: DataFrame, models: MarkovPair, key: str = "doc_id", text:
     return arrow_map(docs.select(F.col(key).alias("key"), text_of(text).alias("text")), make, f"key {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
-def op8_secret_scan(spark: SparkSession, sf_dir: str, sample_docs: int = 1000) -> DataFrame:
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return find_secrets(docs, train(sample_texts(docs, "doc_id", "text", sample_docs)))
+    return find_secrets(docs, train_on(docs))
