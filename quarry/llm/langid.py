@@ -3,12 +3,17 @@
 Features are character n-grams (one to three characters, case folded, words set apart by one blank), hashed into
 ``BUCKETS`` and weighted by term frequency and inverse document frequency. Document frequencies are counted over all
 training documents. The regression is trained by follow-the-regularised-leader with an elastic-net penalty, which leaves
-most weights zero, on a bounded sample (``sample_docs`` documents, the first by a hash of the key), and its confidence
+most weights zero, on a bounded sample of every language, and its confidence
 is calibrated by a temperature fitted to part of that sample that was kept from training.
 
+The sample: ``sample_docs`` documents dealt evenly over the languages, but ``least_docs`` of a language that has as many, with
+``sample_chars`` characters of each language at most; the first by a hash of key and text. All languages of the training documents are learned. The
+model is trained in one task of an executor, which reads the sample's n-gram counts.
+
 Edge cases: a null text or one without a letter gets ``und`` with score 0; without training rows so does every text; null
-languages are not learned; the number of languages learned is bounded by ``most_languages`` of the largest; repeated rows get a row each;
-very long texts count whole; columns other than key and text (and, for training, the language) are not read.
+languages are not learned; repeated rows get a row each and are drawn once;
+texts of any length count whole; columns other than key and text (and, for training, the language) are not read, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, crc_fold, table, text_of
+from quarry.llm.common import arrow_map, crc_fold, in_one_task, sampled, table, text_of
 
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
@@ -125,25 +130,35 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return df, int(summed["n"][~known].sum())
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", sample_docs: int = 3000, most_languages: int = 200) -> LanguageModel:
-    known = docs.where(F.col(language).isNotNull())
-    df, n = document_frequencies(known, text)
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", sample_docs: int = 4000, least_docs: int = 20, sample_chars: int = 20_000_000) -> LanguageModel:
+    known = docs.where(F.col(language).isNotNull()).select(F.col(key).alias("key"), text_of(text).alias("text"), F.col(language).cast("string").alias("lang"))
+    df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
-    largest = known.groupBy(language).count().orderBy(F.desc("count"), language).limit(most_languages).collect()
-    languages = sorted(r[language] for r in largest)
-    h = F.xxhash64(F.col(key), F.lit("language"))
-    chosen = known.select(key, h.alias("h")).orderBy("h").limit(sample_docs).distinct()
+    n_languages = known.select("lang").distinct().count()
+    rows = sampled(known, F.col("lang"), [F.col("key"), F.lit("language")], "text", max(least_docs, sample_docs // max(n_languages, 1)), sample_chars)
 
-    def make():
+    def counted():
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [ngrams(t) for t in b.column(2).to_pylist()]
             return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32()))], ["h", "lang", "hit", "n"])
 
         return each
 
-    low = known.select(F.col(key), F.col(language).cast("string").alias("lang"), text_of(text).alias("t")).join(F.broadcast(chosen), key).select("h", "lang", "t")
-    rows = sorted(arrow_map(low, make, "h long, lang string, hit array<int>, n array<int>").toPandas().itertuples(index=False), key=lambda r: (r.h, r.lang, len(r.hit)))
-    return fit([(np.asarray(r.hit), np.asarray(r.n), r.lang) for r in rows], idf, languages)
+    def make(sample: pa.Table) -> pa.RecordBatch:
+        languages = sorted(set(sample["lang"].to_pylist()))
+        part = lambda name: [x.values.to_numpy() for x in sample[name]]
+        model = fit(list(zip(part("hit"), part("n"), sample["lang"].to_pylist(), strict=True)), idf, languages)
+        at = np.flatnonzero(model.weights)
+        parts = [pa.array([languages], pa.list_(pa.string())), pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([model.weights.ravel()[at].tobytes()], pa.binary()), pa.array([model.temperature], pa.float64())]
+        return pa.RecordBatch.from_arrays(parts, ["languages", "place", "weight", "temperature"])
+
+    counts = arrow_map(rows.select("h", "g", "t"), counted, "h long, lang string, hit array<int>, n array<int>")
+    found = in_one_task(counts, "h", make, "languages array<string>, place binary, weight binary, temperature double").first()
+    if found is None:
+        return fit([], idf, [])
+    weights = np.zeros((BUCKETS + 1, len(found["languages"])), np.float32)
+    weights.ravel()[np.frombuffer(found["place"], "<i8")] = np.frombuffer(found["weight"], np.float32)
+    return LanguageModel(list(found["languages"]), weights, idf, found["temperature"])
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
