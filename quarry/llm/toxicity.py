@@ -5,20 +5,23 @@ their weights; a subsequence loses the factor ``DECAY`` for every character it s
 between or taken apart so still shares most of its weight with the plain one. Strings are words (folded to base letters,
 digits and signs that stand for letters read as such), cut into windows of ``WINDOW`` characters.
 
-Landmarks are a subset of the training words. A linear machine over the Nyström features of a word is, written out, a
+Landmarks are a subset of the training windows. A linear machine over the Nyström features of a word is, written out, a
 weighted sum of its kernel values with the landmarks, and that is one weight for each subsequence of the landmarks: the
 trained machine is a table over subsequences, and scoring a word sums its entries, with no landmark left to compare with.
 
-Labels are of whole documents. The machine is trained on words: all words of clean documents are negative; of toxic
-documents those words are positive that begin as only words of toxic documents do (by a likelihood ratio over the
-documents that hold such a beginning). Negatives are mined again with each machine. A document scores as its worst word,
-calibrated by a logistic curve in which both labels count as often as they occur.
+The machine is trained on labelled sentences, as bags of windows. A sentence has the label of its document. All windows of clean
+sentences are negative. Of a toxic document most sentences are harmless, so that each sentence puts forward one word, its witness: at first the
+one whose beginning only toxic documents hold (by a likelihood ratio over the documents that hold such a beginning), afterwards
+the one that the last machine finds worst. Sentences without a witness on the positive side are left out. Negatives are mined again with each
+machine. A sentence scores as its worst word and a document as its worst sentence, calibrated by a logistic curve, in which both labels
+count as often as they occur, on a fifth of the documents that is kept from training.
 
-Training uses at most ``per_class`` documents of each label, the first by a hash of the key; everything else covers all rows.
+Training uses a bounded sample (:class:`Training`) and runs in one task of an executor; everything else covers all rows.
 
-Edge cases: null and empty texts, and texts without a word, score as a text without a toxic word; without labels of
-both kinds every score is 0; rows with repeated keys get a row each; labels that are null count for nothing, and of several
-labels of one key the largest counts; very long texts are scored whole; columns other than key and text are not read.
+Edge cases: null and empty texts, and texts without a word, score as a text without a toxic word; with fewer than two documents of
+either label every score is 0; rows with repeated keys get a row each; labels that are null count for nothing, and of several
+labels of one key the largest counts; texts and words of any length are scored whole, in batches of windows; columns other than key and text are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,18 +29,21 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Collection
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, crc_fold, table, text_of
+from quarry.llm.bpe import in_blocks
+from quarry.llm.common import arrow_map, crc_fold, in_one_task, sampled, table, text_of
 
 DECAY, WINDOW, SPARE = 0.6, 14, 2
+#: Windows that are worked on together.
+BATCH = 8192
 #: Codes: 0 beyond the end, 1-26 letters, 27 either end of a word, 28 other letters, 29 other signs.
 BASE = 30
 #: Fixed: signs read as the letters that they stand for in disguised words.
@@ -45,6 +51,8 @@ STAND_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 #: For subsequences of each length: offsets behind the first character and the weight of the skips.
 PATTERNS = [((0, *rest), DECAY ** (rest[-1] - n + 1)) for n in (3, 4) for rest in combinations(range(1, n + SPARE), n - 1)]
 SPAN = max(p[-1] for p, _ in PATTERNS) + 1
+#: Where sentences end.
+STOP = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Words written as single characters apart from each other.
 SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){3,}\S(?!\S)")
 
@@ -74,16 +82,40 @@ def words(text: str) -> set[str]:
     return found
 
 
-def windows(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows (one row each, padded for the patterns) and the number of the word each is from."""
-    rows, of = [], []
+def sentences(text: str) -> list[set[str]]:
+    """The different words of each sentence of a text; sentences without a word are left out."""
+    return [found for part in STOP.split(text) if (found := words(part))]
+
+
+def _plain(word: str) -> str:
+    return word.strip(".,;:!?\"'()[]{}#*%&|<>")
+
+
+def _windows(word: str, first: bool) -> Iterator[str]:
+    s = "\x1b" + _plain(word).translate(_CODES) + "\x1b"
+    for at in range(0, 1 if first else max(1, len(s) - WINDOW + 1), 2):
+        yield s[at : at + WINDOW] if len(s) - at > WINDOW + 1 else s[at : at + WINDOW + 1]
+
+
+def windows(batch: Iterable[str], first: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of all windows of words, or of the first of each (one row each, padded for the patterns), and the number of the word each is
+    from, in parts of ``BATCH`` windows: a word of any length takes no more room than others."""
+    rows: list[str] = []
+    of: list[int] = []
+
+    def part() -> tuple[np.ndarray, np.ndarray]:
+        flat = "".join([r.ljust(WINDOW + 1 + SPAN, "\0") for r in rows]).encode("latin-1")
+        return np.frombuffer(flat, np.uint8).reshape(len(rows), -1).astype(np.int32), np.array(of, np.int64)
+
     for k, word in enumerate(batch):
-        s = "\x1b" + word.strip(".,;:!?\"'()[]{}#*%&|<>").translate(_CODES) + "\x1b"
-        for at in range(0, max(1, len(s) - WINDOW + 1), 2):
-            rows.append(s[at : at + WINDOW] if len(s) - at > WINDOW + 1 else s[at : at + WINDOW + 1])
+        for row in _windows(word, first):
+            rows.append(row)
             of.append(k)
-    flat = "".join([r.ljust(WINDOW + 1 + SPAN, "\0") for r in rows]).encode("latin-1")
-    return np.frombuffer(flat, np.uint8).reshape(len(rows), -1).astype(np.int32), np.array(of, np.int64)
+            if len(rows) == BATCH:
+                yield part()
+                rows, of = [], []
+    if rows:
+        yield part()
 
 
 def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,21 +138,20 @@ SIZE = BASE**4 + BASE**3
 
 
 class SubsequenceMachine:
-    def __init__(self, weights: np.ndarray, constant: float, slope: float = 1.0, offset: float = 0.0) -> None:
-        self.weights, self.constant, self.slope, self.offset = weights.astype(np.float32), constant, slope, offset
+    def __init__(self, weights: np.ndarray, constant: float, slope: float = 1.0, offset: float = 0.0, floor: float = 0.0) -> None:
+        self.weights, self.constant = weights.astype(np.float32), constant
+        self.slope, self.offset, self.floor = slope, offset, floor
 
     def margins(self, batch: list[str]) -> np.ndarray:
         """The worst window of each word."""
         out = np.full(len(batch), -np.inf, np.float32)
-        for at in range(0, len(batch), 4096):
-            part = batch[at : at + 4096]
-            codes, of = windows(part)
+        for codes, of in windows(batch):
             index, weight = subsequences(codes)
-            np.maximum.at(out[at : at + len(part)], of, (self.weights[index] @ weight) / norms(codes))
+            np.maximum.at(out, of, (self.weights[index] @ weight) / norms(codes))
         return out + np.float32(self.constant)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * np.clip(margin, -3, 3) + self.offset, -60, 60)))
+        return self.floor + (1 - self.floor) / (1.0 + np.exp(-np.clip(self.slope * np.clip(margin, -3, 3) + self.offset, -60, 60)))
 
 
 def _by_length() -> np.ndarray:
@@ -142,10 +173,7 @@ def norms(codes: np.ndarray) -> np.ndarray:
 def _rows(batch: list[str], all_windows: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sparse kernel features of the windows of words, or of the first window of each."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(batch), 2048):
-        codes, of = windows(batch[at : at + 2048])
-        if not all_windows:
-            codes = codes[np.concatenate([[True], of[1:] != of[:-1]])]
+    for codes, _ in windows(batch, not all_windows):
         index, weight = subsequences(codes)
         for row, norm in zip(index, norms(codes), strict=True):
             hit = row > 0
@@ -154,55 +182,102 @@ def _rows(batch: list[str], all_windows: bool) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, sweeps: int = 100, seed: int = 3) -> np.ndarray:
-    """Linear L2-loss machine by dual coordinate descent; the last feature is the constant one."""
-    draw, alpha, w = np.random.default_rng(seed), np.zeros(len(y)), np.zeros(x.shape[1])
-    diagonal, square = 0.5 / cost, np.einsum("ij,ij->i", x, x)
-    for _ in range(sweeps):
-        for i in draw.permutation(len(y)):
-            g = y[i] * (w @ x[i]) - 1 + diagonal[i] * alpha[i]
-            new = max(alpha[i] - g / (square[i] + diagonal[i]), 0.0)
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) -> np.ndarray:
+    """Linear L2-loss machine by Newton steps on the rows inside the margin; the last feature is the constant one."""
+    w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        slack = np.maximum(1 - y * (x @ w.astype(x.dtype)), 0.0)
+        return float(0.5 * w @ w + (cost * slack * slack).sum()), slack > 0
+
+    now, inside = loss(w)
+    for _ in range(steps):
+        matrix, aim = np.eye(len(w)), np.zeros(len(w))
+        for at in range(0, len(x), 4096):  # in parts, so that no second copy of all rows is made
+            part = x[at : at + 4096][inside[at : at + 4096]].astype(np.float64)
+            c = 2 * cost[at : at + 4096][inside[at : at + 4096]]
+            matrix += (part * c[:, None]).T @ part
+            aim += part.T @ (c * y[at : at + 4096][inside[at : at + 4096]])
+        step, size = np.linalg.solve(matrix, aim) - w, 1.0
+        while size > 1e-3:
+            then, there = loss(w + size * step)
+            if then < now:
+                break
+            size /= 2
+        else:
+            break
+        done = now - then < 1e-6 * now
+        w, now, inside = w + size * step, then, there
+        if done:
+            break
     return w
 
 
-def _platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve with the least weighted log loss, on a grid of slopes and turning points."""
-    best = (np.inf, 1.0, 0.0)
-    for slope in np.geomspace(1, 40, 24):
-        for turn in np.linspace(-1.5, 1.5, 61):
-            z = np.clip(slope * (margin - turn), -30, 30)
-            loss = float((weight * np.logaddexp(0, np.where(label == 1, -z, z))).sum())
-            best = min(best, (loss, float(slope), float(-slope * turn)))
-    return best[1], best[2]
-
+def _platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Slope, offset and floor of the logistic curve with the least weighted log loss, on a grid of slopes, turning points and floors.
 
-def without_copies(docs: list[tuple[Collection[str], int]]) -> list[tuple[Collection[str], int]]:
+    The floor is the share of documents that are labelled although nothing in them says so: without it a few of them would flatten the curve.
+    """
+    best = (np.inf, 1.0, 0.0, 0.0)
+    for floor in (0.0, 0.003, 0.01, 0.02, 0.05, 0.1):
+        for slope in np.geomspace(1, 40, 24):
+            for turn in np.linspace(-1.5, 1.5, 61):
+                p = floor + (1 - floor) / (1 + np.exp(-np.clip(slope * (margin - turn), -30, 30)))
+                p = np.clip(np.where(label == 1, p, 1 - p), 1e-9, 1)
+                best = min(best, (-float((weight * np.log(p)).sum()), float(slope), float(-slope * turn), floor))
+    return best[1:]
+
+
+@dataclass(frozen=True)
+class Training:
+    """Bounds of the sample and of the machine."""
+
+    #: Documents of each label, and characters of them in all.
+    per_class: int = 3000
+    chars: int = 40_000_000
+    #: Words put forward by sentences, at most, the strongest.
+    witnesses: int = 2500
+    #: Of them, those that are also shown disguised: taken apart, or with a sign put in.
+    disguised: int = 80
+    #: Windows that the Nyström features compare with; negative words; machines trained one after the other.
+    landmarks: int = 500
+    negatives: int = 12_000
+    rounds: int = 3
+    #: Every so many-th document is kept from training, for the curve.
+    kept: int = 5
+    #: The likelihood ratio statistic from which a beginning speaks for the label.
+    least: float = 10.0
+    seed: int = 5
+
+
+#: The sentences of a document, each as its different words, and the document's label.
+Labelled = tuple[list[list[str]], int]
+
+
+def without_copies(docs: list[Labelled]) -> list[Labelled]:
     """One document of each group of near copies: in copies of a toxic document any word looks like a witness.
 
-    Three min-hashes over the long words of a document; documents that share one are taken for copies.
+    Documents of a label that share the least of three hashes of their words, and half of the words that either has, are copies.
     """
     for salt in ("a", "b", "c"):
-        first: dict[tuple, tuple[Collection[str], int]] = {}
-        for k, (found, label) in enumerate(docs):
-            long = [w for w in found if len(w) >= 7]
-            key = min((zlib.crc32((salt + w).encode()), w) for w in long) if len(long) > 4 else (-k, "")
-            first.setdefault((label, *key), (found, label))
-        docs = list(first.values())
+        first: dict[tuple[int, int], set[str]] = {}
+        left = []
+        for parts, label in docs:
+            own = {w for part in parts for w in part}
+            if own:
+                known = first.setdefault((label, min(zlib.crc32((salt + w).encode()) for w in own)), own)
+                if known is not own and 2 * len(own & known) >= len(own | known):
+                    continue
+            left.append((parts, label))
+        docs = left
     return docs
 
 
-def witnesses(toxic: list[list[str]], clean: list[list[str]], most: int, least: float = 10.0) -> list[tuple[str, int]]:
-    """Words of toxic documents with a beginning (four characters or more) that speaks for the label: the
-    strongest, in the order of how many toxic documents hold each.
-
-    The strength of a beginning is the likelihood ratio statistic of the documents of either label that hold it.
-    """
+def strong_beginnings(toxic: list[set[str]], clean: list[set[str]], least: float) -> dict[str, float]:
+    """Beginnings of words, of four characters or more, that speak for the label, and how strongly: by the
+    likelihood ratio statistic of the documents of either label that hold a beginning."""
     in_toxic: dict[str, int] = {}
     in_clean: dict[str, int] = {}
-    clean_words = {w for d in clean for w in d}
     for counts, group in ((in_toxic, toxic), (in_clean, clean)):
         for d in group:
             starts = {w[:k] for w in map(_plain, d) for k in range(4, min(len(w), 12) + 1)}
@@ -213,120 +288,131 @@ def witnesses(toxic: list[list[str]], clean: list[list[str]], most: int, least:
     n1, n0 = len(toxic), len(clean)
 
     def strength(x: str) -> float:
-        k1, k0 = in_toxic.get(x, 0), in_clean.get(x, 0)
+        k1, k0 = in_toxic[x], in_clean.get(x, 0)
         if k1 < 2 or k1 * n0 <= 12 * k0 * n1:
             return 0.0
         p = (k1 + k0) / (n1 + n0)
         part = lambda k, n: (k * np.log(k / (n * p)) if k else 0.0) + ((n - k) * np.log((n - k) / (n * (1 - p))) if n > k else 0.0)
         return 2.0 * (part(k1, n1) + part(k0, n0))
 
-    strong = {x: v for x in in_toxic if (v := strength(x)) > least}
-    best: dict[str, float] = {}
-    held: dict[str, int] = {}
-    for d in toxic:
-        for p in {_plain(w) for w in d if w not in clean_words}:
-            if p in best or (v := max((strong.get(p[:k], 0.0) for k in range(4, min(len(p), 12) + 1)), default=0.0)) > 0:
-                held[p] = held.get(p, 0) + 1
-                best.setdefault(p, v)
-    strongest = sorted(best, key=lambda w: (-best[w], w))[:most]
-    return sorted([(w, held[w]) for w in strongest], key=lambda x: (-x[1], x[0]))
-
+    return {x: v for x in in_toxic if (v := strength(x)) > least}
 
-def _plain(word: str) -> str:
-    return word.strip(".,;:!?\"'()[]{}#*%&|<>")
 
-
-def train(docs: list[tuple[Collection[str], int]], share: float | None = None, landmarks: int = 500, negatives: int = 12000, rounds: int = 3, seed: int = 5) -> SubsequenceMachine | None:
-    """A machine from ``(different words, label)`` of documents; None without documents of both labels or without a witness.
+def put_forward(sentences: list[list[str]], worth: dict[str, float], most: int) -> list[tuple[str, int]]:
+    """The witnesses of sentences, each the word of its sentence that is worth most (and more than nothing), with the number of sentences
+    that put it forward: the worthiest ``most`` of them, in the order of that number."""
+    held: dict[str, int] = {}
+    for part in sentences:
+        best = max(((worth[w], w) for w in map(_plain, part) if worth.get(w, 0.0) > 0), default=None)
+        if best is not None:
+            held[best[1]] = held.get(best[1], 0) + 1
+    chosen = sorted(held, key=lambda w: (-worth[w], w))[:most]
+    return sorted([(w, held[w]) for w in chosen], key=lambda x: (-x[1], x[0]))
+
+
+def _nystroem(features: list[tuple[np.ndarray, np.ndarray]], marks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nyström features of all rows (and a constant one); the landmarks' subsequences, their weights, and the root of the kernel matrix."""
+    own = np.unique(np.concatenate([features[i][0] for i in marks]))
+    dense = np.zeros((len(marks), len(own)), np.float32)
+    for k, i in enumerate(marks):
+        dense[k, np.searchsorted(own, features[i][0])] = features[i][1]
+    values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
+    good = values > 1e-5 * values.max()
+    root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+    by_subsequence = np.ascontiguousarray(dense.T)
+    x = np.ones((len(features), root.shape[1] + 1), np.float32)
+    for k, (u, value) in enumerate(features):
+        at = np.minimum(np.searchsorted(own, u), len(own) - 1)
+        hit = own[at] == u
+        x[k, :-1] = (value[hit] @ by_subsequence[at[hit]]) @ root
+    return x, own, dense, root
+
+
+def train(docs: list[Labelled], share: float | None = None, bounds: Training = Training()) -> SubsequenceMachine | None:
+    """A machine from labelled sentences; None without two documents of either label or without a witness.
 
     ``share``: of toxic documents where the machine is used; that of ``docs`` by default.
     """
-    draw, docs = np.random.default_rng(seed), without_copies(docs)
-    toxic, clean = [sorted(d) for d, y in docs if y == 1], [sorted(d) for d, y in docs if y == 0]
-    if not toxic or not clean:
+    draw, docs = np.random.default_rng(bounds.seed), without_copies(docs)
+    groups = [[d for d, y in docs if y == label] for label in (1, 0)]
+    if min(map(len, groups)) < 2:
         return None
-    # With documents enough, a fifth is kept from training for the curve.
-    kept = [g[::5] if len(toxic) >= 200 else g for g in (toxic, clean)]
-    if len(toxic) >= 200:
-        toxic, clean = ([d for k, d in enumerate(g) if k % 5] for g in (toxic, clean))
-    found = witnesses(toxic, clean, 2500)
+    share = len(groups[0]) / len(docs) if share is None else share
+    kept = [g[:: bounds.kept] for g in groups]
+    toxic, clean = ([d for k, d in enumerate(g) if k % bounds.kept] for g in groups)
+    words_of = lambda d: {w for part in d for w in part}
+    ordinary = sorted(set().union(*map(words_of, clean)))
+    harmless = {_plain(w) for w in ordinary}
+    beginnings = strong_beginnings(list(map(words_of, toxic)), list(map(words_of, clean)), bounds.least)
+    suspects = sorted({p for d in toxic for p in map(_plain, words_of(d))} - harmless)
+    bags = [part for d in toxic for part in d]
+    worth = {p: v for p in suspects if (v := max((beginnings.get(p[:k], 0.0) for k in range(4, min(len(p), 12) + 1)), default=0.0)) > 0}
+    found = put_forward(bags, worth, bounds.witnesses)
     if not found:
         return None
-    # The most frequent ones also taken apart, and with a sign put in.
-    apart = [("-".join(w), n / 4) for w, n in found[:80]] + [(f"{w[:k]}*{w[k:]}", n / 4) for w, n in found[:80] for k in (2, len(w) // 2)]
-    found = found[:80] + apart + found[80:]
-    positive, seen = [w for w, _ in found], np.array([n for _, n in found], np.float64)
-    ordinary = sorted({w for d in clean for w in d})
     mined: set[str] = set()
     machine = None
-    for _ in range(rounds):
+    for _ in range(bounds.rounds):
         if machine is not None:
+            worth = dict(zip(suspects, machine.margins(suspects).tolist(), strict=True))
+            found = put_forward(bags, worth, bounds.witnesses) or found
             margin = machine.margins(ordinary)
-            mined.update(ordinary[i] for i in np.argsort(-margin, kind="stable")[: negatives // 3] if margin[i] > -1)
-        else:  # words that begin or end like a witness
-            near = {p[:2] for p in positive} | {p[-3:] for p in positive}
+            mined.update(ordinary[i] for i in np.argsort(-margin, kind="stable")[: bounds.negatives // 3] if margin[i] > -1)
+        else:  # words that begin or end like a witness, and any
+            near = {w[:2] for w, _ in found} | {w[-3:] for w, _ in found}
             close = [w for w in ordinary if w[:2] in near or w[-3:] in near]
-            mined.update(close[i] for i in draw.choice(len(close), min(len(close), negatives // 2), replace=False))
-            mined.update(ordinary[i] for i in draw.choice(len(ordinary), min(len(ordinary), negatives // 2), replace=False))
-        features = _rows(positive, False)
+            for those in (close, ordinary):
+                mined.update(those[i] for i in draw.choice(len(those), min(len(those), bounds.negatives // 2), replace=False))
+        frequent = found[: bounds.disguised]
+        apart = [("-".join(w), n / 4) for w, n in frequent] + [(f"{w[:k]}*{w[k:]}", n / 4) for w, n in frequent for k in (2, len(w) // 2)]
+        shown = frequent + apart + found[bounds.disguised :]
+        features = _rows([w for w, _ in shown], False)
         n_pos = len(features)
         features += _rows(sorted(mined), True)
-        y = np.array([1.0] * n_pos + [-1.0] * (len(features) - n_pos))
-        # Landmarks: witnesses, the most frequent and some of the rest, and negatives to hold against them.
-        strong = min(n_pos, landmarks // 3)
-        others = draw.choice(np.arange(strong, n_pos), min(n_pos - strong, landmarks // 3), replace=False) if n_pos > strong else []
-        marks = [int(i) for i in (*range(strong), *others, *draw.choice(np.arange(n_pos, len(features)), min(landmarks // 3, len(features) - n_pos), replace=False))]
-        own = np.unique(np.concatenate([features[i][0] for i in marks]))
-        dense = np.zeros((len(marks), len(own)), np.float32)
-        for k, i in enumerate(marks):
-            dense[k, np.searchsorted(own, features[i][0])] = features[i][1]
-        kernel = np.zeros((len(features), len(marks)), np.float32)
-        for k, (u, value) in enumerate(features):
-            at = np.minimum(np.searchsorted(own, u), len(own) - 1)
-            hit = own[at] == u
-            kernel[k] = dense[:, at[hit]] @ value[hit]
-        values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
-        good = values > 1e-5 * values.max()
-        root = vectors[:, good] / np.sqrt(values[good])
-        n_neg = len(features) - n_pos
-        x = np.ones((len(features), root.shape[1] + 1))
-        for at in range(0, len(x), 2048):
-            x[at : at + 2048, :-1] = kernel[at : at + 2048] @ root
-        del kernel, features  # no round's arrays stay while the next one's are made
-        w = _svm(x, y, np.concatenate([4.0 * seen, np.full(n_neg, 4.0)]))
+        # Landmarks: the most frequent witnesses and some of the rest, and negatives to hold against them.
+        third = bounds.landmarks // 3
+        strong = min(n_pos, third)
+        marks = [*range(strong), *draw.choice(np.arange(strong, n_pos), min(n_pos - strong, third), replace=False).tolist()]
+        marks += draw.choice(np.arange(n_pos, len(features)), min(third, len(features) - n_pos), replace=False).tolist()
+        x, own, dense, root = _nystroem(features, marks)
+        y = np.where(np.arange(len(features)) < n_pos, 1.0, -1.0)
+        w = _svm(x, y, np.concatenate([4.0 * np.array([n for _, n in shown]), np.full(len(features) - n_pos, 4.0)]))
+        del x, features  # no round's arrays stay while the next one's are made
         weights = np.zeros(SIZE, np.float32)
         weights[own] = dense.T @ (root @ w[:-1]).astype(np.float32)
         machine = SubsequenceMachine(weights, float(w[-1]))
-        del dense, x
-    worst = np.array([machine.margins(d).max() if d else -2.0 for g in kept for d in g], np.float64)
+        del dense
+    worst = np.array([machine.margins(sorted(words_of(d))).max(initial=-2.0) for g in kept for d in g], np.float64)
     label = np.array([1.0] * len(kept[0]) + [0.0] * len(kept[1]))
-    share = len(toxic) / (len(toxic) + len(clean)) if share is None else share
-    machine.slope, machine.offset = _platt(np.clip(worst, -3, 3), label, np.where(label == 1, share / max(len(kept[0]), 1), (1 - share) / max(len(kept[1]), 1)))
+    machine.slope, machine.offset, machine.floor = _platt(np.clip(worst, -3, 3), label, np.where(label == 1, share / len(kept[0]), (1 - share) / len(kept[1])))
     return machine
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> list[tuple[Collection[str], int]]:
-    """At most ``per_class`` documents of each label, the first by a hash of their key, as their different words."""
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
-    order = F.xxhash64(F.col(key), F.lit("toxicity"))
-    chosen = None
-    for value in (0, 1):
-        some = docs.select(key).distinct().join(marked.where(F.col("label") == value), key).select(key, "label", order.alias("h")).orderBy("h").limit(per_class)
-        chosen = some if chosen is None else chosen.unionAll(some)
-    low = docs.select(F.col(key), text_of(text).alias("t")).join(F.broadcast(chosen), key)
+def train_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bounds: Training = Training()) -> SubsequenceMachine | None:
+    """A machine from the labelled documents among ``docs``: a bounded sample of each label, as sentences, goes to one task."""
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("label_key")).agg(F.max(label).cast("int").alias("label"))
+    share = marked.agg(F.avg("label")).first()[0]
+    known = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marked, F.col("key") == F.col("label_key")).select("key", "text", "label")
+    rows = sampled(known, F.col("label"), [F.col("key"), F.lit("toxicity")], "text", bounds.per_class, bounds.chars)
 
-    def make():
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(words(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["h", "label", "words"])
+    def cut():
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[sorted(part) for part in sentences(t)] for t in b.column(2).to_pylist()], pa.list_(pa.list_(pa.string())))], ["h", "label", "sentences"])
 
-    rows = arrow_map(low.select("h", "label", "t"), make, "h long, label int, words array<string>").toArrow().combine_chunks()
-    if not rows.num_rows:
-        return []
-    found = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
-    known, number = found.dictionary.to_pylist(), found.indices.to_numpy()  # one copy of each word
-    ends = np.cumsum(pc.list_value_length(rows["words"]).to_numpy())
-    h, label = rows["h"].to_pylist(), rows["label"].to_pylist()
-    out = [(h[k], [known[i] for i in part], label[k]) for k, part in enumerate(np.split(number, ends[:-1]))]
-    return [(tuple(own), y) for _, own, y in sorted(out)]
+    def make(sample: pa.Table) -> pa.RecordBatch:
+        intern: dict[str, str] = {}  # one copy of each word
+        docs = [([[intern.setdefault(w, w) for w in part] for part in d], y) for d, y in zip(sample["sentences"].to_pylist(), sample["label"].to_pylist(), strict=True)]
+        machine = train(docs, share, bounds) or SubsequenceMachine(np.zeros(SIZE), 0.0, 0.0, -60.0)
+        at = np.flatnonzero(machine.weights)
+        parts = [pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([machine.weights[at].tobytes()], pa.binary()), *(pa.array([float(v)], pa.float64()) for v in (machine.constant, machine.slope, machine.offset, machine.floor))]
+        return pa.RecordBatch.from_arrays(parts, ["place", "weight", "constant", "slope", "offset", "floor"])
+
+    split = arrow_map(rows.select("h", "g", "t"), cut, "h long, label int, sentences array<array<string>>")
+    found = in_one_task(split, "h", make, "place binary, weight binary, constant double, slope double, offset double, floor double").first()
+    if found is None or not found["place"]:
+        return None
+    weights = np.zeros(SIZE, np.float32)
+    weights[np.frombuffer(found["place"], "<i4")] = np.frombuffer(found["weight"], np.float32)
+    return SubsequenceMachine(weights, found["constant"], found["slope"], found["offset"], found["floor"])
 
 
 def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, key: str = "doc_id", text: str = "text", cut: float = 0.7, cache_words: int = 400_000) -> DataFrame:
@@ -336,19 +422,20 @@ def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, key: str
     def make():
         own, cache = sent.value, {}
 
-        def margin(text: str) -> float:
-            found = words(text)
-            if new := found.difference(cache):
-                if len(cache) + len(new) > cache_words:
-                    cache.clear()
-                    new = found
-                new = list(new)
+        def worst(texts: list[str]) -> list[float]:
+            """Of texts that are worked on together: new words of all of them go to the machine at once."""
+            nonlocal cache
+            found = [words(t) for t in texts]
+            met = set().union(*found)
+            if len(cache) + len(met) > cache_words:
+                cache = {w: cache[w] for w in met if w in cache}
+            if new := list(met.difference(cache)):
                 cache.update(zip(new, own.margins(new).tolist(), strict=True))
-            return max(map(cache.__getitem__, found), default=-2.0)
+            return [max(map(cache.__getitem__, f), default=-2.0) for f in found]
 
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(1).to_pylist()
-            score = own.probability(np.array([margin(t) for t in texts])) if own else np.zeros(len(texts))
+            score = own.probability(np.array([m for block in in_blocks(texts) for m in worst(block)])) if own else np.zeros(len(texts))
             return pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], ["key", "score", "predicted"])
 
         return each
@@ -357,10 +444,9 @@ def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, key: str
     return arrow_map(docs.select(F.col(key).alias("key"), text_of(text).alias("text")), make, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
 
 
-def op2_toxicity(spark: SparkSession, sf_dir: str, per_class: int = 3000) -> DataFrame:
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_fold("doc_id", 3) != 1)
     held_out = crc_fold("doc_id", 3) == 1
-    sample = training_sample(docs.where(~held_out), labels, "doc_id", "text", "toxic", per_class)
-    share = labels.agg(F.avg("toxic")).first()[0]
-    return score_toxicity(docs, train(sample, share)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    machine = train_on(docs.where(~held_out), labels)
+    return score_toxicity(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
