@@ -84,18 +84,22 @@ def find_windows(postings: DataFrame, windows: DataFrame) -> DataFrame:
     begun = postings.join(broadcast_if_small(written(first, "rarest")), "term").select("k", "f", "n_words", "window_id", "n", start)
     begun = written(begun.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))).drop("n_words").distinct(), "places")
 
-    def there(wanted: DataFrame) -> DataFrame:
-        """The rows of ``wanted`` (``k, f, window_id, n, start, place, term``) at whose offset the posting is."""
+    def there(wanted: DataFrame, lists: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` (``k, f, window_id, n, start, place, term``) at whose offset the posting is, among those of ``lists``."""
         w = broadcast_if_small(written(wanted.withColumnsRenamed({"k": "wanted_k", "f": "wanted_f", "term": "wanted_term"}), "wanted"))
         same = F.col("k").eqNullSafe(F.col("wanted_k")) & (F.col("f") == F.col("wanted_f")) & (F.col("term") == F.col("wanted_term")) & (F.col("pos") == F.col("start") + F.col("place") + 1)
-        return postings.select("k", "f", "pos", "term").join(w, same).select("k", "f", "window_id", "n", "start", "place").distinct()
+        return lists.select("k", "f", "pos", "term").join(w, same).select("k", "f", "window_id", "n", "start", "place").distinct()
 
     terms = rare.select("window_id", "terms")
     second = begun.where("n > 1").join(broadcast_if_small(terms), "window_id").select(begun["*"], F.get("terms", F.lit(1))["place"].alias("place"), F.get("terms", F.lit(1))["term"].alias("term"))
-    two = written(there(second).drop("place"), "two-terms")
+    # Only lists of second terms, and afterwards only those of documents in which two terms are in place, can end in a join's shuffle.
+    seconds = written(rare.where("n > 1").select(F.get("terms", F.lit(1))["term"].alias("term")).distinct(), "second-terms")
+    two = written(there(second, postings.join(broadcast_if_small(seconds), "term", "left_semi")).drop("place"), "two-terms")
+    of_two = written(two.where("n > 2").select(F.col("k").alias("two_k"), F.col("f").alias("two_f")).distinct(), "two-documents")
+    in_two = postings.join(broadcast_if_small(of_two), F.col("k").eqNullSafe(F.col("two_k")) & (F.col("f") == F.col("two_f")), "left_semi")
     others = two.where("n > 2").join(broadcast_if_small(terms), "window_id").select(two["*"], F.explode(F.slice("terms", 3, F.greatest(F.size("terms") - 2, F.lit(0)))).alias("t"))
     others = others.select("k", "f", "window_id", "n", "start", F.col("t.place").alias("place"), F.col("t.term").alias("term"))
-    all_there = there(others).groupBy("k", "f", "window_id", "n", "start").agg(F.count("*").alias("met")).where(F.col("met") == F.col("n") - 2).drop("met")
+    all_there = there(others, in_two).groupBy("k", "f", "window_id", "n", "start").agg(F.count("*").alias("met")).where(F.col("met") == F.col("n") - 2).drop("met")
     columns = ["k", "f", "start", "n", "window_id"]
     return begun.where("n = 1").select(*columns).unionAll(two.where("n = 2").select(*columns)).unionAll(all_there.select(*columns))
 
