@@ -108,22 +108,28 @@ def crc_fold(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % modulus
 
 
-def sampled(docs: DataFrame, group: Column, hashed: list[Column], text: str, most_rows: int, most_chars: int) -> DataFrame:
+def sampled(docs: DataFrame, key: str, text: str, salt: str, most_rows: int, most_chars: int, group: Column | None = None, groups: DataFrame | None = None) -> DataFrame:
     """``h, g, t``: of every group at most ``most_rows`` different rows with ``most_chars`` characters in all, the first by ``h``.
 
-    ``h`` is a hash of the columns ``hashed`` and the text, so that every run draws alike and repeated rows count once. Rows
-    longer than a twentieth of ``most_chars`` are not drawn. Rows that cannot be among the first are left out before anything is
-    sorted, so that a group of any size costs a count and a sort of a few times ``most_rows``.
+    A row's group is ``group``, or what the table ``groups`` (``group_key, g``) has for its key; rows without one are not drawn. ``h`` is a hash of
+    key and text, so that every run draws alike and repeated rows count once. Rows longer than a twentieth of ``most_chars`` are not
+    drawn. Only hashes and lengths are joined and counted; rows that cannot be among the first are left out before anything is
+    sorted, so that a group of any size costs a count and a sort of a few times ``most_rows``; and texts follow for those chosen.
     """
-    rows = docs.select(F.xxhash64(*hashed, F.coalesce(F.col(text), F.lit(""))).alias("h"), group.alias("g"), text_of(text).alias("t")).where(F.col("g").isNotNull())
-    light = rows.select("h", "g", F.length("t").alias("n")).where(F.col("n") <= most_chars // 20)
-    counts = light.groupBy("g").agg(F.count("*").alias("of"))
+    own = F.col("key").alias("g") if group is None else group.alias("g")
+    rows = docs.withColumns({"key": F.col(key)}) if key != "key" else docs
+    h = F.xxhash64(F.col("key"), F.col("key").isNull(), F.lit(salt), text_of(text)).alias("h")
+    light = rows.select(h, "key", own, F.length(text_of(text)).alias("n")).where(F.col("n") <= most_chars // 20)
+    if groups is not None:
+        light = light.drop("g").join(broadcast_if_small(written(groups, "groups")), F.col("key") == F.col("group_key"))
+    light = written(light.where(F.col("g").isNotNull()).select("h", "g", "n"), "drawn")
+    counts = broadcast_if_small(written(light.groupBy("g").agg(F.count("*").alias("of")), "counts"))
     place = (F.col("h") / 2.0**64 + 0.5) * F.col("of")
     first = light.join(counts, "g").where(place <= 4 * most_rows + 200).groupBy("g", "h").agg(F.max("n").alias("n"))
     by = Window.partitionBy("g").orderBy("h")
     ranked = first.withColumns({"rank": F.row_number().over(by), "chars": F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))})
     chosen = written(ranked.where((F.col("rank") <= most_rows) & (F.col("chars") <= most_chars)).select("h", "g"), "sample")
-    return rows.join(broadcast_if_small(chosen), ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
+    return rows.select(h, text_of(text).alias("t")).join(broadcast_if_small(chosen), "h").select("h", "g", "t").dropDuplicates(["h", "g"])
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:

@@ -135,7 +135,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
     df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
     n_languages = known.select("lang").distinct().count()
-    rows = sampled(known, F.col("lang"), [F.col("key"), F.lit("language")], "text", max(least_docs, sample_docs // max(n_languages, 1)), sample_chars)
+    rows = sampled(known, "key", "text", "language", max(least_docs, sample_docs // max(n_languages, 1)), sample_chars, F.col("lang"))
 
     def counted():
         def each(b: pa.RecordBatch) -> pa.RecordBatch:

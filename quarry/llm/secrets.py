@@ -147,7 +147,7 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 
 def train_on(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 1000, sample_chars: int = 8_000_000) -> MarkovPair:
     """The models of a bounded sample of the documents."""
-    rows = sampled(docs, F.lit(0), [F.col(key), F.col(key).isNull()], text, sample_docs, sample_chars)
+    rows = sampled(docs, key, text, "secrets", sample_docs, sample_chars, F.lit(0))
 
     def make(sample: pa.Table) -> pa.RecordBatch:
         models = train(sample["t"].to_pylist())

@@ -259,13 +259,16 @@ def without_copies(docs: list[Labelled]) -> list[Labelled]:
 
     Documents of a label that share the least of three hashes of their words, and half of the words that either has, are copies.
     """
-    for salt in ("a", "b", "c"):
+    crc: dict[str, int] = {}
+    for factor in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35):
         first: dict[tuple[int, int], set[str]] = {}
         left = []
         for parts, label in docs:
             own = {w for part in parts for w in part}
             if own:
-                known = first.setdefault((label, min(zlib.crc32((salt + w).encode()) for w in own)), own)
+                for w in own.difference(crc):
+                    crc[w] = zlib.crc32(w.encode())
+                known = first.setdefault((label, min([crc[w] * factor & 0xFFFFFFFF for w in own])), own)
                 if known is not own and 2 * len(own & known) >= len(own | known):
                     continue
             left.append((parts, label))
@@ -282,7 +285,7 @@ def strong_beginnings(toxic: list[set[str]], clean: list[set[str]], least: float
         for d in group:
             starts = {w[:k] for w in map(_plain, d) for k in range(4, min(len(w), 12) + 1)}
             if counts is in_clean:
-                starts = starts.intersection(in_toxic)
+                starts = {x for x in starts if x in in_toxic}
             for x in starts:
                 counts[x] = counts.get(x, 0) + 1
     n1, n0 = len(toxic), len(clean)
@@ -390,10 +393,9 @@ def train(docs: list[Labelled], share: float | None = None, bounds: Training = T
 
 def train_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bounds: Training = Training()) -> SubsequenceMachine | None:
     """A machine from the labelled documents among ``docs``: a bounded sample of each label, as sentences, goes to one task."""
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("label_key")).agg(F.max(label).cast("int").alias("label"))
-    share = marked.agg(F.avg("label")).first()[0]
-    known = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marked, F.col("key") == F.col("label_key")).select("key", "text", "label")
-    rows = sampled(known, F.col("label"), [F.col("key"), F.lit("toxicity")], "text", bounds.per_class, bounds.chars)
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("group_key")).agg(F.max(label).cast("int").alias("g"))
+    share = marked.agg(F.avg("g")).first()[0]
+    rows = sampled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", "toxicity", bounds.per_class, bounds.chars, groups=marked)
 
     def cut():
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[sorted(part) for part in sentences(t)] for t in b.column(2).to_pylist()], pa.list_(pa.list_(pa.string())))], ["h", "label", "sentences"])

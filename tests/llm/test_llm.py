@@ -546,7 +546,7 @@ def test_op2_a_long_word_is_scored_in_parts():
 def test_op2_reads_enough_for_what_one_toxic_document_in_two_hundred_holds(spark):
     docs = [(k, f"plain words {k} " + ("stone" if k % 2 else "quimbat" if k % 400 == 0 else "zorgol"), k % 2 ^ 1) for k in range(10_000)]
     rows = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
-    sample = common.sampled(rows, F.col("toxic"), [F.col("doc_id")], "text", toxicity.Training.per_class, toxicity.Training.chars).collect()
+    sample = common.sampled(rows.select("doc_id", "text"), "doc_id", "text", "x", toxicity.Training.per_class, toxicity.Training.chars, groups=rows.selectExpr("doc_id AS group_key", "toxic AS g")).collect()
     toxic, clean = ([set(r["t"].split()) for r in sample if r["g"] == label] for label in (1, 0))
     assert len(toxic) == len(clean) == 3000
     beginnings = toxicity.strong_beginnings(toxic, clean, toxicity.Training.least)
@@ -567,7 +567,7 @@ def test_op2_held_out_documents(spark):
 def test_samples_are_bounded_and_hold_repeated_rows_once(spark):
     rows = [(k, f"text {k}", "a") for k in range(500)] + [(1, "again", "a")] * 500 + [(k, "x" * 400, "b") for k in range(50)] + [(1, None, "c"), (None, "t", "c"), (2, "t", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = [(r["g"], r["t"]) for r in common.sampled(df, F.col("lang"), [F.col("doc_id")], "text", 100, 10_000).collect()]
+    got = [(r["g"], r["t"]) for r in common.sampled(df, "doc_id", "text", "x", 100, 10_000, F.col("lang")).collect()]
     assert collections.Counter(g for g, _ in got) == {"a": 100, "b": 25, "c": 2} and got.count(("a", "again")) <= 1
 
 
