@@ -18,7 +18,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +37,8 @@ SIGNS = ".,;:!?*$%&#|\"()[]{}<>=+-_/@"
 UNEVEN = ("  ", "\n\n", " \n", "\n ", *"\0\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B)))
 #: What separates fragments, and what marks a cut inside one.
 APART, CUT = "\n", "\t"
-#: Characters of texts that are worked on together.
-BLOCK = 500_000
+#: Characters of texts that are worked on together: enough for calls in bulk, few enough to stay in a processor's cache.
+BLOCK = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -122,6 +122,14 @@ class TwoGenerations:
         return list(new)
 
 
+def encode_pieces(cut: list[list[str]], known: TwoGenerations, learn: Callable[[list[str]], None]) -> list[bytes]:
+    """The ids of texts given as pieces; ``learn`` is called for those that are not known, all together."""
+    if new := known.missing(set().union(*cut)):
+        learn(new)
+    of = known.young.__getitem__
+    return [b"".join(map(of, pieces)) for pieces in cut]
+
+
 def in_blocks(texts: Iterable[str], most: int = BLOCK) -> Iterator[list[str]]:
     """Texts in their order, together as long as they have ``most`` characters at most; a longer one is alone."""
     block: list[str] = []
@@ -183,7 +191,9 @@ class ForcedBoundaryBPE:
         named, bodies, tails, rest = [], [], [], []
         for p in new:
             body = p.rstrip(SIGNS)
-            if body.isalpha() or (body[:1] == " " and body[1:].isalpha()):
+            if p in self.special:
+                self.known.young[p] = np.array([self.special[p]], self.width).tobytes()
+            elif body.isalpha() or (body[:1] == " " and body[1:].isalpha()):
                 named.append(p)
                 bodies.append(body)
                 tails.append(p[len(body) :])
@@ -210,27 +220,13 @@ class ForcedBoundaryBPE:
         """The ids of each text as bytes."""
         out: list[bytes] = []
         for block in in_blocks(texts):
-            cut: list[list[str | bytes]] = []
+            cut = []
             for t in block:
                 if self.at_special and any(map(t.__contains__, self.special)):
-                    parts: list[str | bytes] = []
-                    for part in self.at_special.split(t):
-                        if part in self.special:
-                            parts.append(np.array([self.special[part]], self.width).tobytes())
-                        elif part:
-                            parts += self.pieces(part)
-                    cut.append(parts)
+                    cut.append([p for part in self.at_special.split(t) if part for p in ([part] if part in self.special else self.pieces(part))])
                 else:
                     cut.append(self.pieces(t) if t else [])
-            met = {p for parts in cut for p in parts if p.__class__ is str}
-            if new := self.known.missing(met):
-                self.learn(new)
-            of = self.known.young.__getitem__
-            for parts in cut:
-                try:
-                    out.append(b"".join(map(of, parts)))
-                except KeyError:  # a special token stands among the pieces
-                    out.append(b"".join([p if isinstance(p, bytes) else of(p) for p in parts]))
+            out += encode_pieces(cut, self.known, self.learn)
         return out
 
     def encode(self, text: str) -> list[int]:

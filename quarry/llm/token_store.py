@@ -17,6 +17,7 @@ same file, through a temporary name.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import SIGNS, BulkEncoder, TwoGenerations, in_blocks
+from quarry.llm.bpe import SIGNS, BulkEncoder, TwoGenerations, encode_pieces, in_blocks
 from quarry.llm.common import arrow_map, fresh_dir, qualified, table, text_of, written
 
 MAGIC = b"QRMPH02\n"
@@ -210,7 +211,7 @@ class PieceEncoder:
     are a Latin word and signs behind it go to the library's model in one call; the whole tokenizer encodes the rest.
     """
 
-    def __init__(self, path: str, width: str, generation: int = 300_000) -> None:
+    def __init__(self, path: str, width: str, generation: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -230,10 +231,11 @@ class PieceEncoder:
         return [np.array(e.ids, self.width).tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
+        # Letters below U+0130 are composed already, and each has one lower-case letter.
+        latin = [p for p in new if p.isalpha() and (p.isascii() or max(p) < "\u0130")] if self.plain else []
         rest, named, words, tails = [], [], [], []
-        for piece in new:
+        for piece in set(new).difference(latin):
             word = piece.rstrip(SIGNS)
-            # Letters below U+0130 are composed already, and each has one lower-case letter.
             if self.plain and word.isalpha() and (word.isascii() or max(word) < "\u0130"):
                 named.append(piece)
                 words.append(word.lower())
@@ -245,22 +247,18 @@ class PieceEncoder:
         young, of_tail = self.known.young, self.tails
         if unknown := list(set(tails).difference(of_tail)):
             of_tail.update(zip(unknown, self._encode(unknown), strict=True))
-        if words:
-            different = list(set(words))
+        low = list(map(str.lower, latin))
+        if different := list({*low, *words}):
             ids = dict(zip(different, self.words(different, self.width), strict=True))
-            for piece, word, tail in zip(named, words, tails, strict=True):
-                young[piece] = ids[word] + of_tail[tail]
+            young.update(zip(latin, map(ids.__getitem__, low), strict=True))
+            young.update(zip(named, map(bytes.__add__, map(ids.__getitem__, words), map(of_tail.__getitem__, tails)), strict=True))
         if rest:
             young.update(zip(rest, self._encode(rest), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for block in in_blocks(texts):
-            cut = [t.replace("\n", " ").split(" ") for t in block]
-            if new := self.known.missing(set().union(*cut)):
-                self.learn(new)
-            of = self.known.young.__getitem__
-            out += [b"".join(map(of, pieces)) for pieces in cut]
+            out += encode_pieces([t.replace("\n", " ").split(" ") for t in block], self.known, self.learn)
         return out
 
     def __call__(self, text: str) -> bytes:
@@ -271,8 +269,9 @@ _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
 def _encoder(path: str, width: str) -> PieceEncoder:
-    """One encoder a worker process and file."""
+    """One encoder a worker process and file. What it keeps holds no cycles, so that the collector need not walk it often."""
     if (path, width) not in _ENCODERS:
+        gc.set_threshold(200_000, 20, 100)
         _ENCODERS[path, width] = PieceEncoder(path, width)
     return _ENCODERS[path, width]
 
@@ -359,6 +358,8 @@ def _numbered(listing: DataFrame) -> DataFrame:
     counts = listing.join(F.broadcast(firsts), F.col("key").eqNullSafe(F.col("k"))).groupBy("k", "shard").agg(F.count("*").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     before = written(counts.select("k", F.col("shard").alias("s"), earlier.alias("before")).where("before > 0"), "ordinals")
+    if before.isEmpty():
+        return listing
     out = listing.join(F.broadcast(before), F.col("key").eqNullSafe(F.col("k")) & (F.col("shard") == F.col("s")), "left")
     return out.select("key", (F.col("ordinal") + F.coalesce("before", F.lit(0))).alias("ordinal"), "shard", "at", "n")
 
