@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import terms
 
@@ -72,9 +77,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str = "pos") -> DataFrame:
-    """``query_id, key, score`` of positive cosine. ``queries``: ``query_id, query_vector``, few enough to be sent everywhere."""
-    return vectors.where(F.col("embedding").isNotNull()).crossJoin(F.broadcast(queries)).select("query_id", key, cosine(F.col("embedding"), F.col("query_vector")).alias("score")).where("score > 0")
+def _blocks(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """``keys binary, n, width, unit binary``: rows of unit vectors in blocks; vectors that are null or zero are left out."""
+
+    def run(batches):
+        for b in batches:
+            keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False)) if b.schema.field(0).type != pa.string() else np.array(b.column(0).to_pylist(), object)
+            found = [np.asarray(v.values, np.float64) if v.is_valid else np.zeros(0) for v in b.column(1)]
+            widths = np.array([len(v) for v in found])
+            for width in np.unique(widths[widths > 0]):
+                at = np.flatnonzero(widths == width)
+                m = np.vstack([found[i] for i in at])
+                norm = np.sqrt((m * m).sum(1))
+                at, m, norm = at[norm > 0], m[norm > 0], norm[norm > 0]
+                for k in range(0, len(at), rows):
+                    part = m[k : k + rows] / norm[k : k + rows, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(keys[at[k : k + rows]].tolist())], pa.binary()), pa.array([int(width)], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["keys", "width", "unit"])
+
+    return vectors.select(key, vector).mapInArrow(run, "keys binary, width int, unit binary")
+
+
+def dense(vectors: DataFrame, queries: DataFrame, most: int, key: str = "pos", rows: int = 4096) -> DataFrame:
+    """``query_id, key, score``: for every query (``query_id, query_vector``) the ``most`` rows of largest positive cosine, and more.
+
+    Vectors and queries come in blocks of ``rows`` unit vectors; every two blocks are one product of matrices, of which each query's best of that
+    block go on. What is passed on so is in proportion to queries and blocks, not to all pairs.
+    """
+    a = _blocks(vectors, key, "embedding", rows)
+    q = _blocks(queries, "query_id", "query_vector", rows).select(F.col("keys").alias("query_keys"), "width", F.col("unit").alias("query_unit"))
+
+    def run(batches):
+        for b in batches:
+            out_q, out_k, out_s = [], [], []
+            for keys, width, unit, qk, qu in zip(*(b.column(c).to_pylist() for c in ("keys", "width", "unit", "query_keys", "query_unit")), strict=True):
+                keys, asked = pickle.loads(keys), pickle.loads(qk)
+                score = np.frombuffer(qu).reshape(-1, width) @ np.frombuffer(unit).reshape(-1, width).T
+                order = np.argsort(np.array(keys, object), kind="stable")
+                for n, row in enumerate(score):
+                    best = order[np.argsort(-np.round(row[order], 9), kind="stable")[:most]]
+                    for i in best:
+                        if row[i] > 0:
+                            out_q.append(asked[n])
+                            out_k.append(keys[i])
+                            out_s.append(float(row[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), pa.array(out_k, to_arrow_type(kind)), pa.array(out_s, pa.float64())], ["query_id", key, "score"])
+
+    kind = vectors.schema[key].dataType
+    return a.join(q, "width").mapInArrow(run, f"query_id string, {key} {kind.simpleString()}, score double")
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, key: str = "pos") -> DataFrame:
@@ -85,10 +134,10 @@ def fuse(keyword: DataFrame, vector: DataFrame, key: str = "pos") -> DataFrame:
 
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, key: str = "pos") -> DataFrame:
-    """Both legs to a pool of ``max(4 * limit, 30)``, fused and cut; texts join only what is left."""
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, key: str = "pos", scores: DataFrame | None = None) -> DataFrame:
+    """Both legs to a pool of ``max(4 * limit, 30)``, fused and cut; texts join only what is left. ``scores``: of a stored index, else all texts are cut."""
     pool = max(4 * limit, 30)
-    words = top_k(bm25(chunks, queries.select("query_id", "query"), key), pool, [F.desc("score"), F.col(key)])
-    near = top_k(dense(vectors.join(chunks.select(key), key, "left_semi"), queries.select("query_id", "query_vector"), key), pool, [F.desc("score"), F.col(key)])
+    words = top_k(scores if scores is not None else bm25(chunks, queries.select("query_id", "query"), key), pool, [F.desc("score"), F.col(key)])
+    near = top_k(dense(vectors.join(chunks.select(key), key, "left_semi"), queries.select("query_id", "query_vector"), pool, key), pool, [F.desc(F.round("score", 9)), F.col(key)])
     fused = fuse(words, near, key)
     return top_k(fused, limit, [F.desc("score"), F.col("keyword_rank").asc_nulls_last(), F.col("dense_rank").asc_nulls_last()])
