@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate, takewhile
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def area(b: Column) -> Column:
@@ -48,24 +52,155 @@ def drop_nested(boxes: DataFrame, share: float = 0.8) -> DataFrame:
     return a.join(b, inside, "left_anti")
 
 
+def _blank_band(spans: list[tuple[float, float]], gap: float) -> float | None:
+    """The middle of the widest band of at least ``gap`` that no span covers."""
+    spans = sorted(spans)
+    reach = list(accumulate((end for _, end in spans), max))
+    widest = max(((start - r, -k) for k, (r, (start, _)) in enumerate(zip(reach, spans[1:], strict=False))), default=(0.0, 0))
+    if widest[0] < gap or widest[0] <= 0:
+        return None
+    k = -widest[1]
+    return (reach[k] + spans[k + 1][0]) / 2
+
+
 def reading_order(boxes: list[list[float]], gap: float = 6.0) -> list[int]:
-    """Indexes in reading order: cut at empty columns first, then at empty rows, else by top and left."""
-
-    def cuts(ids: list[int], lo: int, hi: int) -> list[list[int]]:
-        groups: list[list[int]] = []
-        end = None
-        for i in sorted(ids, key=lambda i: (boxes[i][lo], i)):
-            if end is None or boxes[i][lo] - end >= gap:
-                groups.append([])
-                end = boxes[i][hi]
-            groups[-1].append(i)
-            end = max(end, boxes[i][hi])
-        return groups
-
-    def order(ids: list[int]) -> list[int]:
-        for lo, hi in ((0, 2), (1, 3)):
-            if len(groups := cuts(ids, lo, hi)) > 1:
-                return [i for g in groups for i in order(g)]
-        return sorted(ids, key=lambda i: (boxes[i][1], boxes[i][0], i))
-
-    return order(list(range(len(boxes))))
+    """Indexes in reading order: a region is cut at its widest empty column, else at its widest empty row, and each half is read by itself;
+    one that cannot be cut is read by top (to a tenth) and left."""
+    order: list[int] = []
+    regions = [list(range(len(boxes)))]
+    while regions:
+        region = regions.pop()
+        for axis in (0, 1):
+            middle = _blank_band([(boxes[i][axis], boxes[i][axis + 2]) for i in region], gap) if len(region) > 1 else None
+            if middle is not None:
+                regions += [[i for i in region if boxes[i][axis] >= middle], [i for i in region if boxes[i][axis] < middle]]
+                break
+        else:
+            order += sorted(region, key=lambda i: (round(boxes[i][1], 1), boxes[i][0], i))
+    return order
+
+
+def read_pages(boxes: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``place``: the reading order of the boxes of each page, from zero."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = {i: k for k, i in enumerate(reading_order([list(b) for b in pdf["bbox"]]))}
+        return pdf.assign(place=[place[i] for i in range(len(pdf))])
+
+    return boxes.groupBy(*keys).applyInPandas(run, T.StructType([*boxes.schema.fields, T.StructField("place", T.IntegerType())]))
+
+
+def covered_share(box: list[float], others: list[list[float]]) -> float:
+    """Share of a box that the union of others covers: by the cells of the grid that all their edges make."""
+    x0, y0, x1, y1 = box
+    if x1 <= x0 or y1 <= y0:
+        return 1.0
+    inside = np.array([[max(a, x0), max(b, y0), min(c, x1), min(d, y1)] for a, b, c, d in others], float).reshape(-1, 4)
+    xs, ys = (np.unique(np.concatenate([[lo, hi], inside[:, axis], inside[:, axis + 2]]).clip(lo, hi)) for axis, lo, hi in ((0, x0, x1), (1, y0, y1)))
+    cells = np.zeros((len(xs) - 1, len(ys) - 1), bool)
+    for a, b, c, d in inside:
+        cells |= ((xs[:-1] >= a) & (xs[1:] <= c))[:, None] & ((ys[:-1] >= b) & (ys[1:] <= d))[None]
+    return float((cells * np.diff(xs)[:, None] * np.diff(ys)[None]).sum() / ((x1 - x0) * (y1 - y0)))
+
+
+def largest_font(regions: DataFrame, spans: DataFrame, share: float = 0.5) -> DataFrame:
+    """``page_id, region_id, font_size``: the largest font of the spans (``page_id, bbox, font_size``) that lie in a region by ``share`` of their area."""
+    r = regions.select("page_id", "region_id", F.col("bbox").alias("region"))
+    met = r.join(spans, "page_id").where(intersection(F.col("bbox"), F.col("region")) >= share * area(F.col("bbox")))
+    return met.groupBy("page_id", "region_id").agg(F.max("font_size").alias("font_size"))
+
+
+def words_in(regions: DataFrame, words: DataFrame) -> DataFrame:
+    """``page_id, region_id, text``: the words (``page_id, block, line, word_no, bbox, text``) whose middle lies in a region, line by line."""
+    x, y = ((F.get("bbox", a) + F.get("bbox", a + 2)) / 2 for a in (0, 1))
+    r = regions.select("page_id", "region_id", F.col("bbox").alias("region"))
+    met = r.join(words, "page_id").where(x.between(F.get("region", 0), F.get("region", 2)) & y.between(F.get("region", 1), F.get("region", 3)))
+    lines = met.groupBy("page_id", "region_id", "block", "line").agg(F.array_sort(F.collect_list(F.struct("word_no", "text"))).alias("w"))
+    lines = lines.select("page_id", "region_id", "block", "line", F.array_join("w.text", " ").alias("text"))
+    whole = lines.groupBy("page_id", "region_id").agg(F.array_sort(F.collect_list(F.struct("block", "line", "text"))).alias("l"))
+    return whole.select("page_id", "region_id", F.array_join("l.text", "\n").alias("text"))
+
+
+# ---------------------------------------------------------------- structure of tables
+
+#: Labels of the boxes of a table's structure.
+ROWS = ("table row", "table column header", "table projected row header")
+COLUMN, HEADER = "table column", "table column header"
+
+
+def align_boxes(boxes: list[dict]) -> list[dict]:
+    """Rows (and headers) drawn out to the table's left and right, columns to its top and bottom: to the outermost of up to four boxes, of more to
+    the mean (rows) or median (columns); no box gets smaller."""
+    out = [b | {"bbox": list(b["bbox"])} for b in boxes]
+    for chosen, axis, middle in (([b for b in out if "row" in b["label"] or "header" in b["label"]], 0, np.mean), ([b for b in out if b["label"] == COLUMN], 1, np.median)):
+        if chosen:
+            low, high = ([b["bbox"][axis + o] for b in chosen] for o in (0, 2))
+            low, high = (min(low), max(high)) if len(chosen) <= 4 else (float(middle(low)), float(middle(high)))
+            for b in chosen:
+                b["bbox"][axis], b["bbox"][axis + 2] = min(b["bbox"][axis], low), max(b["bbox"][axis + 2], high)
+    return out
+
+
+def _shared(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Overlap of two bands as a share of the smaller."""
+    smaller = min(a[1] - a[0], b[1] - b[0])
+    return max(min(a[1], b[1]) - max(a[0], b[0]), 0.0) / smaller if smaller > 0 else 0.0
+
+
+def bands(boxes: list[dict], labels: tuple[str, ...], axis: int) -> list[tuple[float, float]]:
+    """Bands of the boxes along an axis in order; one that shares more than half of the smaller with the band before widens that."""
+    out: list[tuple[float, float]] = []
+    for band in sorted((b["bbox"][axis], b["bbox"][axis + 2]) for b in boxes if b["label"] in labels):
+        if out and _shared(out[-1], band) > 0.5:
+            out[-1] = min(out[-1][0], band[0]), max(out[-1][1], band[1])
+        else:
+            out.append(band)
+    return out
+
+
+def apart(columns: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Neighbouring columns that overlap meet in the middle of the overlap."""
+    out = [list(c) for c in columns]
+    for left, right in zip(out, out[1:], strict=False):
+        if left[1] > right[0]:
+            left[1] = right[0] = (left[1] + right[0]) / 2
+    return [(a, b) for a, b in out]
+
+
+def header_rows(boxes: list[dict], rows: list[tuple[float, float]]) -> int:
+    """How many rows from the top lie in a header."""
+    headers = [(b["bbox"][1], b["bbox"][3]) for b in boxes if b["label"] == HEADER]
+    return sum(1 for _ in takewhile(lambda row: any(_shared(h, row) > 0.5 for h in headers), rows))
+
+
+def grid_markdown(grid: list[list[str]], n_header: int) -> str:
+    """A grid as Markdown; several header rows become one, none a blank one."""
+    width = max(map(len, grid), default=0)
+    if not grid:
+        return ""
+    clean = [[" ".join(c.split()).replace("|", "\\|") for c in row] + [""] * (width - len(row)) for row in grid]
+    n_header = min(max(n_header, 0), len(clean))
+    header = [" ".join(c for c in column if c) for column in zip(*clean[:n_header], strict=True)] if n_header else [""] * width
+    return "\n".join("| " + " | ".join(row) + " |" for row in (header, ["---"] * width, *clean[n_header:]))
+
+
+def table_from_structure(boxes: DataFrame, words: DataFrame) -> DataFrame:
+    """``table_id, markdown, n_rows, n_columns, n_cells`` of structure boxes (``table_id, label, bbox``) and words (``table_id, word_no, bbox, text``);
+    fewer than two rows or columns are no table."""
+
+    def run(key: tuple, b: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        found = align_boxes(b.to_dict("records"))
+        rows, columns = bands(found, ROWS, 1), apart(bands(found, (COLUMN,), 0))
+        if min(len(rows), len(columns)) < 2:
+            return pd.DataFrame([{"table_id": key[0], "markdown": "", "n_rows": len(rows), "n_columns": len(columns), "n_cells": 0}])
+        grid = [[[] for _ in columns] for _ in rows]
+        for word in w.sort_values("word_no").to_dict("records"):
+            x, y = ((word["bbox"][a] + word["bbox"][a + 2]) / 2 for a in (0, 1))
+            r, c = (next((k for k, (lo, hi) in enumerate(those) if lo <= at < hi), None) for those, at in ((rows, y), (columns, x)))
+            if r is not None and c is not None:
+                grid[r][c].append(word["text"])
+        texts = [[" ".join(cell) for cell in row] for row in grid]
+        return pd.DataFrame([{"table_id": key[0], "markdown": grid_markdown(texts, header_rows(found, rows)), "n_rows": len(rows), "n_columns": len(columns), "n_cells": sum(bool(c) for row in texts for c in row)}])
+
+    kind = boxes.schema["table_id"].dataType.simpleString()
+    return boxes.groupBy("table_id").cogroup(words.groupBy("table_id")).applyInPandas(run, f"table_id {kind}, markdown string, n_rows int, n_columns int, n_cells int").where("n_rows + n_columns > 0")
