@@ -20,7 +20,13 @@ def terms(text: Column) -> Column:
         return F.when(run.rlike(f"^{HAN}"), bigrams).otherwise(word)
 
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.flatten(F.transform(F.regexp_extract_all(low, F.lit(RUN), F.lit(0)), of_run))
+    # Most texts hold no Han character, and their runs need no second look.
+    plain = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), lambda run: F.octet_length(run) >= 2)
+    return F.when(low.rlike(HAN), F.flatten(F.transform(F.regexp_extract_all(low, F.lit(RUN), F.lit(0)), of_run))).otherwise(plain)
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def collapse(text: Column) -> Column:
@@ -37,16 +43,18 @@ def truncate(text: Column, n: int, mark: str = "") -> Column:
 
 
 def first_sentence(text: Column, n: int) -> Column:
-    head = F.left(F.trim(text), F.lit(n))
-    cut = F.regexp_extract(head, r"^[^。.\n]*[。.\n]", 0)
-    return F.trim(F.when(cut == "", head).otherwise(cut))
+    """A text of at most ``n`` characters whole; else up to the first full stop or line feed among them, else ``n`` characters and an ellipsis."""
+    head = F.left(text, F.lit(n))
+    sentence = F.regexp_extract(head, r"^[^。.\n]*[。.\n]", 0)
+    cut = F.when(sentence != "", strip(sentence)).otherwise(F.concat(strip(head), F.lit("…")))
+    return F.when(F.length(text) <= n, strip(text)).otherwise(cut)
 
 
 def display_name(name: Column) -> Column:
-    """A file name without extension and hash prefix, underscores as blanks, at most sixty characters."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    stem = F.regexp_replace(stem, r"^[0-9a-fA-F]{8,}[_-]", "")
-    return F.left(collapse(F.replace(stem, F.lit("_"), F.lit(" "))), F.lit(60))
+    """A file name without extension, without a leading token of six hex digits or more before others, underscores as blanks, at most sixty characters."""
+    stem = F.regexp_replace(strip(name), r"(?<=.)\.[^.]*$", "")
+    stem = F.regexp_replace(stem, r"^[0-9a-fA-F]{6,}(?=[_ -]+[^_ -])", "")
+    return truncate(strip(F.replace(stem, F.lit("_"), F.lit(" "))), 60, "…")
 
 
 def share_of(text: Column, inside: str) -> Column:
@@ -55,17 +63,24 @@ def share_of(text: Column, inside: str) -> Column:
 
 
 def is_cjk(text: Column, threshold: float = 0.2) -> Column:
-    """Whether a text counts as Chinese, Japanese or Korean."""
-    return share_of(text, r"぀-ヿ㐀-䶿一-鿿가-힯豈-﫿") >= threshold
+    """Whether a text counts as Chinese, Japanese or Korean: more than a share of its characters is."""
+    return share_of(text, "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯") > threshold
+
+
+def mostly_han(text: Column, threshold: float = 0.15) -> Column:
+    """The narrower test: unified Han characters alone."""
+    return share_of(text, "一-鿿") > threshold
 
 
 def gist(text: Column, n: int) -> Column:
-    """The first ``n`` characters up to a sentence end in their last two fifths, else up to a blank there, else cut."""
+    """Of a longer text the first ``n`` characters up to the last sentence end in their last two fifths, else up to the last blank there, else
+    all of them; a mark says that it was cut."""
     head = F.left(text, F.lit(n))
-    sentence = F.regexp_extract(head, r"(?s)^.*[.!?。！？]", 0)
-    word = F.regexp_extract(head, r"(?s)^(.*)\s", 1)
-    least = int(n * 0.6)
-    return F.when(F.length(text) <= n, text).when(F.length(sentence) >= least, sentence).when(F.length(word) >= least, word).otherwise(head)
+    least = max(1, n * 6 // 10)
+    sentence = F.regexp_extract(head, r"(?s)^.*[.!?;。！？；]", 0)
+    word = F.regexp_extract(head, r"(?s)^(.*)[ \t]", 1)
+    cut = F.when(F.length(sentence) > least, sentence).when(F.length(word) >= least, word).otherwise(head)
+    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.regexp_replace(cut, r"[ \t]+$", ""), F.lit(" […]")))
 
 
 def contains_fold(text: Column, part: Column) -> Column:
@@ -103,11 +118,36 @@ def grams(tokens: Column, n: int = 5) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+#: Fixed: the characters that end a sentence.
+ENDS = "。！？；.!?\n"
+
+
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])\s+|(?<=[。！？])"), F.trim), lambda s: s != "")
+    """Stripped sentences; each of the characters that end one ends one."""
+    parts = F.regexp_extract_all(text, F.lit(f"[^{ENDS}]*[{ENDS}]|[^{ENDS}]+"), F.lit(0))
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
 def is_short(text: Column) -> Column:
-    """Fewer than forty characters of Chinese, Japanese or Korean, or fewer than twenty other words."""
-    cjk = text.rlike(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
-    return F.when(cjk, F.length(text) < 40).otherwise(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) < 20)
+    """Fewer than forty characters with a Han one among them, or fewer than twenty words; a blank text is."""
+    body = strip(text)
+    words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
+    return F.when(body.rlike("[㐀-䶿一-鿿豈-﫿]"), F.length(body) < 40).otherwise(words < 20)
+
+
+def heading_title(text: Column, block_type: Column, most: int = 120) -> Column:
+    """The heading of a heading chunk: of a section its first paragraph where that reads like one."""
+    body = strip(text)
+    head = strip(F.split(body, "\n\n", 2)[0])
+    prose = (head == "") | (F.length(head) > most) | F.endswith(head, F.lit("。"))
+    return F.when((block_type != "Section") | prose, truncate(body, most, "…")).otherwise(head)
+
+
+def strip_numbers(text: Column) -> Column:
+    """Without runs of digits, signs of number and units that hold no letter."""
+    return collapse(F.regexp_replace(text, r"(?<![\p{L}\p{N}])[\p{N}][\p{N}.,:/%+-]*(?![\p{L}\p{N}])", " "))
+
+
+def tool_error(tool: Column, reason: Column) -> Column:
+    """What a failed call reads as: an element with the reason, at most four hundred characters of it."""
+    return F.concat(F.lit('<tool_error tool="'), escape_markup(tool), F.lit('">'), escape_markup(truncate(reason, 400)), F.lit("</tool_error>"))

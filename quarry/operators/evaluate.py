@@ -7,16 +7,60 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import content_tokens, grams, normalize
 
-#: Words that carry no fact.
-STOP_WORDS = ["about", "after", "also", "been", "from", "have", "into", "more", "other", "over", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "were", "what", "when", "which", "with", "would"]
-REFUSAL = r"(?i)(cannot|can't|could not|unable to)\s+(answer|find|determine)|not (mentioned|provided|available|stated)|no (relevant )?(information|evidence)"
+#: Words that carry no fact, and the phrases of a refusal.
+STOP_WORDS = ["the", "and", "for", "that", "with", "from", "this", "have", "has", "was", "were", "are", "not", "but", "its", "their", "they", "which", "while", "into", "than", "then", "over", "about", "after", "before", "been", "other"]
+REFUSAL = r"(?i)(no information|not (?:mentioned|stated|found|available|enough)|does not (?:say|mention|contain)|cannot (?:be )?(?:answer|determin)|insufficient|没有(?:相关)?(?:信息|内容|提及)|无法(?:回答|确定)|未(?:提及|说明)|不足以)"
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, one blank between."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
 def fact_found(fact: Column, passage: Column, share: float = 0.8) -> Column:
-    """The passage holds the fact as it stands, or eight tenths of its content words."""
+    """The passage holds the fact word for word, or eight tenths of its content words."""
     words = content_tokens(fact, STOP_WORDS)
-    covered = F.size(F.array_intersect(words, content_tokens(passage, STOP_WORDS))) / F.size(words)
-    return F.contains(normalize(passage), normalize(fact)) | ((F.size(words) > 0) & (covered >= share))
+    covered = F.size(F.array_intersect(words, F.split(plain_words(passage), " "))) / F.size(words)
+    return (plain_words(fact) != "") & (F.contains(plain_words(passage), plain_words(fact)) | ((F.size(words) > 0) & (covered >= share)))
+
+
+def joined_passages(hits: DataFrame) -> DataFrame:
+    """``query_id, doc_id, text``: every passage, and all passages of a document one after the other, so that a fact outlives a chunk's end."""
+    whole = hits.groupBy("query_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", plain_words(F.col("text")).alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    return hits.select("query_id", "doc_id", "text").unionByName(whole)
+
+
+def refusal_rate(answers: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of answers that refuse."""
+    return answers.groupBy(*by).agg((F.count_if(F.col(text).rlike(REFUSAL)) / F.count("*")).alias("rate"), F.count("*").alias("n"))
+
+
+def recall_summary(rows: DataFrame) -> DataFrame:
+    """Of ``type, cut, recall, seconds``: by cut and type, and over all types (type null), mean recall, questions found whole and missed, median time."""
+    return rows.rollup("cut", "type").agg(F.avg("recall").alias("recall"), F.count_if(F.col("recall") >= 1).alias("complete"), F.count_if(F.col("recall") <= 0).alias("missed"), F.percentile("seconds", 0.5).alias("median_s")).where(F.col("cut").isNotNull())
+
+
+def channel_difference(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """``query_id, only_a, only_b``: how many documents one channel's first ``k`` (``query_id, doc_id, rank``) has and the other's has not."""
+    in_a, in_b = (x.where(F.col("rank") <= k).select("query_id", "doc_id").distinct() for x in (a, b))
+    rows = in_a.exceptAll(in_b).withColumn("side", F.lit("a")).unionByName(in_b.exceptAll(in_a).withColumn("side", F.lit("b")))
+    return rows.groupBy("query_id").agg(F.count_if(F.col("side") == "a").alias("only_a"), F.count_if(F.col("side") == "b").alias("only_b"))
+
+
+def acceptance(pairs: DataFrame, noise: float, least_null: int = 5) -> DataFrame:
+    """``verdict`` of each candidate scorecard beside its baseline: ``quality, base_quality, lost, base_lost, failed, refusal, base_refusal, n_null,
+    violations, base_violations``. What was not measured on the same questions is not decided."""
+    new = F.size(F.array_except("violations", "base_violations")) > 0
+    verdict = (
+        F.when(F.col("failed") > 0, "unusable")
+        .when(F.col("lost") > F.greatest("base_lost", F.lit(1)), "incomplete")
+        .when(F.col("quality").isNull() | F.col("base_quality").isNull(), "not measured")
+        .when(F.col("quality") < F.col("base_quality") + noise, "within noise")
+        .when((F.col("n_null") >= least_null) & (F.col("refusal") < F.col("base_refusal")), "refuses less")
+        .when(new, "new violations")
+        .otherwise("accepted")
+    )
+    return pairs.withColumn("verdict", verdict)
 
 
 def recall_at(ranked: DataFrame, gold: DataFrame, cuts: list[int]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,28 @@ def scoped(df: DataFrame, ids: list[str] | None, key: str = "doc_id") -> DataFra
     return df.where(F.col(key).isin(list(ids))) if ids else df
 
 
+LAYOUTS = (("%Y-%m-%d %H:%M:%S", "yyyy-MM-dd HH:mm:ss"), ("%Y-%m-%dT%H:%M:%S", "yyyy-MM-dd'T'HH:mm:ss"), ("%Y-%m-%d", "yyyy-MM-dd"))
+
+
+def _is_date(value: str) -> bool:
+    """Whether a text reads as a day or time that there is."""
+    for layout, _ in LAYOUTS if re.match(DATE, value) else ():
+        try:
+            datetime.strptime(value, layout)
+        except ValueError:
+            continue
+        return True
+    return False
+
+
+def _holds_date(stored: Column) -> Column:
+    return stored.rlike(DATE) & F.coalesce(*[F.try_to_timestamp(stored, F.lit(layout)) for _, layout in LAYOUTS]).isNotNull()
+
+
 def _ordered(stored: Column, value: str, compare) -> Column:
     """By date where the value is one, else by number where both are, else by lower-cased text."""
-    if re.match(DATE, value):
-        return F.when(stored.rlike(DATE), compare(stored, F.lit(value))).otherwise(F.lit(False))
+    if _is_date(value):
+        return F.when(_holds_date(stored), compare(stored, F.lit(value))).otherwise(F.lit(False))
     text = compare(F.lower(stored), F.lit(value.lower()))
     if re.match(NUMBER, value):
         return F.when(stored.rlike(NUMBER), compare(stored.try_cast("double"), F.lit(float(value)))).otherwise(text)
@@ -56,9 +75,9 @@ def condition(field: str, operator: str, value=None, fields: tuple[str, ...] = F
         return F.startswith(low, F.lit(value.lower()))
     if operator == "end with":
         return F.endswith(low, F.lit(value.lower()))
-    is_date = bool(re.match(DATE, value))
+    is_date = _is_date(value)
     if operator == "≠":
-        return ~_ordered(stored, value, lambda a, b: a == b) if not is_date else F.when(stored.rlike(DATE), stored != value).otherwise(F.lit(True))
+        return ~_ordered(stored, value, lambda a, b: a == b) if not is_date else F.when(_holds_date(stored), stored != value).otherwise(F.lit(True))
     return _ordered(stored, value, {"=": lambda a, b: a == b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, "≥": lambda a, b: a >= b, "≤": lambda a, b: a <= b}[operator])
 
 

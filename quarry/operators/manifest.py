@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def newest(manifest: DataFrame) -> DataFrame:
     """The newest record of each document; ties go to the least md5."""
-    best = F.max_by(F.struct("md5", "indexed_at", "pipeline", "chunk_count"), F.struct("indexed_at", F.reverse("md5")))
-    return manifest.groupBy("doc_id").agg(best.alias("r")).select("doc_id", "r.*")
+    order = Window.partitionBy("doc_id").orderBy(F.desc("indexed_at"), "md5")
+    return manifest.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "md5", "indexed_at", "pipeline", "chunk_count")
 
 
 def metadata_view(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -40,3 +40,20 @@ def listing(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     """Records with the chunks that each document has now."""
     live = chunks.groupBy("doc_id").agg(F.count("*").alias("live_chunks"))
     return manifest.join(live, "doc_id", "left").withColumn("live_chunks", F.coalesce("live_chunks", F.lit(0)))
+
+
+def recordable(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Records of documents that have chunks."""
+    return records.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def forget(manifest: DataFrame, values: DataFrame) -> DataFrame:
+    """``doc_id`` of every document that a value names, by its id or by the md5 of any of its records."""
+    named = values.select(F.col("value").alias("doc_id")).join(manifest.select("doc_id"), "doc_id", "left_semi")
+    hashed = manifest.join(values.select(F.col("value").alias("md5")), "md5", "left_semi").select("doc_id")
+    return named.unionByName(hashed).distinct()
+
+
+def corpus_status(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, chunks with a vector (null ``embedding``: none), documents."""
+    return chunks.agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"), F.countDistinct("doc_id").alias("documents"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that mark a question of several parts.
-CUES = ["compare", "difference", "versus", "respectively", "relationship", "each of"]
+#: Phrases that mark a question of several parts.
+CUES = [
+    "以及", "并且", "分别", "对比", "比较", "哪些", "哪几", "几篇", "几项", "都有谁", "各自", "介绍一下这几", "详细", "列表",
+    " vs ", " versus ", "compare", "difference between", "differences between", "list all", "each of", "respectively",
+]
 
 
 def route(question: Column) -> Column:
@@ -41,4 +44,5 @@ def keywords(term_counts: DataFrame, group: str, n_docs: int | Column, most: int
 
 def node_scores(members: DataFrame, scores: DataFrame) -> DataFrame:
     """A node scores as its best document; which one that is comes along."""
-    return members.join(scores, "doc_id").groupBy("nid").agg(F.max("score").alias("score"), F.min_by("doc_id", F.struct(-F.col("score"), "doc_id")).alias("best_doc"))
+    best = F.min_by("doc_id", F.struct(-F.round("score", 9), "doc_id")).alias("best_doc")
+    return members.join(scores, "doc_id").groupBy("query_id", "nid").agg(F.max("score").alias("score"), best)

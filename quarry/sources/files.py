@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.text import strip
+
 TEXT_SUFFIXES = (".txt", ".md", ".markdown")
 
 
@@ -19,12 +21,12 @@ def load_files(spark: SparkSession, path: str) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def decode(content: pd.Series) -> pd.Series:
-    """UTF-8, UTF-16, GB 18030 or Latin-1, the first that fits."""
+    """UTF-8, UTF-16, GB 18030 or Latin-1, the first that fits, in this order."""
 
     def one(b: bytes) -> str | None:
         if b is None:
             return None
-        for kind in ("utf-8-sig", "utf-16" if b[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", "gb18030"):
+        for kind in ("utf-8", "utf-16", "gb18030"):
             try:
                 return b.decode(kind)
             except UnicodeDecodeError:
@@ -34,18 +36,26 @@ def decode(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def no_box() -> Column:
+    """The box of a block that has no place on a page."""
+    return F.array(*[F.lit(0.0)] * 4).alias("bbox")
+
+
 def clean(text: Column) -> Column:
-    text = F.replace(F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.trim(F.regexp_replace(text, "[ \\t]+", " "))
+    text = F.replace(F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return strip(F.regexp_replace(text, "[ \\t]+", " "))
 
 
 def text_blocks(texts: DataFrame, most: int = 1200) -> DataFrame:
-    """Blocks between blank lines of ``doc_id, suffix, text``; in Markdown a block that begins with # is a title; long ones are cut at lines."""
-    parts = texts.select("doc_id", "suffix", F.posexplode(F.split(clean(F.col("text")), r"\n\s*\n")).alias("b", "t"))
-    parts = parts.select("doc_id", "suffix", "b", F.posexplode(F.when(F.length("t") > most, F.split("t", "\n")).otherwise(F.array("t"))).alias("l", "t")).where(F.trim("t") != "")
-    marks = F.length(F.regexp_extract("t", r"^(#{1,6})\s", 1))
-    title = (marks > 0) & F.col("suffix").isin(".md", ".markdown")
-    return parts.select("doc_id", (F.col("b") * 100_000 + F.col("l")).alias("pos"), F.lit(1).alias("page_num"), F.when(title, "Title").otherwise("Text").alias("block_type"), F.when(title, F.trim(F.regexp_replace("t", r"^#{1,6}\s+", ""))).otherwise(F.trim("t")).alias("text"), F.when(title, marks).alias("level"), F.lit(0.0).alias("font_size"))
+    """Blocks between blank lines of ``doc_id, suffix, text``. In Markdown a block that begins with # is one title, whole; other long ones are cut at lines."""
+    parts = texts.select("doc_id", "suffix", F.posexplode(F.split("text", r"\n\s*\n")).alias("b", "t")).withColumn("t", clean(F.col("t"))).where("t <> ''")
+    marks = F.length(F.regexp_extract("t", "^(#*)", 1))
+    heading = strip(F.regexp_replace("t", "^#+", ""))
+    title = (marks > 0) & F.col("suffix").isin(".md", ".markdown") & (heading != "")
+    parts = parts.select("doc_id", "b", title.alias("title"), F.when(title, marks).alias("level"), F.when(title, heading).otherwise(F.col("t")).alias("t"))
+    lines = F.when(~F.col("title") & (F.length("t") > most), F.split("t", "\n")).otherwise(F.array("t"))
+    parts = parts.select("doc_id", "b", "title", "level", F.posexplode(lines).alias("l", "t")).withColumn("t", clean(F.col("t"))).where("t <> ''")
+    return parts.select("doc_id", (F.col("b") * 100_000 + F.col("l")).alias("pos"), F.lit(1).alias("page_num"), F.when(F.col("title"), "Title").otherwise("Text").alias("block_type"), F.col("t").alias("text"), "level", F.lit(0.0).alias("font_size"), no_box())
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
@@ -56,7 +66,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(c))
     heading = F.regexp_extract("tag", r"(?i)^<h([1-6])", 1)
-    return rows.select("doc_id", "pos", F.lit(1).alias("page_num"), F.when(heading != "", "Title").otherwise("Text").alias("block_type"), text.alias("text"), F.when(heading != "", heading.cast("int")).alias("level"), F.lit(0.0).alias("font_size")).where("text <> ''")
+    return rows.select("doc_id", "pos", F.lit(1).alias("page_num"), F.when(heading != "", "Title").otherwise("Text").alias("block_type"), text.alias("text"), F.when(heading != "", heading.cast("int")).alias("level"), F.lit(0.0).alias("font_size"), no_box()).where("text <> ''")
 
 
 def parse_key(version: str, path: Column, size: Column, mtime: Column, options: str = "") -> Column:
