@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import chunking, evaluate, evidence, filters, index, manifest, routing
+from quarry.operators import answers, chunking, directory_tree, evaluate, evidence, filters, index, manifest, routing, section_tree, stored
 from quarry.sources import files
+from quarry.storage import fresh_dir, written
 from quarry.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,19 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return index.chunks_of_documents(read(spark, d, "documents"))
 
 
+_INDEXES: dict[tuple[str, str], stored.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> stored.TextIndex:
+    """The stored index of a folder's documents, built once a session: every text is cut once."""
+    name = spark.sparkContext.applicationId, d
+    if name not in _INDEXES:
+        made = stored.TextIndex(spark, fresh_dir(spark, "text-index"))
+        made.add(chunks(spark, d))
+        _INDEXES[name] = made
+    return _INDEXES[name]
+
+
 QUESTIONS = [("q1", "the heon shou"), ("q2", "und erkeit"), ("q3", "les oument eant the"), ("q4", "ties ties the")]
 
 
@@ -61,24 +75,23 @@ PARTS = f"{TOKENS}, {ASKED}, parts AS (SELECT query_id, tf.pos, tf.term, qtf * l
 
 @query(f"WITH {TOKENS} SELECT pos, count(*)::BIGINT AS n_terms, sum(tf)::BIGINT AS n_tokens FROM tf GROUP BY pos")
 def term_freq(spark, d):
-    return index.postings(chunks(spark, d)).groupBy("pos").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    return text_index(spark, d).postings.groupBy("pos").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 
 @query(f"WITH {TOKENS} SELECT term, df::BIGINT AS df FROM df")
 def doc_freq(spark, d):
-    return index.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+    return text_index(spark, d).df
 
 
 @query(f"WITH {CHUNKS} SELECT count(*)::BIGINT AS n, sum(len(t))::BIGINT AS total, round(sum(len(t)) / count(*), 6) AS avgdl FROM c")
 def corpus_stats(spark, d):
-    return index.corpus_stats(index.lengths(chunks(spark, d))).select("n", "total", r6(F.col("avgdl"), "avgdl"))
+    return text_index(spark, d).stats.select("n", "total", r6(F.col("avgdl"), "avgdl"))
 
 
 @query(f"WITH {TOKENS} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st")
 def term_idf(spark, d):
-    c = chunks(spark, d)
-    df = index.postings(c).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("term", r6(index.idf(F.col("n"), F.col("df")), "idf"))
+    own = text_index(spark, d)
+    return own.df.crossJoin(F.broadcast(own.stats)).select("term", r6(index.idf(F.col("n"), F.col("df")), "idf"))
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, md5(text) AS md5, length(text)::BIGINT AS n FROM documents")
@@ -91,7 +104,7 @@ def fingerprints(spark, d):
 
 @query(f"WITH {PARTS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM bm) SELECT query_id, pos, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def bm25_topk(spark, d):
-    ranked = index.bm25(chunks(spark, d), questions(spark))
+    ranked = stored.bm25(text_index(spark, d), questions(spark))
     return index.top_k(ranked, 10, [F.desc("score"), F.col("pos")]).select("query_id", "pos", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"))
 
 
@@ -99,13 +112,13 @@ def bm25_topk(spark, d):
 def bm25_scoped(spark, d):
     c = chunks(spark, d)
     inside = c.where(F.col("source").isin("src1", "src2")).select("pos")
-    ranked = index.bm25(c, questions(spark)).join(inside, "pos", "left_semi")
+    ranked = stored.bm25(text_index(spark, d), questions(spark)).join(inside, "pos", "left_semi")
     return index.top_k(ranked, 5, [F.desc("score"), F.col("pos")]).select("query_id", "pos", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"))
 
 
 @query(f"WITH {PARTS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY round(part, 9) DESC, term) AS n FROM parts) SELECT query_id, pos, term, round(part, 6) AS part, n FROM r WHERE n <= 3")
 def bm25_attribution(spark, d):
-    parts = index.bm25_contributions(chunks(spark, d), questions(spark))
+    parts = stored.contributions(text_index(spark, d), questions(spark))
     n = F.row_number().over(Window.partitionBy("query_id", "pos").orderBy(F.desc(F.round("part", 9)), "term"))
     return parts.withColumn("n", n.cast("long")).where("n <= 3").select("query_id", "pos", "term", r6(F.col("part"), "part"), "n")
 
@@ -115,30 +128,30 @@ def vectors(spark, d):
 
 
 def vector_questions(spark, d):
-    """The first four vectors, in the order of the questions."""
-    return vectors(spark, d).where("pos < 4").select(F.concat(F.lit("q"), (F.col("pos") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("query_vector"))
+    """Every vector whose id is divisible by a hundred."""
+    asked = vectors(spark, d).where("pos % 100 = 0")
+    return asked.select(F.concat(F.lit("q"), (F.col("pos") / 100 + 1).cast("long").cast("string")).alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("wanted"))
 
 
 COS = "list_cosine_similarity(e.embedding::DOUBLE[], g.embedding::DOUBLE[])"
-DENSE = f"de AS (SELECT 'q' || (g.vec_id + 1) AS query_id, e.vec_id AS pos, {COS} AS score, e.label AS label, g.label AS wanted FROM embeddings e, embeddings g WHERE g.vec_id < 4 AND {COS} > 0)"
+DENSE = f"de AS (SELECT 'q' || (g.vec_id // 100 + 1)::BIGINT AS query_id, e.vec_id AS pos, {COS} AS score, e.label AS label, g.label AS wanted FROM embeddings e, embeddings g WHERE g.vec_id % 100 = 0 AND {COS} > 0)"
 
 
 @query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM de) SELECT query_id, pos, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def dense_topk(spark, d):
-    near = index.dense(vectors(spark, d), vector_questions(spark, d))
+    near = index.dense(vectors(spark, d), vector_questions(spark, d), 10)
     return index.top_k(near, 10, [F.desc(F.round("score", 9)), F.col("pos")]).select("query_id", "pos", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"))
 
 
 @query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM de) SELECT query_id, count(*)::BIGINT AS n, count(*) FILTER (label = wanted)::BIGINT AS n_label FROM r WHERE rank <= 20 GROUP BY query_id")
 def dense_knn_label_recall(spark, d):
-    near = index.dense(vectors(spark, d), vector_questions(spark, d))
-    top = index.top_k(near, 20, [F.desc(F.round("score", 9)), F.col("pos")])
-    wanted = vectors(spark, d).where("pos < 4").select(F.concat(F.lit("q"), (F.col("pos") + 1).cast("string")).alias("query_id"), F.col("label").alias("wanted"))
-    return top.join(vectors(spark, d).select("pos", "label"), "pos").join(F.broadcast(wanted), "query_id").groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("wanted")).alias("n_label"))
+    asked = vector_questions(spark, d)
+    top = index.top_k(index.dense(vectors(spark, d), asked, 20), 20, [F.desc(F.round("score", 9)), F.col("pos")])
+    return top.join(vectors(spark, d).select("pos", "label"), "pos").join(asked.select("query_id", "wanted"), "query_id").groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("wanted")).alias("n_label"))
 
 
 HYBRID = f"""WITH {PARTS}, {DENSE}, k AS (SELECT * FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM bm) WHERE rank <= 40),
-v AS (SELECT * FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM de WHERE pos IN (SELECT pos FROM c)) WHERE rank <= 40),
+v AS (SELECT * FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM de WHERE pos IN (SELECT pos FROM c) AND query_id IN ('q1', 'q2', 'q3', 'q4')) WHERE rank <= 40),
 f AS (SELECT query_id, pos, sum(1.0::DOUBLE / (60 + rank)) AS score, min(CASE WHEN leg = 'k' THEN rank END) AS kr, min(CASE WHEN leg = 'd' THEN rank END) AS dr FROM (SELECT *, 'k' AS leg FROM k UNION ALL SELECT *, 'd' AS leg FROM v) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, kr NULLS LAST, dr NULLS LAST) AS rank FROM f)
 SELECT query_id, pos, rank, round(score, 6) AS score, concat_ws('+', CASE WHEN kr IS NOT NULL THEN 'keyword' END, CASE WHEN dr IS NOT NULL THEN 'dense' END) AS sources FROM r WHERE rank <= 10"""
@@ -147,7 +160,8 @@ SELECT query_id, pos, rank, round(score, 6) AS score, concat_ws('+', CASE WHEN k
 @query(HYBRID)
 def hybrid_rrf(spark, d):
     asked = questions(spark).join(vector_questions(spark, d), "query_id")
-    found = index.hybrid(chunks(spark, d), vectors(spark, d).select("pos", "embedding"), asked)
+    own = text_index(spark, d)
+    found = index.hybrid(own.chunks, vectors(spark, d).select("pos", "embedding"), asked, scores=stored.bm25(own, asked.select("query_id", "query")))
     sources = F.concat_ws("+", F.when(F.col("keyword_rank").isNotNull(), "keyword"), F.when(F.col("dense_rank").isNotNull(), "dense"))
     return found.select("query_id", "pos", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"), sources.alias("sources"))
 
@@ -259,9 +273,10 @@ def manifest_skip(spark, d):
 
 @query(f"WITH {CHUNKS}, k AS (SELECT * FROM c WHERE pos % 10 <> 0), tok AS (SELECT DISTINCT pos, unnest(t) AS term FROM k) SELECT term, count(*)::BIGINT AS df FROM tok GROUP BY term")
 def remove_doc_stats(spark, d):
-    c = chunks(spark, d)
-    left = manifest.remove_documents(c, c.where("pos % 10 = 0").select("doc_id"))
-    return index.postings(left).groupBy("term").agg(F.count("*").alias("df"))
+    own = stored.TextIndex(spark, fresh_dir(spark, "text-index"))
+    own.add(chunks(spark, d))
+    own.remove(own.chunks.where("pos % 10 = 0").select("doc_id"))
+    return own.df
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -277,21 +292,29 @@ def exact_copies_md5(spark, d):
 # ---------------------------------------------------------------- pages, blocks, chunks
 
 
+TEXT = "regexp_replace(regexp_replace(tag, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')"
+for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    TEXT = f"replace({TEXT if TEXT.startswith('replace') else f'trim({TEXT})'}, '{_name}', '{_sign}')"
+PAGES = f"""tg AS (SELECT page_id::VARCHAR AS doc_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\\b[^>]*>.*?</(?:h[1-6]|p|li)>') AS t FROM pages),
+tb AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS tag FROM tg),
+blk AS (SELECT * FROM (SELECT doc_id, pos::INTEGER AS pos, CASE WHEN regexp_matches(tag, '(?i)^<h[1-6]') THEN 'Title' ELSE 'Text' END AS block_type, {TEXT} AS text, try_cast(regexp_extract(tag, '(?i)^<h([1-6])', 1) AS INTEGER) AS level FROM tb) WHERE text <> '')"""
+
+
 def page_blocks(spark, d):
     return files.html_blocks(read(spark, d, "pages"))
 
 
-@query()
+@query(f"WITH {PAGES} SELECT doc_id, pos, block_type, text, level FROM blk")
 def html_blocks(spark, d):
     return page_blocks(spark, d).select("doc_id", "pos", "block_type", "text", "level")
 
 
-@query()
+@query(f"WITH {PAGES} SELECT doc_id, pos, CASE WHEN block_type = 'Title' THEN '' ELSE coalesce(last_value(CASE WHEN block_type = 'Title' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') END AS section FROM blk")
 def section_assign(spark, d):
     return chunking.assign_sections(page_blocks(spark, d)).select("doc_id", "pos", "section")
 
 
-@query()
+@query(f"WITH {PAGES}, n AS (SELECT *, block_type <> 'Title' AS plain, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 20 AS short FROM blk), c AS (SELECT *, count(*) FILTER (plain AND short) OVER (PARTITION BY doc_id, norm) AS times FROM n) SELECT doc_id, pos, text FROM c WHERE NOT regexp_full_match(text, '[0-9\\s•·—–_=*\\-]+') AND NOT (plain AND times >= 3)")
 def noise_repeat(spark, d):
     return chunking.without_noise(page_blocks(spark, d)).select("doc_id", "pos", "text")
 
@@ -301,23 +324,68 @@ def chunk_merge(spark, d):
     return chunking.to_chunks(page_blocks(spark, d))
 
 
-@query()
+@query(f"WITH {PAGES}, t AS (SELECT * FROM blk WHERE block_type = 'Title'), k AS (SELECT doc_id, count(DISTINCT level) AS d FROM t GROUP BY doc_id) SELECT doc_id, pos, text, least(CASE WHEN d >= 2 THEN dense_rank() OVER (PARTITION BY doc_id ORDER BY level) ELSE 1 END, 6)::INTEGER AS tree_level, CASE WHEN d >= 2 THEN 'declared' ELSE 'flat' END AS source FROM t JOIN k USING (doc_id)")
 def tree_levels(spark, d):
     return chunking.heading_levels(page_blocks(spark, d))
 
 
-@query("SELECT doc_id, CASE WHEN text ~ '.*[぀-ヿ㐀-䶿一-鿿가-힯].*' THEN length(text) < 40 ELSE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 20 END AS short FROM documents")
+def page_chunks(spark, d):
+    made = chunking.to_chunks(page_blocks(spark, d))
+    return written(made.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")).cast("long").alias("pos"), "chunk_id", "block_type", "text", "level", F.lit(0.0).alias("font_size")), "page-chunks")
+
+
+@query()
+def section_tree_build(spark, d):
+    c = page_chunks(spark, d)
+    return section_tree.nodes(section_tree.anchors(c), c).select("doc_id", "nid", "parent", "level", "title", F.size("path").alias("steps"))
+
+
+@query()
+def section_tree_search(spark, d):
+    c = page_chunks(spark, d).withColumn("key", F.concat_ws("|", "doc_id", "chunk_id"))
+    at = F.split("key", r"\|")
+    scores = index.bm25(c, questions(spark), "key").select("query_id", at[0].alias("doc_id"), at[1].alias("chunk_id"), "score", F.col("key").alias("pos"))
+    return section_tree.search(c, questions(spark), written(scores, "passages")).select("query_id", "rank", "doc_id", "chunk_id", "source", F.size("path").alias("steps"))
+
+
+def documents_in_tree(spark, d):
+    own = text_index(spark, d)
+    docs = own.chunks.select("doc_id", F.concat_ws("/", "source", F.concat("doc_id", F.lit(".txt"))).alias("path"))
+    return directory_tree.build(docs, own.postings.select("doc_id", "term", "tf"), leaf=200)
+
+
+@query()
+def dirtree_build(spark, d):
+    nodes, leaves = documents_in_tree(spark, d)
+    return nodes.join(directory_tree.subtree(nodes, leaves).groupBy("nid").agg(F.countDistinct("doc_id").alias("n_docs")), "nid").select("nid", "parent", "level", "name", "origin", "n_docs")
+
+
+@query()
+def dirtree_search(spark, d):
+    nodes, leaves = documents_in_tree(spark, d)
+    own = text_index(spark, d)
+    scores = written(stored.bm25(own, questions(spark)).join(own.chunks.select("pos", "doc_id"), "pos").select("query_id", "doc_id", "score"), "scores")
+    return directory_tree.search(nodes, leaves, scores, branches=4)
+
+
+@query()
+def snippet_windows(spark, d):
+    shown = answers.snippets(F.col("text"), F.array(F.lit("license"), F.lit("the")))
+    return read(spark, d, "documents").select("doc_id", shown.alias("s")).select("doc_id", "s.snippet", "s.truncated")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(t, '[㐀-䶿一-鿿豈-﫿]') THEN length(t) < 40 ELSE len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) < 20 END AS short FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
 def is_short(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.is_short(F.col("text")).alias("short"))
 
 
-@query("WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, no::BIGINT AS no, left(trim(line), 60) AS line FROM l WHERE NOT regexp_full_match(line, '[0-9\\s•·—–_=*\\-]*')")
+@query("WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, no::BIGINT AS no, line FROM l WHERE NOT regexp_full_match(line, '[0-9\\s•·—–_=*\\-]+')")
 def page_decor(spark, d):
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.where(~F.col("line").rlike(r"^[0-9\s•·—–_=*\-]*$")).select("doc_id", (F.col("no") + 1).cast("long").alias("no"), F.left(F.trim("line"), F.lit(60)).alias("line"))
+    return lines.where(~F.col("line").rlike(chunking.DECORATION)).select("doc_id", (F.col("no") + 1).cast("long").alias("no"), "line")
 
 
-@query()
+@query("WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?\\n]*[。！？；.!?\\n]|[^。！？；.!?\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents) SELECT doc_id, (generate_subscripts(s, 1) - 1)::INTEGER AS no, unnest(s) AS sentence FROM p")
 def sentence_split(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("no", "sentence"))
 
@@ -341,19 +409,17 @@ def dirtree_subtree_counts(spark, d):
 
 @query(f"WITH {TOKENS}, g AS (SELECT source AS nid, term, sum(tf) AS tf FROM tf JOIN c USING (pos) GROUP BY ALL), w AS (SELECT nid, term, tf, df, row_number() OVER (PARTITION BY nid ORDER BY round(tf * ln(1 + (n - df + 0.5) / (df + 0.5)), 9) DESC, term) AS rank FROM g JOIN df USING (term), st) SELECT nid, term, tf::BIGINT AS tf, df::BIGINT AS df, rank FROM w WHERE rank <= 12")
 def dirtree_keywords(spark, d):
-    c = chunks(spark, d)
-    tf = index.postings(c)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    groups = tf.join(c.select("pos", F.col("source").alias("nid")), "pos").groupBy("nid", "term").agg(F.sum("tf").alias("tf")).join(df, "term").crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))
+    own = text_index(spark, d)
+    groups = own.postings.join(own.chunks.select("pos", F.col("source").alias("nid")), "pos").groupBy("nid", "term").agg(F.sum("tf").alias("tf")).join(own.df, "term").crossJoin(F.broadcast(own.stats))
     return routing.keywords(groups, "nid", F.col("n")).select("nid", "term", "tf", "df", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {PARTS}, s AS (SELECT source AS nid, query_id, pos, score FROM bm JOIN c USING (pos) WHERE query_id = 'q1') SELECT nid, round(max(score), 6) AS score, arg_min(pos, (-score, pos))::VARCHAR AS best_doc FROM s GROUP BY nid")
+@query(f"WITH {PARTS}, s AS (SELECT source AS nid, query_id, pos, score FROM bm JOIN c USING (pos)) SELECT query_id, nid, round(max(score), 6) AS score, arg_min(pos, (-round(score, 9), pos))::VARCHAR AS best_doc FROM s GROUP BY query_id, nid")
 def dirtree_node_scores(spark, d):
-    c = chunks(spark, d)
-    scores = index.bm25(c, questions(spark).where("query_id = 'q1'")).select(F.col("pos").alias("doc_id"), "score")
-    out = routing.node_scores(c.select(F.col("pos").alias("doc_id"), F.col("source").alias("nid")), scores)
-    return out.select("nid", r6(F.col("score"), "score"), F.col("best_doc").cast("string").alias("best_doc"))
+    own = text_index(spark, d)
+    scores = stored.bm25(own, questions(spark)).select("query_id", F.col("pos").alias("doc_id"), "score")
+    out = routing.node_scores(own.chunks.select(F.col("pos").alias("doc_id"), F.col("source").alias("nid")), scores)
+    return out.select("query_id", "nid", r6(F.col("score"), "score"), F.col("best_doc").cast("string").alias("best_doc"))
 
 
 # ---------------------------------------------------------------- evidence
@@ -368,9 +434,9 @@ def pool_dedup(spark, d):
 def asked_passages(spark, d):
     """Benchmark items as questions, the top three documents of the keyword leg as their passages."""
     items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    c = chunks(spark, d)
-    top = index.top_k(index.bm25(c, items), 3, [F.desc(F.round("score", 9)), F.col("pos")])
-    return items, top.join(c.select("pos", "doc_id", "text"), "pos")
+    own = text_index(spark, d)
+    top = index.top_k(stored.bm25(own, items), 3, [F.desc(F.round("score", 9)), F.col("pos")])
+    return items, top.join(own.chunks.select("pos", "doc_id", "text"), "pos")
 
 
 ITEMS = f"it AS (SELECT item_id::VARCHAR AS query_id, {T} AS qt FROM benchmark), q2 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(qt) AS term FROM it) GROUP BY ALL), b2 AS (SELECT query_id, tf.pos, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(c.t) / avgdl))) AS score FROM tf JOIN df USING (term) JOIN q2 USING (term) JOIN c USING (pos), st GROUP BY ALL), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM b2) WHERE rank <= 3)"
@@ -394,7 +460,7 @@ def evidence_budget(spark, d):
     return evidence.within_budget(passages, 3000).select("query_id", "pos", F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"))
 
 
-@query("WITH x AS (SELECT doc_id, text, left(text, 240) AS head, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), y AS (SELECT *, regexp_extract(head, '(?s)^.*[.!?。！？]', 0) AS s, regexp_extract(head, '(?s)^(.*)\\s', 1) AS w FROM x) SELECT doc_id, length(CASE WHEN rank <= 4 OR length(text) < 480 THEN text WHEN length(s) >= 144 THEN s WHEN length(w) >= 144 THEN w ELSE head END)::BIGINT AS kept FROM y")
+@query("WITH x AS (SELECT doc_id, text, left(text, 240) AS head, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), y AS (SELECT *, regexp_extract(head, '(?s)^.*[.!?;。！？；]', 0) AS s, regexp_extract(head, '(?s)^(.*)[ \\t]', 1) AS w FROM x) SELECT doc_id, length(CASE WHEN rank <= 4 OR length(text) < 480 THEN text ELSE rtrim(CASE WHEN length(s) >= 145 THEN s WHEN length(w) >= 144 THEN w ELSE head END, ' ' || chr(9)) || ' […]' END)::BIGINT AS kept FROM y")
 def compress_plan(spark, d):
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     rows = read(spark, d, "documents").select("doc_id", "text", rank.alias("rank"))
@@ -434,10 +500,17 @@ def gram_coverage(spark, d):
     return evaluate.gram_coverage(read(spark, d, "benchmark"), read(spark, d, "documents"))
 
 
-@query(f"WITH {PARTS}, r AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM bm), gold AS (SELECT query_id, pos FROM r WHERE rank IN (2, 7, 15)), cuts AS (SELECT unnest([5, 10, 20]) AS cut) SELECT query_id, cut, round(count(*) FILTER (rank <= cut) / count(*), 6) AS recall FROM gold JOIN r USING (query_id, pos), cuts GROUP BY ALL")
+GOLD = "gold AS (SELECT item_id::VARCHAR AS query_id, doc_id AS pos FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))"
+
+
+@query(f"WITH {TOKENS}, {ITEMS.replace('WHERE rank <= 3', 'WHERE rank <= 20')}, {GOLD}, cuts AS (SELECT unnest([5, 10, 20]) AS cut) SELECT query_id, cut, round(count(*) FILTER (rank <= cut) / count(*), 6) AS recall FROM gold LEFT JOIN top USING (query_id, pos), cuts GROUP BY ALL")
 def doc_recall_at_k(spark, d):
-    ranked = index.top_k(index.bm25(chunks(spark, d), questions(spark)), 20, [F.desc("score"), F.col("pos")]).withColumnRenamed("pos", "doc_id")
-    gold = ranked.where(F.col("rank").isin(2, 7, 15)).select("query_id", "doc_id")
+    """Gold documents of a benchmark item are those in which it stands, whatever the ranking."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    own = text_index(spark, d)
+    ranked = index.top_k(stored.bm25(own, items), 20, [F.desc(F.round("score", 9)), F.col("pos")]).select("query_id", F.col("pos").alias("doc_id"), "rank")
+    stands = F.contains(F.lower("text"), F.lower("query"))
+    gold = read(spark, d, "documents").join(items, stands).select("query_id", "doc_id")
     return evaluate.recall_at(ranked, gold, [5, 10, 20]).select("query_id", "cut", r6(F.col("recall"), "recall"))
 
 
@@ -446,12 +519,13 @@ def stratified_split(spark, d):
     return evaluate.stratified_split(read(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 0.3)
 
 
-@query("SELECT lang, round(count(*) FILTER (regexp_matches(text, '(?i)license')) / count(*), 6) AS rate, count(*)::BIGINT AS n FROM documents GROUP BY lang")
+@query("SELECT turn, round(count(*) FILTER (regexp_matches(text, '" + evaluate.REFUSAL + "')) / count(*), 6) AS rate, count(*)::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY turn")
 def refusal_rate(spark, d):
-    return read(spark, d, "documents").groupBy("lang").agg(r6(F.count_if(F.col("text").rlike("(?i)license")) / F.count("*"), "rate"), F.count("*").alias("n"))
+    answers = read(spark, d, "conversations").where("role = 'assistant'")
+    return evaluate.refusal_rate(answers, by=("turn",)).select("turn", r6(F.col("rate"), "rate"), "n")
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) - length(regexp_replace(text, '[?？]', '', 'g')) >= 2 OR regexp_matches(lower(text), 'compare|difference|versus|respectively|relationship|each of') OR length(text) > 40 THEN 'complex' ELSE 'simple' END AS route FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, CASE WHEN length(text) - length(regexp_replace(text, '[?？]', '', 'g')) >= 2 OR regexp_matches(lower(text), '" + "|".join(routing.CUES) + "') OR length(text) > 40 THEN 'complex' ELSE 'simple' END AS route FROM conversations WHERE role = 'user'")
 def route_heuristic(spark, d):
     return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.route(F.col("text")).alias("route"))
 
@@ -464,7 +538,7 @@ def query_guard(spark, d):
 # ---------------------------------------------------------------- streams, as batches
 
 
-@query("WITH e AS (SELECT user_id AS stream_id, event_id AS seq, epoch_ms(ts) AS ts_ms, event_type AS text FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM e), s AS (SELECT *, min(CASE WHEN n = 2 THEN ts_ms END) OVER (PARTITION BY stream_id) AS second FROM n), f AS (SELECT *, CASE WHEN n = 1 THEN -1 ELSE floor((ts_ms - second) / 86400000.0)::BIGINT END AS frame FROM s) SELECT stream_id, frame::BIGINT AS frame, count(*)::BIGINT AS n_fragments, string_agg(text, '' ORDER BY seq) AS text FROM f GROUP BY ALL")
+@query()
 def coalesce_fragments(spark, d):
     rows = read(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("text"))
     return stream.coalesce_fragments(rows, 86_400_000)
