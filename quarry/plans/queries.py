@@ -304,9 +304,9 @@ def page_blocks(spark, d):
     return files.html_blocks(read(spark, d, "pages"))
 
 
-@query(f"WITH {PAGES} SELECT doc_id, pos, block_type, text, level FROM blk")
+@query(f"WITH {PAGES} SELECT doc_id, pos, block_type, text, coalesce(level, 0) AS level FROM blk")
 def html_blocks(spark, d):
-    return page_blocks(spark, d).select("doc_id", "pos", "block_type", "text", "level")
+    return page_blocks(spark, d).select("doc_id", "pos", "block_type", "text", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 @query(f"WITH {PAGES} SELECT doc_id, pos, CASE WHEN block_type = 'Title' THEN '' ELSE coalesce(last_value(CASE WHEN block_type = 'Title' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') END AS section FROM blk")
