@@ -151,3 +151,24 @@ def strip_numbers(text: Column) -> Column:
 def tool_error(tool: Column, reason: Column) -> Column:
     """What a failed call reads as: an element with the reason, at most four hundred characters of it."""
     return F.concat(F.lit('<tool_error tool="'), escape_markup(tool), F.lit('">'), escape_markup(truncate(reason, 400)), F.lit("</tool_error>"))
+
+
+def rune_hash(text: Column) -> Column:
+    """A 32-bit multiplicative hash over code points, by which templates take turns in a way that can be replayed."""
+    step = lambda value, c: (value.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
+
+
+#: Words that a search for the exact string is never made of.
+UNGREPPABLE = """
+the a an and or but if of to in on at for with by from as into over under about after before than then that this these those it its he
+she they them his her their is are was were be been being has have had do does did will would can could should may might must not no yes
+all any both each more most other some such only own same so too very just also there when where which who whom what how why whether while
+information details detail content article articles document documents passage text answer question evidence mention mentioned
+statement source sources report news example thing things something anything data fact facts claim claims
+""".split()
+
+
+def greppable(terms: Column) -> Column:
+    """Of an array of terms, in order, those of three characters or more that are more than function words and names of nothing in particular."""
+    return F.filter(F.transform(terms, strip), lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(UNGREPPABLE))

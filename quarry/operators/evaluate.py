@@ -107,3 +107,39 @@ def quality_macro(*metrics: Column) -> Column:
     for m in metrics:
         total = total + m
     return total / len(metrics)
+
+
+def modal_length(answers: DataFrame, text: str = "text", least: int = 3000) -> DataFrame:
+    """One row ``length, n, n_answers, extractive``: the commonest length of answers (the least of equals; a null one has none) and whether it
+    looks like evidence handed on as it was: four answers or more, at least half of them of one length from ``least`` characters."""
+    counts = answers.groupBy(F.coalesce(F.length(text), F.lit(0)).alias("length")).agg(F.count("*").alias("n"))
+    best = counts.agg(F.max(F.struct("n", -F.col("length"))).alias("top"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"))
+    length, n = -F.col("top")["col2"], F.col("top")["n"]
+    extractive = (F.col("n_answers") >= 4) & (length >= least) & (2 * n >= F.col("n_answers"))
+    return best.select(length.alias("length"), n.alias("n"), "n_answers", F.coalesce(extractive, F.lit(False)).alias("extractive"))
+
+
+def shown_contexts(contexts: Column, most: int = 0, chars: int = 0) -> Column:
+    """The first passages that hold anything, each cut to ``chars`` code points; zero sets no limit."""
+    kept = F.filter(contexts, lambda x: x != "")
+    kept = F.slice(kept, 1, most) if most > 0 else kept
+    return F.transform(kept, lambda x: F.substring(x, 1, chars)) if chars > 0 else kept
+
+
+def balanced_sample(rows: DataFrame, stratum: str, key: str, per_class: int, seed: int = 0) -> DataFrame:
+    """As many rows of each class, the first by a digest of key and seed: the same draw wherever it is made."""
+    order = [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= per_class)
+
+
+def tool_calls(calls: DataFrame, tool: str = "tool", failed: str = "failed", ms: str = "ms") -> DataFrame:
+    """``tool, n_calls, n_errors, total_ms`` of a log of calls."""
+    return calls.groupBy(F.col(tool).alias("tool")).agg(F.count("*").alias("n_calls"), F.count_if(F.col(failed)).alias("n_errors"), F.coalesce(F.sum(ms), F.lit(0)).alias("total_ms"))
+
+
+def prompt_stats(passages: DataFrame, *by: str) -> DataFrame:
+    """Of ``raw, shown`` by ``by``: passages, how many stand whole or compressed, their characters, and how many raw ones a shown one stands for."""
+    whole = F.col("raw") == F.col("shown")
+    sums = passages.groupBy(*by).agg(F.count("*").alias("passages"), F.count_if(whole).alias("expanded"), F.count_if(~whole).alias("compressed"), F.coalesce(F.sum(F.length("shown")), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("chars_raw"))
+    return sums.withColumn("ratio", F.when(F.col("chars") > 0, F.col("chars_raw") / F.col("chars")).otherwise(1.0))

@@ -6,7 +6,7 @@ import re
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("doc_id", "indexed_at")
@@ -114,3 +114,20 @@ def inverted_filter(long: DataFrame, conditions: list[tuple[str, Column]], logic
     """Documents by conditions on a long ``field, value, doc_id`` table: intersected or united."""
     sets = [long.where((F.col("field") == field) & predicate).select("doc_id").distinct() for field, predicate in conditions]
     return reduce((lambda a, b: a.intersect(b)) if logic == "and" else (lambda a, b: a.union(b).distinct()), sets)
+
+
+def bound_scope(bound: list[str], requested: list[str]) -> list[str]:
+    """What a request may read: all that is bound to it if it names nothing, what it names if all of that is bound; an error otherwise."""
+    if outside := sorted(set(requested) - set(bound)):
+        raise ValueError(f"outside the bound scope: {', '.join(outside)}")
+    return requested or bound
+
+
+def chunk_index(chunks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Each chunk's place within its document, from zero."""
+    return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy(doc).orderBy(*order)) - 1)
+
+
+def fetch_chunks(chunks: DataFrame, ids: list[str], doc_id: str, doc: str = "doc_id", key: str = "chunk_id") -> DataFrame:
+    """The chunks of one document that are named; a name of another document finds nothing."""
+    return chunks.where((F.col(doc) == doc_id) & F.col(key).isin(ids))

@@ -548,3 +548,38 @@ def coalesce_fragments(spark, d):
 def conversation_turns(spark, d):
     rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"), F.count("*").alias("n"))
     return rows.select("conv_id", F.array_join("t.role", ",").alias("roles"), "n")
+
+
+# ---------------------------------------------------------------- small reports
+
+
+@query("SELECT length, n, sum(n) OVER ()::BIGINT AS n_answers, (sum(n) OVER () >= 4 AND length >= 3000 AND 2 * n >= sum(n) OVER ()) AS extractive FROM (SELECT length(coalesce(text, ''))::BIGINT AS length, count(*)::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, length) = 1")
+def modal_answer_length(spark, d):
+    return evaluate.modal_length(read(spark, d, "conversations").where("role = 'assistant'")).withColumn("length", F.col("length").cast("long"))
+
+
+@query("SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || ':17'), doc_id)::INT AS place FROM labels QUALIFY place <= 20")
+def balanced_sample(spark, d):
+    return evaluate.balanced_sample(read(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 20, 17)
+
+
+@query("SELECT event_type AS tool, count(*)::BIGINT AS n_calls, count(*) FILTER (value < 1)::BIGINT AS n_errors, coalesce(sum(round(value * 1000)::BIGINT), 0)::BIGINT AS total_ms FROM events GROUP BY event_type")
+def tool_calls(spark, d):
+    calls = read(spark, d, "events").select(F.col("event_type").alias("tool"), (F.col("value") < 1).alias("failed"), F.round(F.col("value") * 1000).cast("long").alias("ms"))
+    return evaluate.tool_calls(calls)
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chunk_index FROM conversations")
+def chunk_positions(spark, d):
+    return filters.chunk_index(read(spark, d, "conversations").select("conv_id", "turn"), "conv_id", ("turn",))
+
+
+@query("SELECT conv_id, turn, list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda a, c: (xor(a, c) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM conversations WHERE text <> ''")
+def rune_hashes(spark, d):
+    return read(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", tx.rune_hash(F.col("text")).alias("h"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ' '), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.UNGREPPABLE) + "], lower(t))), ' ') AS terms FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations)")
+def greppable_terms(spark, d):
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(tx.greppable(words), " ").alias("terms"))
