@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,50 +81,58 @@ def term_span(text: str, wanted: list[str]) -> tuple[int, int] | None:
     return (min(s for s, _ in found), max(e for _, e in found)) if found else None
 
 
-def _word_start(text: str, at: int) -> int:
+def _words_from(text: str, at: int) -> int:
+    """A place, or from within a word the first beginning of a word behind it, if there is one."""
     if at <= 0 or at >= len(text) or text[at - 1].isspace():
         return min(max(at, 0), len(text))
-    m = re.compile(r"\s+").search(text, at)
-    return m.end() if m else at
+    return next((m.end() for m in re.compile(r"\s+").finditer(text, at)), at)
 
 
-def _head_after(text: str, at: int) -> int:
-    """The first beginning of a sentence at a place or behind it."""
-    m = re.compile(f"[{ENDS};]").search(text, max(at - 1, 0))
-    return m.end() if m and m.end() < len(text) else at
+def _window(text: str, first: int, last: int) -> tuple[int, int]:
+    """Where the part of a text begins and ends that shows the hits from ``first`` to ``last``.
 
-
-def snippet(text: str, first: int, last: int) -> tuple[str, bool]:
-    """What is shown of a text around its hits, and whether something was left out.
-
-    Short texts are shown whole, as are longer ones whose hits are far apart; else the paragraph if it fits, else whole sentences around the hits.
+    A text of few characters is its own window, and of more if the hits lie far apart; hits too far apart for a window show where they begin. Otherwise it is their paragraph, or, of
+    the places where sentences meet, the first within the context before the hits and the first behind the context after them.
     """
-    if not text or first >= len(text):
-        return "", False
-    first, last = max(min(first, last), 0), min(max(first, last), len(text))
-    last = max(last, first + 1)
-    if len(text) <= WHOLE or (last - first >= WINDOW and len(text) <= SCATTERED):
-        return _flat(text), False
+    if len(text) <= (SCATTERED if last - first >= WINDOW else WHOLE):
+        return 0, len(text)
     if last - first >= WINDOW:
-        return _cut(text, first, first + WINDOW)[0], True
-    above, beneath = text.rfind("\n\n", 0, first), text.find("\n\n", last)
-    paragraph = (above + 2 if above >= 0 else 0, beneath if beneath >= 0 else len(text))
+        return first, first + WINDOW
+    above = text[:first].rpartition("\n\n")
+    opening = 1 if not above[1] and text[:1] == "\n" and first else 0  # a text's first line feed ends a blank line
+    paragraph = first - len(above[2]) + opening, last + len(text[last:].partition("\n\n")[0])
     if paragraph[1] - paragraph[0] <= WINDOW:
-        return _cut(text, *paragraph)
-    start = _word_start(text, first - CONTEXT)
-    head = _head_after(text, start)
-    start = head if head <= first else max((m.end() for m in re.finditer(f"[{ENDS};]", text[:start])), default=0)
-    end = min(last + CONTEXT, len(text))
-    m = re.compile(f"[{ENDS};]").search(text, end)
-    aligned = m.end() if m else len(text)
-    end = aligned if aligned - start <= WINDOW + TOLERANCE else end
+        return paragraph
+    meets = [m.end() for m in re.finditer(f"[{ENDS};]", text)]
+    inner = [m for m in meets if m < len(text)]
+
+    def begin(at: int) -> int:
+        """The first meeting of sentences from ``at`` on, or ``at`` where none follows."""
+        return next(iter(inner[bisect_left(inner, at) :]), at)
+
+    near = _words_from(text, first - CONTEXT)
+    start = begin(near)
+    if start > first:
+        start = max((m for m in meets if m <= near), default=0)
+    reach = min(last + CONTEXT, len(text))
+    aligned = next(iter(meets[bisect_right(meets, reach) :]), len(text))
+    end = aligned if aligned - start <= WINDOW + TOLERANCE else reach
     if end - start > WINDOW:
-        start = max(start, _word_start(text, min(max(end - WINDOW, 0), first)) if end - WINDOW < first else first)
-        head = _head_after(text, start)
-        start = head if head <= first else min(start, first)
-    if end - start >= NEARLY * len(text):
+        late = max(end - WINDOW, first)
+        start = _words_from(text, late) if late > start else start
+        start = begin(start) if begin(start) <= first else start
+    return (0, len(text)) if end - start >= NEARLY * len(text) else (start, end)
+
+
+def snippet(text: str, first: int, last: int) -> tuple[str, bool]:
+    """What is shown of a text around its hits, and whether something was left out."""
+    if first >= len(text):
+        return "", False
+    first, last = sorted((max(first, 0), max(last, 0)))
+    start, end = _window(text, first, min(max(last, first + 1), len(text)))
+    if (start, end) == (0, len(text)):
         return _flat(text), False
-    return _cut(text, start, end)
+    return _cut(text, start, end)[0], start > 0 or end < len(text)
 
 
 def preview(text: str) -> tuple[str, bool]:

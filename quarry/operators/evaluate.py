@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.prefix import numbered
+
 from quarry.functions.text import content_tokens, grams, normalize
 
 #: Words that carry no fact, and the phrases of a refusal.
@@ -95,18 +97,31 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, share: float = 0.5
 
 def every_so_often(rows: DataFrame, order: str, n: int) -> DataFrame:
     """``n`` rows at even distances in a given order."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
-    total = numbered.agg(F.count("*").alias("_total"))
-    wanted = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i * F.col("_total") / n).cast("int"))).alias("_n")).distinct()
-    return numbered.join(wanted, "_n").drop("_n")
+    counted = numbered(rows, [order])
+    total = counted.agg(F.count("*").alias("_total"))
+    wanted = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("_total") / n) + 1)).alias("_n")).distinct()
+    return counted.join(F.broadcast(wanted), "_n").drop("_n")  # n rows
+
+
+def metric_means(rows: DataFrame, *metrics: str) -> DataFrame:
+    """One row: of each metric its mean and ``<metric>_missing``, how many are null or no number (which count as missing), and ``quality_macro``, the mean of the means, null if one is."""
+    value = {m: F.when(~F.isnan(m), F.col(m)) for m in metrics}
+    out = rows.agg(*[F.avg(c).alias(m) for m, c in value.items()], *[F.count_if(c.isNull()).alias(f"{m}_missing") for m, c in value.items()])
+    return out.withColumn("quality_macro", quality_macro(*[F.col(m) for m in metrics]))
 
 
 def quality_macro(*metrics: Column) -> Column:
-    """The mean of all metrics, null if one is missing."""
+    """The mean of all metrics; null if one is missing or no number."""
     total = F.lit(0.0)
     for m in metrics:
-        total = total + m
-    return total / len(metrics)
+        total = total + F.when(~F.isnan(m), m)
+    return F.round(total / len(metrics), 4)
+
+
+def violations(records: DataFrame, most: int = 200) -> DataFrame:
+    """``id, violation``: answers at length (``id, answer, n_contexts``) from an empty pool."""
+    empty = (F.coalesce("n_contexts", F.lit(0)) == 0) & (F.length("answer") > most)
+    return records.where(empty).select("id", F.concat(F.col("id").cast("string"), F.lit(": answered at length from an empty pool")).alias("violation"))
 
 
 def modal_length(answers: DataFrame, text: str = "text", least: int = 3000) -> DataFrame:

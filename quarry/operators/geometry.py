@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import accumulate, takewhile
+import math
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -141,21 +143,18 @@ def align_boxes(boxes: list[dict]) -> list[dict]:
     return out
 
 
-def _shared(a: tuple[float, float], b: tuple[float, float]) -> float:
-    """Overlap of two bands as a share of the smaller."""
-    smaller = min(a[1] - a[0], b[1] - b[0])
-    return max(min(a[1], b[1]) - max(a[0], b[0]), 0.0) / smaller if smaller > 0 else 0.0
+def bands(boxes: list[dict], labels: tuple[str, ...], axis: int) -> list[tuple[float, float]]:
+    """The boxes' extents along an axis as bands in order. Extents are folded from the lowest edge on: what is common to the last band and the next extent, if it
+    makes more than half of either, joins the two."""
 
+    def fold(done: list[tuple[float, float]], extent: tuple[float, float]) -> list[tuple[float, float]]:
+        low, high = done[-1] if done else (math.inf, -math.inf)
+        common = min(high, extent[1]) - max(low, extent[0])
+        if common > 0 and 2 * common > min(high - low, extent[1] - extent[0]):
+            return [*done[:-1], (min(low, extent[0]), max(high, extent[1]))]
+        return [*done, extent]
 
-def bands(boxes: list[dict], labels: tuple[str, ...], axis: int) -> list[tuple[float, float]]:
-    """Bands of the boxes along an axis in order; one that shares more than half of the smaller with the band before widens that."""
-    out: list[tuple[float, float]] = []
-    for band in sorted((b["bbox"][axis], b["bbox"][axis + 2]) for b in boxes if b["label"] in labels):
-        if out and _shared(out[-1], band) > 0.5:
-            out[-1] = min(out[-1][0], band[0]), max(out[-1][1], band[1])
-        else:
-            out.append(band)
-    return out
+    return reduce(fold, sorted((b["bbox"][axis], b["bbox"][axis + 2]) for b in boxes if b["label"] in labels), [])
 
 
 def apart(columns: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -168,9 +167,13 @@ def apart(columns: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 
 def header_rows(boxes: list[dict], rows: list[tuple[float, float]]) -> int:
-    """How many rows from the top lie in a header."""
-    headers = [(b["bbox"][1], b["bbox"][3]) for b in boxes if b["label"] == HEADER]
-    return sum(1 for _ in takewhile(lambda row: any(_shared(h, row) > 0.5 for h in headers), rows))
+    """How many rows from the top are header: those of which a header box and the row have more than half of the lower one in common."""
+    heads = np.array([(b["bbox"][1], b["bbox"][3]) for b in boxes if b["label"] == HEADER], float).reshape(-1, 1, 2)
+    bodies = np.array(rows, float).reshape(1, -1, 2)
+    common = np.minimum(heads[..., 1], bodies[..., 1]) - np.maximum(heads[..., 0], bodies[..., 0])
+    lower = np.minimum(heads[..., 1] - heads[..., 0], bodies[..., 1] - bodies[..., 0])
+    inside = ((common > 0) & (2 * common > lower)).any(axis=0)
+    return int(np.argmin(np.append(inside, False)))
 
 
 def grid_markdown(grid: list[list[str]], n_header: int) -> str:

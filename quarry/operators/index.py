@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import terms
+from quarry.storage import BROADCAST_BYTES, measured_bytes, written
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -77,53 +78,67 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
 
 
-def _blocks(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
-    """``keys binary, n, width, unit binary``: rows of unit vectors in blocks; vectors that are null or zero are left out."""
+def packed(vectors: DataFrame, key: str, vector: str, cell: str | None = None, rows: int = 4096) -> DataFrame:
+    """``keys array, width, unit binary`` (and ``cell``): unit vectors in blocks of ``rows`` of one width and cell; vectors that are null or zero are left out."""
+    names = ["keys", "width", "unit"] + ["cell"] * bool(cell)
 
     def run(batches):
         for b in batches:
-            keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False)) if b.schema.field(0).type != pa.string() else np.array(b.column(0).to_pylist(), object)
-            found = [np.asarray(v.values, np.float64) if v.is_valid else np.zeros(0) for v in b.column(1)]
-            widths = np.array([len(v) for v in found])
-            for width in np.unique(widths[widths > 0]):
-                at = np.flatnonzero(widths == width)
-                m = np.vstack([found[i] for i in at])
+            widths = np.array([len(v) if v.is_valid else 0 for v in b.column(1)], np.int64)
+            cells = b.column(2).to_numpy(zero_copy_only=False) if cell else np.zeros(len(widths), np.int64)
+            for width, own in sorted({(int(w), int(c)) for w, c in zip(widths, cells, strict=True) if w}):
+                at = np.flatnonzero((widths == width) & (cells == own))
+                m = np.asarray(b.column(1).take(pa.array(at)).flatten(), np.float64).reshape(-1, width)
                 norm = np.sqrt((m * m).sum(1))
                 at, m, norm = at[norm > 0], m[norm > 0], norm[norm > 0]
                 for k in range(0, len(at), rows):
-                    part = m[k : k + rows] / norm[k : k + rows, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(keys[at[k : k + rows]].tolist())], pa.binary()), pa.array([int(width)], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["keys", "width", "unit"])
+                    some = at[k : k + rows]
+                    columns = [pa.ListArray.from_arrays([0, len(some)], b.column(0).take(pa.array(some))), pa.array([width], pa.int32()), pa.array([(m[k : k + rows] / norm[k : k + rows, None]).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array([own], pa.int32())] * bool(cell), names)
+
+    simple = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, vector, *([cell] if cell else [])).mapInArrow(run, f"keys array<{simple}>, width int, unit binary" + ", cell int" * bool(cell))
+
 
-    return vectors.select(key, vector).mapInArrow(run, "keys binary, width int, unit binary")
+def best_of_blocks(met: DataFrame, most: int, kind: T.DataType) -> DataFrame:
+    """``query_id, key, score``: for blocks of vectors next to blocks of questions (``query_keys, query_unit``), of every block each question's ``most``
+    rows of largest positive cosine; ties go to the smaller key."""
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        for b in batches:
+            asked, found, scores = [], [], []
+            for keys, width, unit, qk, qu in zip(*(b.column(c) for c in ("keys", "width", "unit", "query_keys", "query_unit")), strict=True):
+                keys, qk = keys.values, qk.values.to_pylist()
+                order = np.asarray(pc.sort_indices(keys))
+                score = np.round(np.frombuffer(qu.as_py()).reshape(-1, width.as_py()) @ np.frombuffer(unit.as_py()).reshape(-1, width.as_py()).T, 12)[:, order]
+                best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :most]
+                value = np.take_along_axis(score, best, axis=1)
+                asked += [q for q, n in zip(qk, (value > 0).sum(1), strict=True) for _ in range(n)]
+                found.append(keys.take(pa.array(order[best][value > 0])))
+                scores.append(value[value > 0])
+            columns = [pa.array(asked, pa.string()), pa.concat_arrays([f.cast(arrow) for f in found]) if found else pa.array([], arrow), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "key", "score"])
+
+    return met.select("keys", "width", "unit", "query_keys", "query_unit").mapInArrow(run, f"query_id string, key {kind.simpleString()}, score double")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, most: int, key: str = "pos", rows: int = 4096) -> DataFrame:
     """``query_id, key, score``: for every query (``query_id, query_vector``) the ``most`` rows of largest positive cosine, and more.
 
-    Vectors and queries come in blocks of ``rows`` unit vectors; every two blocks are one product of matrices, of which each query's best of that
-    block go on. What is passed on so is in proportion to queries and blocks, not to all pairs.
+    Vectors and questions come in blocks of unit vectors, every two of which are one product of matrices. The blocks of questions go to every task if
+    they are small, by measurement; else they are numbered and every block of vectors is dealt to each number, so that no task gets more than one number's share.
     """
-    a = _blocks(vectors, key, "embedding", rows)
-    q = _blocks(queries, "query_id", "query_vector", rows).select(F.col("keys").alias("query_keys"), "width", F.col("unit").alias("query_unit"))
-
-    def run(batches):
-        for b in batches:
-            out_q, out_k, out_s = [], [], []
-            for keys, width, unit, qk, qu in zip(*(b.column(c).to_pylist() for c in ("keys", "width", "unit", "query_keys", "query_unit")), strict=True):
-                keys, asked = pickle.loads(keys), pickle.loads(qk)
-                score = np.frombuffer(qu).reshape(-1, width) @ np.frombuffer(unit).reshape(-1, width).T
-                order = np.argsort(np.array(keys, object), kind="stable")
-                for n, row in enumerate(score):
-                    best = order[np.argsort(-np.round(row[order], 9), kind="stable")[:most]]
-                    for i in best:
-                        if row[i] > 0:
-                            out_q.append(asked[n])
-                            out_k.append(keys[i])
-                            out_s.append(float(row[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), pa.array(out_k, to_arrow_type(kind)), pa.array(out_s, pa.float64())], ["query_id", key, "score"])
-
-    kind = vectors.schema[key].dataType
-    return a.join(q, "width").mapInArrow(run, f"query_id string, {key} {kind.simpleString()}, score double")
+    q = written(packed(queries, "query_id", "query_vector", rows=rows).withColumnsRenamed({"keys": "query_keys", "unit": "query_unit", "width": "query_width"}), "question-blocks")
+    v = packed(vectors, key, "embedding", rows=rows)
+    if measured_bytes(q) <= BROADCAST_BYTES:
+        met = v.join(F.broadcast(q), F.col("width") == F.col("query_width"))
+    else:
+        n = q.count()
+        q = q.withColumn("no", F.pmod(F.xxhash64("query_keys"), F.lit(n)).cast("int"))
+        dealt = v.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        met = dealt.join(q, "no").where(F.col("width") == F.col("query_width"))
+    return best_of_blocks(met, most, vectors.schema[key].dataType).withColumnRenamed("key", key)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, key: str = "pos") -> DataFrame:
@@ -133,11 +148,10 @@ def fuse(keyword: DataFrame, vector: DataFrame, key: str = "pos") -> DataFrame:
     return legs.groupBy("query_id", key).agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score"), rank_in("keyword").alias("keyword_rank"), rank_in("dense").alias("dense_rank"))
 
 
-
 def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, key: str = "pos", scores: DataFrame | None = None) -> DataFrame:
     """Both legs to a pool of ``max(4 * limit, 30)``, fused and cut; texts join only what is left. ``scores``: of a stored index, else all texts are cut."""
     pool = max(4 * limit, 30)
-    words = top_k(scores if scores is not None else bm25(chunks, queries.select("query_id", "query"), key), pool, [F.desc("score"), F.col(key)])
+    words = top_k(scores if scores is not None else bm25(chunks, queries.select("query_id", "query"), key), pool, [F.desc(F.round("score", 9)), F.col(key)])
     near = top_k(dense(vectors.join(chunks.select(key), key, "left_semi"), queries.select("query_id", "query_vector"), pool, key), pool, [F.desc(F.round("score", 9)), F.col(key)])
     fused = fuse(words, near, key)
-    return top_k(fused, limit, [F.desc("score"), F.col("keyword_rank").asc_nulls_last(), F.col("dense_rank").asc_nulls_last()])
+    return top_k(fused, limit, [F.desc(F.round("score", 12)), F.col("keyword_rank").asc_nulls_last(), F.col("dense_rank").asc_nulls_last()])

@@ -21,10 +21,17 @@ def route(question: Column) -> Column:
     return F.when((marks >= 2) | cue | (F.length(question) > 40), "complex").otherwise("simple")
 
 
+#: What an answer holds and a query does not.
+ANSWER_MARKERS = ["http://", "https://", "**", "sources:", "source:", "references:", "citation", "according to"]
+
+
 def query_guard(query: Column) -> Column:
-    """Whether a text is shaped like a query."""
+    """Whether a text is shaped like a query: neither blank nor long, and without a mark of an answer."""
     words = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
-    return (F.length(F.trim(query)) > 0) & (F.length(query) <= 200) & (words <= 24)
+    marked = F.lit(False)
+    for m in ANSWER_MARKERS:
+        marked = marked | F.contains(F.lower(query), F.lit(m))
+    return (F.length(F.trim(query)) > 0) & (F.length(query) <= 200) & (words <= 24) & ~marked
 
 
 def path_nodes(docs: DataFrame) -> DataFrame:

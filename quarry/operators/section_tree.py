@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import first_sentence, heading_title, strip, terms, truncate
 from quarry.operators.chunking import heading_levels
 from quarry.operators.index import B, K1, RRF, idf, query_terms
+from quarry.operators.prefix import numbered
 
 #: Defaults of a search: hits, documents that are descended into, children followed, passages of a document, levels; what a parent's score is worth one level down.
 LIMIT, DOCS, BEAM, ANCHORS, DEPTH, DISCOUNT = 20, 8, 2, 6, 8, 0.6
@@ -182,3 +183,18 @@ def search(chunks: DataFrame, queries: DataFrame, passages: DataFrame, names: Da
     keyed = passages.select("query_id", "doc_id", "chunk_id", "score")
     routed = route(candidates(tree, scored, keyed), tree, anchored, scored, keyed)
     return fuse(routed, passages, tree, limit, fallback)
+
+
+def walked(nodes: DataFrame, most_depth: int = 16) -> DataFrame:
+    """``nid, depth, path array<string>, place``: nodes (``nid, parent, name``) from those without a parent down, by recursion; ``path`` holds the names on the way.
+
+    ``place`` counts in depth-first order, siblings by name. What no root leads to is not reached; a way of more than ``most_depth`` steps, as of a cycle, is an error.
+    """
+    found = nodes.sparkSession.sql(
+        f"""WITH RECURSIVE w(nid, depth, path) MAX RECURSION LEVEL {most_depth + 1} AS (
+            SELECT nid, 0, array(name) FROM {{nodes}} WHERE parent IS NULL
+            UNION ALL SELECT n.nid, w.depth + 1, array_append(w.path, n.name) FROM {{nodes}} n JOIN w ON n.parent = w.nid
+        ) SELECT nid, depth, path FROM w""",
+        nodes=nodes,
+    )
+    return numbered(found, ["path", "nid"]).select("nid", "depth", "path", F.col("_n").cast("long").alias("place"))

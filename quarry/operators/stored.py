@@ -1,7 +1,7 @@
 """A stored text index: chunks, postings and statistics as tables that grow and shrink by batches.
 
-Every text is cut into terms once, when it is added. A batch adds its chunks, its postings (``pos, term, tf, dl``, sorted by term, so
-that a search reads few row groups) and its share of the statistics. Removing documents adds what they take away from the
+Every text is cut into terms once, when it is added. A batch adds its chunks, its postings (``pos, term, tf, dl``) and frequencies, both in folders by
+a hash of the term, so that a search reads the folders of its terms alone, and its share of the statistics. Removing documents adds what they take away from the
 statistics and marks them; a marked document's rows of earlier batches are left out of every read. No batch is ever rewritten.
 """
 
@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import terms
 from quarry.operators.index import B, K1, idf, query_terms
-from quarry.storage import written
+from quarry.storage import broadcast_if_small, exists, written
 
 PARTS = ("chunks", "postings", "df", "stats", "removed")
 REMOVED = "doc_id string, before int"
+#: Folders of the terms' postings, and different terms of questions up to which the terms themselves are given to the scan.
+BUCKETS, TERMS_IN_SCAN = 64, 2000
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 class TextIndex:
@@ -25,11 +31,11 @@ class TextIndex:
     # ------------------------------------------------------------------ reading
 
     def _exists(self, part: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return exists(self.spark, f"{self.root}/{part}")
 
     def _read(self, part: str) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", "false").parquet(f"{self.root}/{part}")
+        kinds = self.spark.read.text(f"{self.root}/schema-{part}").first()[0]
+        return self.spark.read.schema(kinds).parquet(f"{self.root}/{part}")
 
     def _live(self, rows: DataFrame) -> DataFrame:
         if not self._exists("removed"):
@@ -43,7 +49,20 @@ class TextIndex:
 
     @property
     def postings(self) -> DataFrame:
-        return self._live(self._read("postings")).drop("batch")
+        return self._live(self._read("postings")).drop("batch", "bucket")
+
+    def of_terms(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and ``term, df`` of the terms asked for (``term``), by scans of their folders alone.
+
+        Up to ``TERMS_IN_SCAN`` different terms are named in the scan, which also rules out row groups; for more, all folders are read.
+        """
+        found = asked.select("term").distinct().limit(TERMS_IN_SCAN + 1).select("term", bucket(F.col("term")).alias("b")).collect()
+        if len(found) <= TERMS_IN_SCAN:
+            those = F.col("bucket").isin(sorted({r["b"] for r in found})) & F.col("term").isin([r["term"] for r in found])
+        else:
+            those = F.lit(True)
+        postings = self._live(self._read("postings").where(those)).drop("batch", "bucket")
+        return postings, self._read("df").where(those).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     @property
     def df(self) -> DataFrame:
@@ -61,8 +80,16 @@ class TextIndex:
     def _next(self) -> int:
         return (self._read("stats").agg(F.max("batch")).first()[0] + 1) if self._exists("stats") else 1
 
-    def _put(self, part: str, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{part}/batch={batch}")
+    def _put(self, part: str, rows: DataFrame, batch: int, by: str | None = None) -> None:
+        """A batch of a part; ``by`` a folder each: rows are sorted by term there, and a folder of many rows is written by several tasks."""
+        path = f"{self.root}/{part}/batch={batch}"
+        if not self._exists(f"schema-{part}"):  # a batch without rows, which has no files, can be read by it
+            kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch int"
+            self.spark.range(1).select(F.lit(kinds)).coalesce(1).write.text(f"{self.root}/schema-{part}")
+        if by:
+            rows.hint("rebalance", by).sortWithinPartitions(by, "term").write.mode("overwrite").partitionBy(by).parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
 
     def add(self, chunks: DataFrame) -> int:
         """Adds chunks (``pos, doc_id, chunk_id, text`` and more) that are not there yet; of equal keys the first counts, blank texts do not.
@@ -79,9 +106,9 @@ class TextIndex:
         self._put("chunks", cut.drop("_t"), batch)
         tokens = cut.select("pos", "doc_id", F.size("_t").cast("long").alias("dl"), F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull())
         tf = tokens.groupBy("pos", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        self._put("postings", tf.repartitionByRange(F.col("term")).sortWithinPartitions("term"), batch)
+        self._put("postings", tf.withColumn("bucket", bucket(F.col("term"))), batch, by="bucket")
         own = self._read("postings").where(F.col("batch") == batch)
-        self._put("df", own.groupBy("term").agg(F.count("*").alias("df")), batch)
+        self._put("df", own.groupBy("bucket", "term").agg(F.count("*").alias("df")), batch, by="bucket")
         self._put("stats", cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_t").cast("long")), F.lit(0)).alias("total")), batch)
         return self._read("stats").where(F.col("batch") == batch).first()["n"]
 
@@ -91,9 +118,9 @@ class TextIndex:
         chunks, postings = self.chunks.join(ids, "doc_id", "left_semi"), self.postings.join(ids, "doc_id", "left_semi")
         sizes = chunks.select("pos").join(postings.groupBy("pos").agg(F.first("dl").alias("dl")), "pos", "left")
         less = written(sizes.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("total")), "less")
-        less_df = written(postings.groupBy("term").agg((-F.count("*")).alias("df")), "less-df")
+        less_df = written(postings.groupBy(bucket(F.col("term")).alias("bucket"), "term").agg((-F.count("*")).alias("df")), "less-df")
         gone = written(ids.select("doc_id", F.lit(batch).alias("before")), "gone")
-        self._put("df", less_df, batch)
+        self._put("df", less_df, batch, by="bucket")
         self._put("removed", gone, batch)
         self._put("stats", less, batch)
 
@@ -105,8 +132,9 @@ class TextIndex:
 
 def contributions(index: TextIndex, queries: DataFrame, key: str = "pos") -> DataFrame:
     """``query_id, key, term, part`` of BM25: only postings of the queries' terms are read. Statistics are of the whole index; a scope belongs behind this."""
-    q = query_terms(queries)
-    rows = index.postings.join(q, "term").join(index.df.join(q.select("term").distinct(), "term", "left_semi"), "term").crossJoin(F.broadcast(index.stats))
+    q = written(query_terms(queries), "query-terms")
+    postings, df = index.of_terms(q)
+    rows = postings.join(broadcast_if_small(written(q.join(df, "term"), "query-df")), "term").crossJoin(F.broadcast(index.stats))
     norm = K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
     part: Column = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return rows.select("query_id", key, "term", part.alias("part"))

@@ -1,0 +1,7 @@
+"""The registered queries: importing the modules registers them."""
+
+from quarry.plans import queries, retrieval
+
+QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "queries", "retrieval"]

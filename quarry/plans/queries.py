@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import answers, chunking, directory_tree, evaluate, evidence, filters, index, manifest, routing, section_tree, stored
+from quarry.operators import answers, chunking, directory_tree, evaluate, evidence, filters, index, manifest, patterns, routing, section_tree, stored
 from quarry.sources import files
 from quarry.storage import fresh_dir, written
 from quarry.streaming import stream
@@ -70,6 +70,11 @@ ASKED = "q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unn
 PARTS = f"{TOKENS}, {ASKED}, parts AS (SELECT query_id, tf.pos, tf.term, qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(c.t) / avgdl)) AS part FROM tf JOIN df USING (term) JOIN q USING (term) JOIN c USING (pos), st), bm AS (SELECT query_id, pos, sum(part) AS score FROM parts GROUP BY ALL)"
 
 
+def scored(asked: str) -> str:
+    """BM25 scores ``bm`` of the questions in ``asked``, which defines ``q`` (``query_id, term, qtf``)."""
+    return PARTS.replace(ASKED, asked)
+
+
 # ---------------------------------------------------------------- statistics
 
 
@@ -150,22 +155,6 @@ def dense_knn_label_recall(spark, d):
     return top.join(vectors(spark, d).select("pos", "label"), "pos").join(asked.select("query_id", "wanted"), "query_id").groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("wanted")).alias("n_label"))
 
 
-HYBRID = f"""WITH {PARTS}, {DENSE}, k AS (SELECT * FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM bm) WHERE rank <= 40),
-v AS (SELECT * FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM de WHERE pos IN (SELECT pos FROM c) AND query_id IN ('q1', 'q2', 'q3', 'q4')) WHERE rank <= 40),
-f AS (SELECT query_id, pos, sum(1.0::DOUBLE / (60 + rank)) AS score, min(CASE WHEN leg = 'k' THEN rank END) AS kr, min(CASE WHEN leg = 'd' THEN rank END) AS dr FROM (SELECT *, 'k' AS leg FROM k UNION ALL SELECT *, 'd' AS leg FROM v) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, kr NULLS LAST, dr NULLS LAST) AS rank FROM f)
-SELECT query_id, pos, rank, round(score, 6) AS score, concat_ws('+', CASE WHEN kr IS NOT NULL THEN 'keyword' END, CASE WHEN dr IS NOT NULL THEN 'dense' END) AS sources FROM r WHERE rank <= 10"""
-
-
-@query(HYBRID)
-def hybrid_rrf(spark, d):
-    asked = questions(spark).join(vector_questions(spark, d), "query_id")
-    own = text_index(spark, d)
-    found = index.hybrid(own.chunks, vectors(spark, d).select("pos", "embedding"), asked, scores=stored.bm25(own, asked.select("query_id", "query")))
-    sources = F.concat_ws("+", F.when(F.col("keyword_rank").isNotNull(), "keyword"), F.when(F.col("dense_rank").isNotNull(), "dense"))
-    return found.select("query_id", "pos", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"), sources.alias("sources"))
-
-
 # ---------------------------------------------------------------- grep, listings, scopes
 
 
@@ -360,14 +349,6 @@ def dirtree_build(spark, d):
     return nodes.join(directory_tree.subtree(nodes, leaves).groupBy("nid").agg(F.countDistinct("doc_id").alias("n_docs")), "nid").select("nid", "parent", "level", "name", "origin", "n_docs")
 
 
-@query()
-def dirtree_search(spark, d):
-    nodes, leaves = documents_in_tree(spark, d)
-    own = text_index(spark, d)
-    scores = written(stored.bm25(own, questions(spark)).join(own.chunks.select("pos", "doc_id"), "pos").select("query_id", "doc_id", "score"), "scores")
-    return directory_tree.search(nodes, leaves, scores, branches=4)
-
-
 @query()
 def snippet_windows(spark, d):
     shown = answers.snippets(F.col("text"), F.array(F.lit("license"), F.lit("the")))
@@ -454,17 +435,14 @@ def missing_terms(spark, d):
     return evidence.missing_terms(items, passages).withColumn("n", F.col("n").cast("long"))
 
 
-@query(f"WITH {TOKENS}, {ITEMS}, x AS (SELECT query_id, rank, pos, strlen(text) AS size, coalesce(sum(strlen(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM top JOIN c USING (pos)) SELECT query_id, pos, rank, least(size, 3000 - before)::BIGINT AS used FROM x WHERE 3000 - before >= 120 OR size <= 3000 - before")
-def evidence_budget(spark, d):
-    _, passages = asked_passages(spark, d)
-    return evidence.within_budget(passages, 3000).select("query_id", "pos", F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"))
-
-
-@query("WITH x AS (SELECT doc_id, text, left(text, 240) AS head, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), y AS (SELECT *, regexp_extract(head, '(?s)^.*[.!?;。！？；]', 0) AS s, regexp_extract(head, '(?s)^(.*)[ \\t]', 1) AS w FROM x) SELECT doc_id, length(CASE WHEN rank <= 4 OR length(text) < 480 THEN text ELSE rtrim(CASE WHEN length(s) >= 145 THEN s WHEN length(w) >= 144 THEN w ELSE head END, ' ' || chr(9)) || ' […]' END)::BIGINT AS kept FROM y")
+@query("WITH x AS (SELECT doc_id, text, left(text, 240) AS head, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), y AS (SELECT *, regexp_extract(head, '(?s)^.*[.!?;。！？；]', 0) AS s, regexp_extract(head, '(?s)^(.*)[ \\t]', 1) AS w FROM x) SELECT doc_id, md5(CASE WHEN rank <= 4 OR length(text) < 480 THEN text ELSE rtrim(CASE WHEN length(s) >= 145 THEN s WHEN length(w) >= 144 THEN w ELSE head END, ' ' || chr(9)) || ' […]' END) AS kept FROM y")
 def compress_plan(spark, d):
+    """Ranks are taken without the texts, and of each source only the first few are told apart: the rest is compressed whatever its rank."""
+    docs = read(spark, d, "documents")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = read(spark, d, "documents").select("doc_id", "text", rank.alias("rank"))
-    return rows.select("doc_id", F.length(evidence.compression_plan(F.col("rank"), F.col("text"))).cast("long").alias("kept"))
+    first = docs.select("doc_id", "source").withColumn("rank", rank).where("rank <= 4").select("doc_id", "rank")
+    rows = docs.select("doc_id", "text").join(first, "doc_id", "left")
+    return rows.select("doc_id", F.md5(evidence.compression_plan(F.coalesce("rank", F.lit(5)), F.col("text"))).alias("kept"))
 
 
 INTER = "l AS (SELECT lang AS query_id, source AS list_no, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rank, md5(text) AS doc_id FROM documents)"
@@ -485,9 +463,9 @@ def interleave_dedup(spark, d):
     return evidence.interleave(ranked_lists(spark, d), 12).select("query_id", "list_no", "doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query("WITH e AS (SELECT label, vec_id, embedding[1:4]::DOUBLE[] AS s FROM embeddings), x AS (SELECT vec_id, list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM e), p AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x) SELECT vec_id, round(p[1], 6) AS p0, round(1 + list_sum(list_transform(p, lambda v: v * ln(v))) / ln(4), 6) AS confidence FROM p")
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS s FROM embeddings), x AS (SELECT vec_id, list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM e), p AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x) SELECT vec_id, round(p[1], 6) AS p0, round(1 + list_sum(list_transform(p, lambda v: v * ln(v))) / ln(len(p)), 6) AS confidence FROM p")
 def softmax_confidence(spark, d):
-    s = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    s = F.transform("embedding", lambda v: v.cast("double"))
     rows = read(spark, d, "embeddings").select("vec_id", evidence.decision(s).alias("x"))
     return rows.select("vec_id", r6(F.col("x.probs")[0], "p0"), r6(F.col("x.confidence"), "confidence"))
 
@@ -509,8 +487,7 @@ def doc_recall_at_k(spark, d):
     items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
     own = text_index(spark, d)
     ranked = index.top_k(stored.bm25(own, items), 20, [F.desc(F.round("score", 9)), F.col("pos")]).select("query_id", F.col("pos").alias("doc_id"), "rank")
-    stands = F.contains(F.lower("text"), F.lower("query"))
-    gold = read(spark, d, "documents").join(items, stands).select("query_id", "doc_id")
+    gold = patterns.occurrences(items, read(spark, d, "documents"), "query_id", "query").select("query_id", "doc_id")
     return evaluate.recall_at(ranked, gold, [5, 10, 20]).select("query_id", "cut", r6(F.col("recall"), "recall"))
 
 
@@ -530,7 +507,7 @@ def route_heuristic(spark, d):
     return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.route(F.col("text")).alias("route"))
 
 
-@query("SELECT conv_id, turn, length(trim(text)) > 0 AND length(text) <= 200 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 24 AS ok FROM conversations")
+@query("SELECT conv_id, turn, length(trim(text)) > 0 AND length(text) <= 200 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 24 AND NOT (" + " OR ".join(f"contains(lower(text), '{m}')" for m in routing.ANSWER_MARKERS) + ") AS ok FROM conversations")
 def query_guard(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", routing.query_guard(F.col("text")).alias("ok"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import strip
+from quarry.operators.prefix import numbered
+from quarry.storage import exists, remove, written
 
 TEXT_SUFFIXES = (".txt", ".md", ".markdown")
 
@@ -74,11 +78,65 @@ def parse_key(version: str, path: Column, size: Column, mtime: Column, options:
 
 
 def evict(cache: DataFrame, most_bytes: int) -> DataFrame:
-    """What stays of a cache (``key, size, used_at``): the most recently used up to a number of bytes."""
-    from pyspark.sql import Window
+    """What stays of a cache (``key, size, used_at``): the most recently used up to a number of bytes. The running sum is taken over ranges, in no single task."""
+    summed = numbered(cache, [F.desc("used_at"), F.col("key")], {"_total": F.col("size")})
+    return summed.where(F.col("_total") <= most_bytes).drop("_n", "_total")
+
+
+class ParseCache:
+    """Parsed inputs by :func:`parse_key` under ``root``: what was parsed before is read, the rest is parsed and put in.
+
+    Every call is a batch of its own: its new entries and the keys it used. An eviction writes the entries that stay as a new generation and then names that, so that a reader finds
+    the old one or the new one whole. An entry is used whenever a call asks for it.
+    """
 
-    total = F.sum("size").over(Window.orderBy(F.desc("used_at"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    return cache.withColumn("total", total).where(F.col("total") <= most_bytes).drop("total")
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _generation(self) -> int:
+        """The latest one that is complete: its name is written behind its rows."""
+        if not exists(self.spark, f"{self.root}/generations"):
+            return 0
+        return self.spark.read.text(f"{self.root}/generations").agg(F.max(F.col("value").cast("int"))).first()[0]
+
+    def _path(self, part: str) -> str:
+        return f"{self.root}/{part}-{self._generation()}"
+
+    @property
+    def entries(self) -> DataFrame | None:
+        """``key, value``: each key once."""
+        if not exists(self.spark, self._path("entries")):
+            return None
+        return self.spark.read.parquet(self._path("entries")).dropDuplicates(["key"])
+
+    @property
+    def uses(self) -> DataFrame:
+        """``key, used_at``: the last call that used each key."""
+        return self.spark.read.parquet(self._path("uses")).groupBy("key").agg(F.max("used_at").alias("used_at"))
+
+    def read_through(self, inputs: DataFrame, parse: Callable[[DataFrame], DataFrame], used_at: int) -> DataFrame:
+        """``key, value, hit`` of ``inputs`` (``key`` and what ``parse`` needs): ``parse`` returns ``key, value`` and sees the inputs that the cache lacks, each once."""
+        asked = written(inputs, "cache-inputs")
+        held = self.entries
+        new = (asked if held is None else asked.join(held.select("key"), "key", "left_anti")).dropDuplicates(["key"])
+        parsed = written(parse(new).select("key", "value"), "parsed")
+        known = None if held is None else written(held.join(asked.select("key").distinct(), "key", "left_semi").select("key", "value"), "held")
+        parsed.write.mode("append").parquet(self._path("entries"))
+        asked.select("key", F.lit(used_at).cast("long").alias("used_at")).distinct().write.mode("append").parquet(self._path("uses"))
+        out = parsed.withColumn("hit", F.lit(False))
+        return out if known is None else out.unionByName(known.withColumn("hit", F.lit(True)))
+
+    def trim(self, most_bytes: int) -> int:
+        """Leaves the most recently used entries of ``most_bytes`` in all, by the bytes of their values, and returns how many there are."""
+        sized = self.entries.join(self.uses, "key").select("key", "value", F.octet_length("value").cast("long").alias("size"), "used_at")
+        kept = written(evict(sized, most_bytes), "kept")
+        n, old = self._generation() + 1, [self._path(part) for part in ("entries", "uses")]
+        kept.select("key", "value").write.parquet(f"{self.root}/entries-{n}")
+        kept.select("key", "used_at").write.parquet(f"{self.root}/uses-{n}")
+        self.spark.range(1).select(F.lit(str(n))).coalesce(1).write.mode("append").text(f"{self.root}/generations")
+        for path in old:
+            remove(self.spark, path)
+        return kept.count()
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -96,10 +96,66 @@ def test_directory_search(spark, corpus):
     q = spark.createDataFrame([("q", "ship wave cloud")], "query_id string, query string")
     scores = index.bm25(docs, q, "doc_id")
     out = directory_tree.search(nodes, leaves, scores, limit=6).orderBy("rank").collect()
-    assert [r["source"] for r in out] == ["route"] * (len(out) - 2) + ["keyword"] * 2 and out[0]["doc_id"].startswith("sea")
+    assert [r["source"] for r in out] == ["route"] * 3 + ["keyword"] * 3 and out[0]["doc_id"].startswith("sea")
     both = directory_tree.search(nodes, leaves, scores, limit=6, branches=2, net=0).collect()
     assert {r["doc_id"][:3] for r in both} == {"sea", "sky"}
-    assert directory_tree.walk({"d0": ["a", "b"], "a": ["c", "d"]}, {"c": ["1"], "d": ["2"], "b": ["3"]}, {"a": 2, "b": 1, "c": 0, "d": 1}, {}, 9, beam=2) == ["2", "1", "3"]
+
+
+def small_tree(spark, leaves, inner):
+    nodes = spark.createDataFrame([("d0", None, 0)] + [(n, n.rpartition(".")[0], n.count(".")) for n in [*inner, *leaves]], "nid string, parent string, level int")
+    return nodes, spark.createDataFrame([(n, x) for n, docs in leaves.items() for x in docs], "nid string, doc_id string")
+
+
+def found(spark, tree, scores, **how):
+    given = spark.createDataFrame([("q", x, float(s)) for x, s in scores.items()], "query_id string, doc_id string, score double")
+    return [(r["doc_id"], r["source"]) for r in directory_tree.search(*tree, given, **how).orderBy("rank").collect()]
+
+
+def test_directory_search_by_the_reference_rules(spark):
+    tree = small_tree(spark, {"d0.1.1": ["1"], "d0.1.2": ["2"], "d0.2": ["3"]}, ["d0.1"])
+    docs = lambda rows: [x for x, _ in rows]
+    assert docs(found(spark, tree, {"2": 2, "3": 1}, limit=9, beam=2, net=0)) == ["2", "1", "3"]
+    assert docs(found(spark, tree, {"2": 2, "3": 1}, limit=9, beam=1, net=0)) == ["2"]
+    assert docs(found(spark, tree, {"2": 2, "3": 1}, limit=9, beam=2, net=0, steps=1)) == []  # the first choice is no leaf, and no step is left for it
+    assert found(spark, tree, {"2": 2, "3": 1}, limit=2, beam=1, net=3) == [("2", "route"), ("3", "keyword")]
+    # Leaves keep documents without a query term; a leaf opened first fills the limit and nothing is opened behind it.
+    wide = small_tree(spark, {"d0.1": [f"a{k}" for k in range(8)], "d0.2": ["b"]}, [])
+    assert docs(found(spark, wide, {"a3": 3, "b": 2}, limit=8, branches=2, net=0)) == ["a3", "b", "a0", "a1", "a2", "a4", "a5", "a6"]
+    assert docs(found(spark, wide, {"a3": 3, "b": 2}, limit=5, beam=2, net=0)) == ["a3", "a0", "a1", "a2", "a4"]
+    assert found(spark, wide, {"a3": 3, "b": 2}, limit=5, beam=2, net=3)[-1] == ("b", "keyword")
+    # Ties go by the number of the child.
+    many = small_tree(spark, {f"d0.{k}": [f"x{k}"] for k in range(1, 13)}, [])
+    assert docs(found(spark, many, {"x5": 1}, limit=4, branches=4, net=0)) == ["x5", "x1", "x2", "x3"]
+
+
+def test_directions_of_a_decider(spark):
+    nodes, leaves = small_tree(spark, {f"d0.{k}": [f"x{k}"] for k in range(1, 5)}, [])
+    frontier = spark.createDataFrame([("q", "d0")], "query_id string, nid string")
+    scores = spark.createDataFrame([("q", "d0.2", 5.0), ("q", "d0.4", 3.0), ("q", "d0.1", 1.0)], "query_id string, nid string, score double")
+    order = lambda **k: [(r["child"][-1], r["by"]) for r in directory_tree.directions(frontier, nodes, scores, **k).orderBy("place").collect()]
+    choice = spark.createDataFrame([("q", f"d0.{k}", s, 0.4) for k, s in ((1, 0.9), (2, 0.1), (3, 0.95), (4, 0.2))], "query_id string, nid string, choice_score double, probability double")
+    assert "".join(c for c, _ in order()) == "2413"
+    assert order(decided=choice) == [(c, "decider") for c in "3142"]
+    assert "".join(c for c, _ in order(decided=choice, candidates=2)) == "4213"  # 4 and 2 are asked about, the others stay behind them
+    assert order(decided=choice, least=0.5) == [(c, "keyword") for c in "2413"]
+
+
+def test_best_coverage_is_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    draw = random.Random(4)
+    leaves, n = {}, 0
+    for k in range(9):
+        size = draw.randint(1, 6)
+        leaves[f"l{k}"] = [f"x{n + i}" for i in range(size)]
+        n += size
+    gold = {f"q{k}": draw.sample([f"x{i}" for i in range(n)], draw.randint(1, 9)) for k in range(8)}
+    at = spark.createDataFrame([(name, x) for name, docs in leaves.items() for x in docs], "nid string, doc_id string")
+    g = spark.createDataFrame([(q, x) for q, docs in gold.items() for x in docs], "query_id string, doc_id string")
+    for m, budget in ((1, 4), (2, 7), (4, 11), (4, 100)):
+        best = {q: max((len(set(docs) & {x for c in combo for x in leaves[c]}) for size in range(1, m + 1) for combo in combinations(leaves, size) if sum(len(leaves[c]) for c in combo) <= budget), default=0) for q, docs in gold.items()}
+        assert {r["query_id"]: r["best"] for r in directory_tree.best_coverage(g, at, m, budget).collect()} == best
 
 
 def test_citations(spark):
