@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import directory_tree, embed, evidence, evaluate, index, patterns, rounds, routing, stored, vectors
+from quarry.operators import directory_tree, embed, evidence, evaluate, index, patterns, replies, rounds, routing, stored, vectors
 from quarry.operators.section_tree import walked
 from quarry.plans.queries import ASKED, DENSE, ITEMS, QUESTIONS, TOKENS, T, asked_passages, query, questions, r6, read, scored, text_index, vector_questions
 from quarry.plans.queries import vectors as given_vectors
@@ -304,3 +304,62 @@ def cache_evict(spark, d):
 @query("WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n, count(*) OVER () AS total FROM documents) SELECT doc_id FROM n WHERE n IN (SELECT (i * total) // 37 FROM (SELECT unnest(range(37)) AS i), (SELECT count(*) AS total FROM documents))")
 def evenly_spaced(spark, d):
     return evaluate.every_so_often(read(spark, d, "documents").select("doc_id"), "doc_id", 37)
+
+
+# ---------------------------------------------------------------- replies and metadata of any shape
+
+
+def props_of_events(spark, d):
+    """The fields of the events' JSON and their kind as a field, ``event_id, field, value``."""
+    events = read(spark, d, "events")
+    own = replies.long_values(events, "event_id", "props").select("event_id", "field", "value")
+    return own.unionByName(events.select("event_id", F.lit("event_type").alias("field"), F.col("event_type").alias("value")))
+
+
+@query("""WITH f AS (SELECT event_type, unnest(json_keys(props)) AS field, props FROM events), t AS (SELECT event_type, field, count(*)::BIGINT AS n, bool_and(json_type(props, '$.' || field) IN ('UBIGINT', 'BIGINT')) AS whole FROM f GROUP BY ALL)
+SELECT event_type, field, n, '{"type":"object","properties":{"' || field || '":{"type":"' || CASE WHEN whole THEN 'integer' ELSE 'string' END || '"}},"additionalProperties":false}' AS schema FROM t""")
+def props_schema(spark, d):
+    """The fields that the events of each kind hold, and the JSON Schema that declares them."""
+    long = replies.long_values(read(spark, d, "events").select("event_id", "props", "event_type"), "event_id", "props").join(read(spark, d, "events").select("event_id", "event_type"), "event_id")
+    kinds = long.groupBy("event_type", "field").agg(F.count("*").alias("n"), F.min(F.col("kind") == "BIGINT").alias("whole"))
+    fields = kinds.select("event_type", F.lit(0).alias("at"), F.col("field").alias("key"), F.when(F.col("whole"), "integer").otherwise("string").alias("type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("enum"))
+    return kinds.select("event_type", "field", "n").join(replies.json_schema(fields, "event_type"), "event_type")
+
+
+#: Filters as they come, in all spellings of their parts, each with what it means in SQL; ``k`` is the events' own field.
+FILTERS = [
+    ('{"conditions": [{"name": "k", "comparison_operator": "is", "value": 17}]}', "k = 17"),
+    ('{"conditions": [{"key": "k", "operator": "==", "value": "17"}], "logic": "or"}', "k = 17"),
+    ('{"conditions": [{"name": "k", "operator": "not is", "value": 17}]}', "k <> 17"),
+    ('{"conditions": [{"name": "k", "comparison_operator": "!=", "value": "17"}]}', "k <> 17"),
+    ('{"conditions": [{"name": "k", "comparison_operator": ">=", "value": 90}, {"key": "event_type", "operator": "=", "value": "CLICK"}], "logic": "and"}', "k >= 90 AND event_type = 'click'"),
+    ('{"conditions": [{"name": "k", "comparison_operator": "<=", "value": 5}, {"key": "event_type", "operator": "start with", "value": "Vi"}], "logic": "or"}', "k <= 5 OR event_type LIKE 'vi%'"),
+    ('{"conditions": [{"name": "k", "comparison_operator": ">", "value": 9}]}', "k > 9"),
+    ('{"conditions": [{"name": "k", "comparison_operator": "<", "value": 9.5}]}', "k < 9.5"),
+    ('{"conditions": [{"name": "event_type", "comparison_operator": "in", "value": ["click", "View"]}]}', "event_type = 'click'"),
+    ('{"conditions": [{"name": "event_type", "comparison_operator": "not in", "value": ["Click", "view"]}]}', "event_type NOT IN ('click', 'view')"),
+    ('{"conditions": [{"name": "k", "comparison_operator": "contains", "value": 7}, {"name": "k", "comparison_operator": "not contains", "value": "1"}, {"name": "k", "operator": "end with", "value": "7"}]}', "k::VARCHAR LIKE '%7' AND k::VARCHAR NOT LIKE '%1%'"),
+    ('{"conditions": [{"name": "k", "operator": "not empty"}, {"name": "none", "operator": "=", "value": 1}], "logic": "or"}', "true"),
+    ('{"conditions": [{"name": "k", "operator": "not empty"}, {"name": "none", "operator": "=", "value": 1}]}', "false"),
+    ('{"conditions": [{"name": "k", "operator": ">", "value": "9999-99-99"}]}', "false"),
+    ('{"conditions": [{"name": "k", "operator": "!=", "value": "9999-99-99"}, {"operator": "=", "value": 1}]}', "true"),
+]
+
+
+@query("WITH e AS (SELECT event_id, event_type, (props->>'$.k')::BIGINT AS k FROM events), r AS (" + " UNION ALL ".join(f"SELECT {n} AS filter_id, event_id FROM e WHERE {sql}" for n, (_, sql) in enumerate(FILTERS)) + ") SELECT filter_id, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM r GROUP BY filter_id")
+def props_filter(spark, d):
+    given = spark.createDataFrame([(n, c) for n, (c, _) in enumerate(FILTERS)], "filter_id int, condition string")
+    found = replies.filtered(props_of_events(spark, d), replies.conditions(given), "event_id")
+    return found.groupBy("filter_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(f"""WITH s AS (SELECT item_id, list_transform({SENTENCES}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS s FROM benchmark), x AS (SELECT item_id, generate_subscripts(s, 1) AS place, unnest(s) AS q FROM s), g AS (SELECT item_id, q, min(place) AS place FROM x WHERE length(q) <= 200 AND len(string_split(q, ' ')) <= 24 GROUP BY item_id, lower(q), q QUALIFY row_number() OVER (PARTITION BY item_id, lower(q) ORDER BY min(place)) = 1),
+r AS (SELECT item_id, list(q ORDER BY place)[1:3] AS q FROM g GROUP BY item_id) SELECT item_id, coalesce(array_to_string(q, chr(10)), '') AS queries FROM benchmark LEFT JOIN r USING (item_id)""")
+def reply_queries(spark, d):
+    """The sentences of each item as a model might send them as queries: as JSON in a fence, as a bare array of objects, or as a list behind a line of prose."""
+    s = read(spark, d, "benchmark").select("item_id", F.transform(tx.sentences(F.col("text")), tx.collapse).alias("s"))
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("s").alias("queries"))), F.lit("\n```"))
+    bare = F.to_json(F.transform("s", lambda x: F.struct(x.alias("question"))))
+    listed = F.concat(F.lit("Here are the queries:\n"), F.array_join(F.transform("s", lambda x, i: F.concat((i + 1).cast("string"), F.lit('. "'), x, F.lit('",'))), "\n"))
+    reply = F.when(F.col("item_id") % 3 == 0, fenced).when(F.col("item_id") % 3 == 1, bare).otherwise(listed)
+    return s.select("item_id", F.array_join(replies.reply_queries(reply), "\n").alias("queries"))

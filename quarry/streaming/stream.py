@@ -141,3 +141,33 @@ def disabled_tools(failures: DataFrame, at, minutes: int = 30) -> DataFrame:
     """``conv_id, tool``: tools that are out of use for a conversation at a time, as they failed (``conv_id, tool, ts``) less than so many minutes before."""
     last = failures.where((F.col("conv_id") != "") & (F.col("tool") != "") & (F.col("ts") <= at)).groupBy("conv_id", "tool").agg(F.max("ts").alias("ts"))
     return last.where(F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES") >= at).select("conv_id", "tool")
+
+
+def disabled_stream(calls: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
+    """``conv_id, tool, ts, disabled``: for each call of a stream (``conv_id, tool, failed, ts``) whether its tool was out of use for its conversation, as it failed there less than so many minutes before.
+
+    The state is one time a conversation and tool, and goes when the watermark passes it; calls without a conversation or tool have none and are never refused. Calls of one batch are taken by time.
+    """
+    life = minutes * 60_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else -1
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        refused = []
+        for at, failed in zip(rows["at_ms"], rows["failed"], strict=True):
+            refused.append(at <= until)
+            if failed:
+                until = max(until, at + life)
+        if until > state.getCurrentWatermarkMs():
+            state.update((int(until),))
+            state.setTimeoutTimestamp(int(until) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"conv_id": key[0], "tool": key[1], "ts": rows["ts"].to_numpy(), "disabled": refused})
+
+    known = calls.where((F.col("conv_id") != "") & (F.col("tool") != "")).withWatermark("ts", delay)
+    timed = known.select("conv_id", "tool", F.coalesce("failed", F.lit(False)).alias("failed"), "ts", F.unix_millis("ts").alias("at_ms"))
+    return timed.groupBy("conv_id", "tool").applyInPandasWithState(run, "conv_id string, tool string, ts timestamp, disabled boolean", "until long", "append", "EventTimeTimeout")
