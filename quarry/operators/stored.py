@@ -98,18 +98,22 @@ class TextIndex:
         """
         batch = self._next()
         fresh = chunks.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
-        first = F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy("pos"))
-        fresh = fresh.withColumn("_n", first).where("_n = 1").drop("_n")
         if batch > 1:
             fresh = fresh.join(self.chunks.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti")
-        cut = written(fresh.withColumn("_t", terms(F.col("text"))), "cut")
-        self._put("chunks", cut.drop("_t"), batch)
-        tokens = cut.select("pos", "doc_id", F.size("_t").cast("long").alias("dl"), F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull())
-        tf = tokens.groupBy("pos", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        self._put("postings", tf.withColumn("bucket", bucket(F.col("term"))), batch, by="bucket")
+        # Only chunks whose key comes more than once are brought together.
+        several = written(fresh.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "chunk_id"), "repeated")
+        if not several.isEmpty():
+            several = broadcast_if_small(several)
+            first = F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy("pos"))
+            once = fresh.join(several, ["doc_id", "chunk_id"], "left_semi").withColumn("_n", first).where("_n = 1").drop("_n")
+            fresh = fresh.join(several, ["doc_id", "chunk_id"], "left_anti").unionByName(once)
+        self._put("chunks", fresh, batch)
+        added = self._read("chunks").where(F.col("batch") == batch)
+        self._put("postings", term_counts(added).withColumn("bucket", bucket(F.col("term"))), batch, by="bucket")
         own = self._read("postings").where(F.col("batch") == batch)
         self._put("df", own.groupBy("bucket", "term").agg(F.count("*").alias("df")), batch, by="bucket")
-        self._put("stats", cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_t").cast("long")), F.lit(0)).alias("total")), batch)
+        total = own.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        self._put("stats", added.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)), batch)  # one row each
         return self._read("stats").where(F.col("batch") == batch).first()["n"]
 
     def remove(self, doc_ids: DataFrame) -> None:
@@ -130,6 +134,15 @@ class TextIndex:
         return self.add(chunks)
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """``pos, doc_id, dl, term, tf``: the different terms of each chunk (``pos, doc_id, text``) with their counts and that of all. Runs of equal terms are counted in the sorted terms of a chunk, without a shuffle."""
+    rows = chunks.select("pos", "doc_id", F.sort_array(terms(F.col("text"))).alias("s")).where(F.size("s") > 0)
+    new = lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))
+    rows = rows.select("pos", "doc_id", "s", F.filter(F.sequence(F.lit(0), F.size("s") - 1), new).alias("starts"))
+    runs = F.transform("starts", lambda a, k: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("s")) - a).cast("long").alias("tf")))
+    return rows.select("pos", "doc_id", F.size("s").cast("long").alias("dl"), F.explode(runs).alias("r")).select("pos", "doc_id", "dl", "r.term", "r.tf")
+
+
 def contributions(index: TextIndex, queries: DataFrame, key: str = "pos") -> DataFrame:
     """``query_id, key, term, part`` of BM25: only postings of the queries' terms are read. Statistics are of the whole index; a scope belongs behind this."""
     q = written(query_terms(queries), "query-terms")

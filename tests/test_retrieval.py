@@ -308,3 +308,29 @@ def test_tools_out_of_use_over_restarts_and_expiry(spark, tmp_path):
     assert ("c", "nav", "10:31", False) in run()
     batch(4, [("c", "nav", False, "11:31:00"), ("d", "nav", False, "11:59:00")])
     assert run() == [("c", "nav", "11:31", False), ("d", "nav", "11:59", True)]
+
+
+# ---------------------------------------------------------------- batches with faults
+
+
+def test_batches_keep_order_and_faults(spark):
+    from quarry.operators import outcomes
+
+    def work(x):
+        if x is None or x < 0:
+            raise ValueError(f"bad {x}")
+        return x * 2
+
+    rows = spark.createDataFrame([(f"f{k}", k, None if k == 3 else -k if k == 7 else k) for k in range(25)], "name string, no int, x int")
+    out, seen = outcomes.run_batch(rows, "name", "no", "x", work, "long", group=10)
+    got = [(r["name"], r["result"], r["error"]) for r in out.orderBy("at").collect()]
+    assert got == [(f"f{k}", None if k in (3, 7) else k * 2, {3: "ValueError: bad None", 7: "ValueError: bad -7"}.get(k)) for k in range(25)]
+    assert seen == {"done": 25, "failed": 2}
+    out, seen = outcomes.run_batch(rows, "name", "no", "x", work, "long", group=10, stop=lambda s: s["done"] >= 10)
+    assert seen == {"done": 10, "failed": 2} and out.where("error = 'cancelled'").count() == 15 and out.where("at > 10 AND error IS NULL").isEmpty()
+
+
+def test_term_counts_are_those_of_the_terms(spark):
+    rows = spark.createDataFrame([(1, "a", "bb aa bb cc bb"), (2, "b", ""), (3, "c", "漢字漢 漢字 x")], "pos long, doc_id string, text string")
+    got = {(r["pos"], r["dl"], r["term"], r["tf"]) for r in stored.term_counts(rows).collect()}
+    assert got == {(1, 5, "aa", 1), (1, 5, "bb", 3), (1, 5, "cc", 1), (3, 3, "漢字", 2), (3, 3, "字漢", 1)}
