@@ -10,6 +10,7 @@ from quarry.functions.text import first_sentence, heading_title, strip, terms, t
 from quarry.operators.chunking import heading_levels
 from quarry.operators.index import B, K1, RRF, idf, query_terms
 from quarry.operators.prefix import numbered
+from quarry.storage import written
 
 #: Defaults of a search: hits, documents that are descended into, children followed, passages of a document, levels; what a parent's score is worth one level down.
 LIMIT, DOCS, BEAM, ANCHORS, DEPTH, DISCOUNT = 20, 8, 2, 6, 8, 0.6
@@ -177,9 +178,9 @@ def fuse(routed: DataFrame, passages: DataFrame, tree: DataFrame, limit: int = L
 
 def search(chunks: DataFrame, queries: DataFrame, passages: DataFrame, names: DataFrame | None = None, limit: int = LIMIT, fallback: bool = True) -> DataFrame:
     """The whole channel over chunks of all documents. ``passages``: keyword scores of the chunks that match, as in :func:`fuse`."""
-    anchored = anchors(chunks)
-    tree = nodes(anchored, chunks, names)
-    scored = node_scores(node_texts(tree, anchored, chunks), queries)
+    anchored = written(anchors(chunks), "anchors")  # each document's tree is built once, whatever reads it
+    tree = written(nodes(anchored, chunks, names), "tree")
+    scored = written(node_scores(node_texts(tree, anchored, chunks), queries), "node-scores")
     keyed = passages.select("query_id", "doc_id", "chunk_id", "score")
     routed = route(candidates(tree, scored, keyed), tree, anchored, scored, keyed)
     return fuse(routed, passages, tree, limit, fallback)
