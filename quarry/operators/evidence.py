@@ -64,9 +64,10 @@ def cut_bytes(text: Column, most: Column) -> Column:
     return F.left(text, most.cast("int"))
 
 
-def evidence_block(questions: DataFrame, ranked: DataFrame, budget: int, record: Column | None = None) -> DataFrame:
-    """``query_id, block, n_shown, n_omitted``: question, enumeration record, numbered passages (``query_id, rank, doc_id, text`` and ``page_num``) within the budget, and how many were left out."""
-    opening = F.concat(F.lit("Question: "), "query", F.lit("\n\n"), F.coalesce(F.concat(record, F.lit("\n")), F.lit("")) if record is not None else F.lit(""), F.lit("Evidence:\n"))
+def evidence_block(questions: DataFrame, ranked: DataFrame, budget: int, record: Column | None = None, opening: Column | None = None) -> DataFrame:
+    """``query_id, block, n_shown, n_omitted``: question, enumeration record, numbered passages (``query_id, rank, doc_id, text`` and ``page_num``) within the budget, and how many were left out. ``opening``: all
+    that stands before the passages, in other words."""
+    opening = opening if opening is not None else F.concat(F.lit("Question: "), "query", F.lit("\n\n"), F.coalesce(F.concat(record, F.lit("\n")), F.lit("")) if record is not None else F.lit(""), F.lit("Evidence:\n"))
     asked = questions.select("query_id", opening.alias("opening"))
     page = F.col("page_num") if "page_num" in ranked.columns else F.lit(1)
     header = F.format_string("[%d] (%s p.%d) ", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")), F.col("doc_id").cast("string"), page)

@@ -173,8 +173,10 @@ def member_anchors(spark, d):
 # ---------------------------------------------------------------- evidence
 
 
-BLOCK = f"""WITH {TOKENS}, {ITEMS}, x AS (SELECT query_id, rank, pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, '[' || rank || '] (' || pos || ' p.1) ' AS header FROM top JOIN c USING (pos)),
-o AS (SELECT item_id::VARCHAR AS query_id, 'Question: ' || text || chr(10) || chr(10) || 'Evidence:' || chr(10) AS opening FROM benchmark),
+def block_sql(opening: str) -> str:
+    """Evidence blocks of the items, behind an ``opening`` of the item's ``text``."""
+    return f"""WITH {TOKENS}, {ITEMS}, x AS (SELECT query_id, rank, pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, '[' || rank || '] (' || pos || ' p.1) ' AS header FROM top JOIN c USING (pos)),
+o AS (SELECT item_id::VARCHAR AS query_id, {opening} AS opening FROM benchmark),
 y AS (SELECT x.*, opening, 3000 - strlen(opening) - coalesce(sum(strlen(header) + strlen(text) + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - strlen(header) - 1 AS room FROM x JOIN o USING (query_id)),
 z AS (SELECT *, coalesce(max(CASE WHEN room < 120 OR strlen(text) > room THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM y),
 k AS (SELECT query_id, rank, header || CASE WHEN strlen(text) <= room THEN text ELSE left(text, room::BIGINT) || '…' END || chr(10) AS shown FROM z WHERE room >= 120 AND stopped = 0),
@@ -182,7 +184,7 @@ n AS (SELECT query_id, count(*) AS n FROM x GROUP BY query_id), s AS (SELECT que
 SELECT query_id, coalesce(n_shown, 0)::BIGINT AS n_shown, (coalesce(n, 0) - coalesce(n_shown, 0))::BIGINT AS n_omitted, md5(opening || coalesce(shown, '') || CASE WHEN coalesce(n_shown, 0) < coalesce(n, 0) THEN chr(10) || '(' || (n - coalesce(n_shown, 0)) || ' of ' || n || ' passage(s) omitted to fit the context window.)' || chr(10) ELSE '' END) AS block FROM o LEFT JOIN n USING (query_id) LEFT JOIN s USING (query_id)"""
 
 
-@query(BLOCK)
+@query(block_sql("'Question: ' || text || chr(10) || chr(10) || 'Evidence:' || chr(10)"))
 def evidence_budget(spark, d):
     asked, passages = asked_passages(spark, d)
     return evidence.evidence_block(asked, passages, 3000).select("query_id", "n_shown", "n_omitted", F.md5("block").alias("block"))

@@ -13,13 +13,13 @@ from quarry.functions.text import strip
 from quarry.operators.prefix import numbered
 from quarry.storage import exists, remove, written
 
-TEXT_SUFFIXES = (".txt", ".md", ".markdown")
+TEXT_SUFFIXES, WORD_SUFFIXES = (".txt", ".md", ".markdown"), (".docx",)
 
 
 def load_files(spark: SparkSession, path: str) -> DataFrame:
     """``source_file, suffix, content, md5``; suffixes without a reader are an error that names them."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("source_file"), F.lower(F.regexp_extract("path", r"\.[^./]*$", 0)).alias("suffix"), "content", F.md5("content").alias("md5"))
-    known = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), F.col("suffix")).otherwise(F.raise_error(F.concat(F.lit("no reader for "), F.col("source_file"))))
+    known = F.when(F.col("suffix").isin(*TEXT_SUFFIXES, *WORD_SUFFIXES), F.col("suffix")).otherwise(F.raise_error(F.concat(F.lit("no reader for "), F.col("source_file"))))
     return files.withColumn("suffix", known)
 
 
