@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import arguments, directory_tree, markup, patterns, stored
+from quarry.operators import arguments, directory_tree, evaluate, markup, patterns, stored
 from quarry.operators.stored_trees import TreeStore
-from quarry.plans.queries import ORACLE_SQL, PAGES, asked_passages, page_blocks, query, questions, read, text_index
-from quarry.plans.retrieval import SCORED_FOLDERS, SENTENCES, block_sql, document_scores, folder_tree, item_parts, searched_sql
+from quarry.plans.queries import ORACLE_SQL, PAGES, TOKENS, asked_passages, page_blocks, query, questions, read, text_index
+from quarry.plans.retrieval import FOLDERS, SCORED_FOLDERS, SENTENCES, block_sql, document_scores, folder_tree, item_parts, searched_sql
 from quarry.storage import fresh_dir, written
 
 
@@ -126,3 +126,37 @@ def dirtree_explained(spark, d):
     skipped = directory_tree.skipped_branches(nodes, directory_tree.best_of_nodes(nodes, leaves, scores), questions(spark), 2)
     told = directory_tree.explained(hits, parts, questions(spark), directory_tree.document_paths(nodes, leaves).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
     return told.join(skipped, "query_id", "left").select("query_id", "rank", "doc_id", "why", "skipped")
+
+
+IDF = "ln(1 + ({n} - {df} + 0.5) / ({df} + 0.5))"
+
+
+@query(f"""WITH {TOKENS}, {FOLDERS}, own AS (SELECT nid, 'd0' AS parent, doc_id FROM p JOIN l1 USING (lang) UNION ALL SELECT leaf, nid, doc_id FROM p JOIN l2 USING (lang, source)),
+g AS (SELECT nid, count(*) AS n FROM own GROUP BY nid), tn AS (SELECT nid, parent, doc_id, term, tf.tf AS tf FROM own JOIN tf ON tf.pos = own.doc_id), gd AS (SELECT nid, term, count(*) AS gdf FROM tn GROUP BY ALL),
+sc AS (SELECT nid, doc_id, sum(tf * {IDF.format(n='st.n', df='df')} * {IDF.format(n='g.n', df='gdf')}) AS s FROM tn JOIN df USING (term) JOIN gd USING (nid, term) JOIN g USING (nid), st GROUP BY ALL),
+rp AS (SELECT nid, doc_id, row_number() OVER (PARTITION BY nid ORDER BY round(s, 9) DESC, doc_id::VARCHAR) AS place FROM sc QUALIFY place <= 2),
+tt AS (SELECT nid, string_agg(lang || ' report ' || doc_id % 2, ' / ' ORDER BY place) AS titles FROM rp JOIN p USING (doc_id) WHERE lang <> 'de' GROUP BY nid),
+ts AS (SELECT parent, nid, term, sum(tf) AS tf FROM tn GROUP BY ALL), sp AS (SELECT parent, term, count(*) AS sdf FROM ts GROUP BY ALL), sb AS (SELECT parent, count(DISTINCT nid) AS k FROM own GROUP BY parent),
+tw AS (SELECT nid, term, row_number() OVER (PARTITION BY nid ORDER BY round(tf * {IDF.format(n='k', df='sdf')}, 9) DESC, term) AS place FROM ts JOIN sp USING (parent, term) JOIN sb USING (parent) QUALIFY place <= 3),
+wd AS (SELECT nid, string_agg(term, '·' ORDER BY place) AS terms FROM tw GROUP BY nid),
+al AS (SELECT DISTINCT nid, parent, string_split(nid, '.')[-1]::INTEGER AS no FROM own), nm AS (SELECT al.*, titles, terms, coalesce(titles, nullif(terms, ''), '组' || no) AS name FROM al LEFT JOIN tt USING (nid) LEFT JOIN wd USING (nid))
+SELECT nid, titles, terms, CASE WHEN row_number() OVER (PARTITION BY parent, name ORDER BY no) > 1 THEN name || '(' || no || ')' ELSE name END AS name FROM nm""")
+def dirtree_names(spark, d):
+    """Every folder named by what sets it apart; documents in one of the languages have no title."""
+    nodes, leaves = folder_tree(spark, d)
+    own = text_index(spark, d)
+    weighed = written(directory_tree.weights(own.postings.select("doc_id", "term", "tf"), own.chunks.count()), "weights")
+    titles = own.chunks.where("lang <> 'de'").select("doc_id", F.concat("lang", F.lit(" report "), (F.col("pos") % 2).cast("string")).alias("name"))
+    return directory_tree.sibling_names(nodes, leaves, weighed, titles)
+
+
+# ---------------------------------------------------------------- answers
+
+
+@query("SELECT doc_id AS id, doc_id || ': answered at length from an empty pool' AS violation FROM documents WHERE length(text) > 200 AND doc_id NOT IN (SELECT doc_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)))")
+def pool_violations(spark, d):
+    """Documents as answers, and as their pool the items that stand in them."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
+    held = patterns.occurrences(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "text")
+    pools = held.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_contexts"))
+    return evaluate.violations(docs.join(pools, "id", "left"))

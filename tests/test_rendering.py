@@ -173,3 +173,12 @@ def test_fan_out_takes_turns(spark):
     slots = spark.createDataFrame([("q", 1, "s1"), ("q", 2, "s2"), ("q", 3, "s3")], "question_id string, slot int, query_id string")
     out = directory_tree.fan_out(hits, slots, 3).orderBy("rank").collect()
     assert [(r["rank"], r["doc_id"], r["query_id"]) for r in out] == [(1, "a", "s1"), (2, "b", "s1"), (3, "c", "s2")]
+
+
+def test_sibling_names(spark, small_tree):
+    nodes, leaves = small_tree
+    nodes = nodes.unionByName(spark.createDataFrame([("d0.3", "d0", 1, "E")], nodes.schema))
+    counts = spark.createDataFrame([("x", "apple", 3), ("x", "the", 9), ("y", "pear", 4), ("y", "the", 9), ("z", "the", 9)], "doc_id string, term string, tf int")
+    titles = spark.createDataFrame([("x", "Same"), ("z", "Same"), ("y", None)], "doc_id string, name string")
+    rows = {r["nid"]: (r["titles"], r["terms"], r["name"]) for r in directory_tree.sibling_names(nodes, leaves, directory_tree.weights(counts, 3), titles, most_terms=1).collect()}
+    assert rows == {"d0.1": ("Same", "apple", "Same"), "d0.2": (None, "pear", "pear"), "d0.10": ("Same", "the", "Same(10)"), "d0.3": (None, None, "组3")}
