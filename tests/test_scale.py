@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.functions.text import terms
-from quarry.operators import stored
+from quarry.operators import index, stored
 from quarry.storage import fresh_dir
 
 
@@ -25,6 +25,17 @@ def test_terms_are_cut_once_and_no_row_carries_its_text(spark):
     assert [r[1:3] for r in found if r[0] == 1] == [("ab", 1), ("字語", 1), ("漢", 1), ("漢字", 1)]
     assert [r[1] for r in found if r[0] == 2] == ["⺀", "\U00020000"] and {r[0] for r in found} == {0, 1, 2}
     read = spark.createDataFrame(texts, "pos long, doc_id string, text string").repartition(1)
-    assert optimized(stored.term_counts(read)).count("regexp_extract_all") == optimized(read.select(terms(F.col("text")))).count("regexp_extract_all")
+    assert optimized(stored.term_counts(read)).count("regexp_extract_all") == optimized(read.select(terms(F.col("text")).alias("t"))).count("regexp_extract_all")
     generate = next(line for line in stored.term_counts(read)._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line)
     assert generate.count("s#") == 0, generate
+
+
+def test_scores_are_summed_where_postings_meet_without_a_shuffle_of_contributions(spark):
+    own = made_index(spark, ["aa bb cc", "aa aa bb", "cc dd", "bb"])
+    asked = spark.createDataFrame([("q1", "aa bb"), ("q2", "bb cc zz")], "query_id string, query string")
+    scores = stored.bm25(own, asked)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and plan.count("Exchange hashpartitioning(pos") == 1
+    chunks = own.chunks
+    wanted = {(r.query_id, r.pos): round(r.score, 9) for r in index.bm25(chunks, asked).collect()}
+    assert {(r.query_id, r.pos): round(r.score, 9) for r in scores.collect()} == wanted
