@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from quarry.functions.text import terms
-from quarry.operators import index, rounds, stored
+from quarry.operators import directory_tree, index, rounds, stored
 from quarry.storage import fresh_dir
 
 
@@ -54,3 +54,11 @@ def test_a_term_is_looked_for_in_the_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(rounds, "occurrences", None)  # texts are not read for terms
     calls = spark.createDataFrame([("q", 1, "grep", "an")], "query_id string, turn int, tool string, argument string")
     assert sorted(r.pos for r in rounds.executed(own, calls, probed=3).collect()) == [0, 1, 2]
+
+
+def test_terms_are_weighed_only_for_clusters(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"a/b{i % 2}/{i}.txt") for i in range(6)], "doc_id string, path string")
+    counts = docs.select("doc_id", F.lit("t").alias("term"), F.lit(1).alias("tf"))
+    monkeypatch.setattr(directory_tree, "weights", None)
+    nodes, leaves = directory_tree.build(docs, counts, leaf=10)
+    assert nodes.count() == 3 and leaves.count() == 6
