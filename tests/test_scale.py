@@ -62,3 +62,11 @@ def test_terms_are_weighed_only_for_clusters(spark, monkeypatch):
     monkeypatch.setattr(directory_tree, "weights", None)
     nodes, leaves = directory_tree.build(docs, counts, leaf=10)
     assert nodes.count() == 3 and leaves.count() == 6
+
+
+def test_cosines_are_held_a_slice_at_a_time(spark, monkeypatch):
+    rows = spark.range(60).select(F.col("id").alias("pos"), F.array(*[F.cos(F.col("id") * k) for k in (1, 2, 3)]).alias("embedding"))
+    asked = rows.where("pos % 5 = 0").select(F.concat(F.lit("q"), "pos").alias("query_id"), F.col("embedding").alias("query_vector"))
+    whole = {tuple(r) for r in index.dense(rows, asked, 4).collect()}
+    monkeypatch.setattr(index, "SCORES", 100)
+    assert {tuple(r) for r in index.dense(rows, asked, 4).collect()} == whole and len({r[0] for r in whole}) == 12
