@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import terms
 from quarry.operators import directory_tree, index, rounds, stored
-from quarry.storage import fresh_dir
+from quarry.storage import fresh_dir, spread, written
 
 
 def made_index(spark, texts):
@@ -70,3 +70,10 @@ def test_cosines_are_held_a_slice_at_a_time(spark, monkeypatch):
     whole = {tuple(r) for r in index.dense(rows, asked, 4).collect()}
     monkeypatch.setattr(index, "SCORES", 100)
     assert {tuple(r) for r in index.dense(rows, asked, 4).collect()} == whole and len({r[0] for r in whole}) == 12
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark):
+    one = written(spark.range(1000).select(F.col("id").alias("pos")).coalesce(1), "one")
+    assert spread(one, "pos").rdd.getNumPartitions() >= 4
+    even = written(spark.range(0, 1000, 1, 4).select(F.col("id").alias("pos")), "even")
+    assert spread(even, "pos") is even or spread(even, "pos").count() == 1000
