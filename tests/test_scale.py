@@ -77,3 +77,32 @@ def test_a_file_of_one_row_group_is_dealt_out(spark):
     assert spread(one, "pos").rdd.getNumPartitions() >= 4
     even = written(spark.range(0, 1000, 1, 4).select(F.col("id").alias("pos")), "even")
     assert spread(even, "pos") is even or spread(even, "pos").count() == 1000
+
+
+def test_clusters_are_those_of_plain_k_means_and_centroids_are_never_joined_with_postings(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    w = np.round(rng.random((40, 12)) * (rng.random((40, 12)) < 0.25), 3)
+    w[7] = 0
+    group = [f"g{i % 3}" for i in range(40)]
+    members = spark.createDataFrame([(group[i], f"d{i:02}") for i in range(40)], "nid string, doc_id string")
+    weighed = spark.createDataFrame([(f"d{i:02}", f"t{t}", float(w[i, t])) for i in range(40) for t in range(12) if w[i, t]], "doc_id string, term string, w double")
+    wanted = {}
+    for g in ("g0", "g1", "g2"):
+        ids = [i for i in range(40) if group[i] == g]
+        own, centroids, part = w[ids], w[ids][[c * (len(ids) // 4) for c in range(4)]], None
+        for _ in range(8):
+            size = np.outer(np.linalg.norm(own, axis=1), np.linalg.norm(centroids, axis=1))
+            cosine = np.round(np.divide(own @ centroids.T, size, out=np.zeros_like(size), where=size > 0), 12)
+            now = cosine.argmax(1)
+            if part is not None and (now == part).all():
+                break
+            part = now
+            centroids = np.stack([own[part == c].mean(0) if (part == c).any() else centroids[c] for c in range(4)])
+        order = sorted(set(part.tolist()), key=lambda c: (-(part == c).sum(), c))
+        wanted |= {(g, f"d{i:02}"): order.index(p) for i, p in zip(ids, part.tolist(), strict=True)}
+    labels, put = [], directory_tree.written
+    monkeypatch.setattr(directory_tree, "written", lambda df, label: labels.append(label) or put(df, label))
+    assert {(r.nid, r.doc_id): r.part for r in directory_tree.split_groups(members, weighed, 4).collect()} == wanted
+    assert "centroids" not in labels
