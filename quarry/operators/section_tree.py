@@ -10,6 +10,7 @@ from quarry.functions.text import first_sentence, heading_title, strip, terms, t
 from quarry.operators.chunking import heading_levels
 from quarry.operators.index import B, K1, RRF, idf, query_terms
 from quarry.operators.prefix import numbered
+from quarry.operators.sequential import in_order
 from quarry.storage import written
 
 #: Defaults of a search: hits, documents that are descended into, children followed, passages of a document, levels; what a parent's score is worth one level down.
@@ -28,19 +29,20 @@ def anchors(chunks: DataFrame) -> DataFrame:
     levels = heading_levels(chunks).select("doc_id", "pos", "tree_level")
     rows = chunks.where(strip(F.col("text")) != "").join(levels, ["doc_id", "pos"], "left").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk_id", "tree_level")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(doc_id: str, found: list[dict]) -> list[dict]:
         chain, nodes, out = [("n0", 0)], 0, []
-        for k, r in enumerate(pdf.sort_values("pos").itertuples(index=False)):
-            heading = not pd.isna(r.tree_level)
+        for k, r in enumerate(found):
+            heading = r["tree_level"] is not None
             if heading:
-                chain = chain[:1] + [n for n in chain[1:] if n[1] < r.tree_level]
+                chain = chain[:1] + [n for n in chain[1:] if n[1] < r["tree_level"]]
                 nodes += 1
-                chain = [*chain, (f"n{nodes}", min(int(r.tree_level), chain[-1][1] + 1))]
+                chain = [*chain, (f"n{nodes}", min(r["tree_level"], chain[-1][1] + 1))]
             nid, level = chain[-1]
-            out.append((key[0], r.pos, r.chunk_id, nid, f"a{k + 1:04d}", heading, level, chain[-2][0] if len(chain) > 1 else None, [n for n, _ in chain]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANCHOR.split(", ")])
+            at = {"doc_id": doc_id, "pos": r["pos"], "chunk_id": r["chunk_id"], "nid": nid, "aid": f"a{k + 1:04d}"}
+            out.append(at | {"heading": heading, "level": level, "parent": chain[-2][0] if len(chain) > 1 else None, "path": [n for n, _ in chain]})
+        return out
 
-    return rows.groupBy("doc_id").applyInPandas(run, ANCHOR)
+    return in_order(rows, "doc_id", "pos", run, ANCHOR)
 
 
 def nodes(anchored: DataFrame, chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import answers, directory_tree, index, section_tree
+from quarry.operators import answers, chunking, directory_tree, index, section_tree
 
 CHUNK = "doc_id string, pos long, chunk_id string, block_type string, text string, level int, font_size double"
 
@@ -53,6 +53,25 @@ def test_section_search(spark, handbook):
     assert only and {r["source"] for r in only} == {"tree"}
 
 
+def test_documents_share_batches(spark, handbook):
+    """Chunks and trees of many documents come out of one pass over sorted rows, not of a group in pandas for each; batches end within documents."""
+    blocks = [(f"d{n}", k, 1, "Title" if k % 3 == 0 else "Text", f"Block {k} of document {n} holds some words", 1 + k // 3 if k % 3 == 0 else None, 0.0, [0.0] * 4) for n in range(7) for k in range(5)]
+    b = spark.createDataFrame(blocks, "doc_id string, pos int, page_num int, block_type string, text string, level int, font_size double, bbox array<double>").repartition(3)
+    made = {"chunks": chunking.to_chunks(b), "anchors": section_tree.anchors(handbook)}
+    for found in made.values():
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    whole = {name: sorted(map(str, found.collect())) for name, found in made.items()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        assert {name: sorted(map(str, found.collect())) for name, found in made.items()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    of = {n: made["chunks"].where(F.col("doc_id") == f"d{n}").orderBy("chunk_id").collect() for n in range(7)}
+    assert all([(r["block_type"], r["n_blocks"], r["level"]) for r in rows] == [("Section", 3, 1), ("Section", 2, 2)] for rows in of.values())
+    assert of[6][1]["text"].startswith("Block 3 of document 6") and of[6][1]["merged_from"] == ["b00004"]
+
+
 def test_descent_and_picks():
     children = {"n0": [("n1", 0.0), ("n2", 2.0), ("n3", 1.0)], "n2": [("n4", 0.0), ("n5", 0.0)]}
     reached = section_tree.descend(children, {"n0", "n4"})
