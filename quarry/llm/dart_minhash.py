@@ -9,10 +9,12 @@ is the signature, and two documents agree in a coordinate with a probability tha
 
 Documents with equal sets are one class before any joining. Twice, one class of every bucket of a band asks all others there, and the links
 found are contracted to components at once: a group of near copies, however large, is one component after that, for pairs in proportion
-to its members. What is left are buckets whose classes are of several components. Of those classes, all that are still apart are compared
+to its members. It is the class whose buckets are the fullest: of near copies those that lie in the middle are near to most others, and few are apart after they have asked.
+What is left are buckets whose classes are of several components. Of those classes, all that are still apart are compared
 by prefixes: among sets ordered from the rarest element on, two of similarity ``t`` share one of the first ``n - ceil(t n) + 1`` elements of each. So classes
-meet by the elements of their prefixes; within an element's list those outside its largest component ask all others. Members that are unlike
-all others have rare elements of their own there, and do not meet: the work does not grow with the square of their number, and no link of two classes that share a band is lost.
+meet by the elements of their prefixes; within an element's list those outside its largest component ask all others, and two that share several elements
+meet in the list of the least of them alone. Members that are unlike
+all others have rare elements of their own there, and do not meet: no link of two classes that share a band is lost.
 
 Pairs are compared by their whole sets, but for those that the sizes or the parity maps of the sets rule out (both bounds are exact).
 
@@ -288,25 +290,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _pairs(members: DataFrame, asking: DataFrame, by: str, threshold: float) -> DataFrame:
+def _pairs(members: DataFrame, asking: DataFrame, by: str, threshold: float, once: bool = False) -> DataFrame:
     """``a, b``: each class that asks (``by, b, root_b, parity_b, n``) with all members (``by, class, root, parity, n``) of its list that are of
-    another component and may be near. A list is dealt out over one task for each ``SALTED`` of its ``n`` members."""
+    another component and may be near. A list is dealt out over one task for each ``SALTED`` of its ``n`` members.
+
+    ``once``: members and those that ask hold the ``prefix`` of lists they are in, and all outside the largest component (``outside``) ask. Two then meet in the first of
+    their lists alone; of two that both ask, the lesser class is asked.
+    """
     parts = F.ceil(F.col("n") / SALTED).cast("int")
     dealt = members.withColumn("salt", F.pmod(F.xxhash64("class"), parts).cast("int")).drop("n")
     asks = asking.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    met = dealt.join(asks, [by, "salt"]).where((F.col("root") != F.col("root_b")) & may_be_near("parity", "parity_b", threshold))
-    return met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-
-
-def _mains(placed: DataFrame, by: str) -> DataFrame:
-    """``by, n, main, first``: of each list with classes of several components its size, its largest component, and a class outside that."""
-    parts = placed.groupBy(by, "root").agg(F.count("*").alias("n"), F.min("class").alias("least"))
-    out = parts.groupBy(by).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.min(F.struct("n", "root", "least"))["least"].alias("first"))
+    near = (F.col("root") != F.col("root_b")) & may_be_near("parity", "parity_b", threshold)
+    if once:
+        near = (~F.col("outside") | (F.col("class") < F.col("b"))) & near & (F.array_min(F.array_intersect("prefix", "prefix_b")) == F.col(by))
+    met = dealt.join(asks, [by, "salt"]).where(near)
+    pairs = met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
+    return pairs if once else pairs.distinct()
+
+
+def _mains(placed: DataFrame, by: str, turn: int = 0) -> DataFrame:
+    """``by, n, main, first``: of each list with classes of several components its size, its largest component, and a class that shares much with others: the one of
+    most ``weight``, from the second turn on with up to a quarter more by a hash, so that another one has its turn."""
+    key = F.col("weight") * (1 + F.pmod(F.xxhash64("class", F.lit(turn)), 1024) / 4096) if turn else F.col("weight").cast("double")
+    parts = placed.groupBy(by, "root").agg(F.count("*").alias("n"), F.max(F.struct(key.alias("w"), "class")).alias("top"))
+    out = parts.groupBy(by).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.max("top")["class"].alias("first"))
     return out.where(F.col("n") > F.col("main.n")).select(by, "n", F.col("main.root").alias("main"), "first")
 
 
 def _prefixes(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``e, class, root, parity``: the prefixes of the sets of ``apart`` (``class, root, parity``), without elements that one set alone has."""
+    """``e, class, prefix`` and what ``apart`` (``class, parity`` and more) has: the prefixes of its sets, without elements that one set alone has."""
     size = F.col("parity")[PARITY // 64]
     held = apart.join(sets, "class").select("class", F.explode("elements").alias("e"))
     often = held.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
@@ -316,7 +328,7 @@ def _prefixes(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     alone = F.col("size") - F.count("*").over(own)
     prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-6) + 1
     ranked = ranked.withColumns({"rank": F.row_number().over(own.orderBy("df", "e")), "room": prefix - alone}).where(F.col("rank") <= F.col("room"))
-    return ranked.select("e", "class").join(apart, "class")
+    return ranked.select("e", "class", F.collect_list("e").over(own).alias("prefix")).join(apart, "class")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
@@ -329,9 +341,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     classes = written(signed.where(F.col("class").isNotNull()).groupBy("class").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("parity").alias("parity")), "classes")
     keys = classes.select("class", F.explode("bands").alias("band"))
     # Only buckets with two classes or more go on.
-    shared = written(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    shared = written(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = written(keys.join(shared, "band"), "members")
-    asked = written(members.select("class").distinct().join(classes, "class").select("class", F.col("first.k").alias("k1"), F.col("first.f").alias("f1")), "asked")
+    fullest = members.groupBy("class").agg(F.sum("n").alias("weight"))
+    asked = written(fullest.join(classes, "class").select("class", "weight", "parity", F.col("first.k").alias("k1"), F.col("first.f").alias("f1")), "asked")
 
     def make():
         shingler = Shingler()
@@ -344,10 +357,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         return each
 
     texts = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("f", F.xxhash64("t"))
-    asked_texts = texts.join(broadcast_if_small(asked), F.col("k").eqNullSafe(F.col("k1")) & (F.col("f") == F.col("f1"))).select("class", "t").dropDuplicates(["class"])
+    asked_texts = texts.join(broadcast_if_small(asked.select("class", "k1", "f1")), F.col("k").eqNullSafe(F.col("k1")) & (F.col("f") == F.col("f1"))).select("class", "t").dropDuplicates(["class"])
     sets = written(arrow_map(asked_texts, make, "class binary, elements array<long>"), "sets")
-    roots = written(asked.join(classes.select("class", "parity"), "class").select("class", F.col("class").alias("root"), "parity"), "roots")
-    waiting, compared = members, None
+    roots = written(asked.select("class", F.col("class").alias("root"), "parity", "weight"), "roots")
+    waiting, compared = members.select("band", "class"), None
 
     def contracted(pairs: DataFrame, roots: DataFrame, compared: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Components after the links among pairs that were not compared before, and all pairs compared."""
@@ -355,25 +368,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         links = _links(pairs, sets, threshold)
         of_a, of_b = roots.select(F.col("class").alias("a"), F.col("root").alias("ra")), roots.select(F.col("class").alias("b"), F.col("root").alias("rb"))
         merged = components(links.join(of_a, "a").join(of_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        now = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("class", F.coalesce("now", "root").alias("root"), "parity"), "roots")
+        now = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("class", F.coalesce("now", "root").alias("root"), "parity", "weight"), "roots")
         discard(merged, roots)
         return now, pairs if compared is None else compared.unionByName(pairs)
 
-    def apart(waiting: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members of buckets with several components: ``band, class, root, parity, n, main, first``."""
+    def apart(waiting: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+        """Members of buckets with several components: ``band, class, root, parity, weight, n, main, first``."""
         placed = waiting.join(roots, "class")
-        return written(placed.join(_mains(placed, "band"), "band"), "placed")
+        return written(placed.join(_mains(placed, "band", turn), "band"), "placed")
 
-    for _ in range(2):
-        placed = apart(waiting, roots)
+    for turn in range(2):
+        placed = apart(waiting, roots, turn)
         asking = placed.where(F.col("class") == F.col("first")).select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), "n")
         roots, compared = contracted(_pairs(placed.select("band", "class", "root", "parity", "n"), asking, "band", threshold), roots, compared)
         waiting = placed.select("band", "class")
-    left = written(apart(waiting, roots).select("class", "root", "parity").dropDuplicates(["class"]), "apart")
+    left = written(apart(waiting, roots, 2).select("class", "root", "parity", "weight").dropDuplicates(["class"]), "apart")
     prefixes = written(_prefixes(left, sets, threshold), "prefixes")
-    listed = written(prefixes.join(_mains(prefixes, "e"), "e").drop("first"), "listed")
-    asking = listed.where(F.col("root") != F.col("main")).select("e", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), "n")
-    roots, _ = contracted(_pairs(listed.drop("main"), asking, "e", threshold), roots, compared)
+    listed = written(prefixes.join(_mains(prefixes, "e"), "e").withColumn("outside", F.col("root") != F.col("main")).drop("main", "first", "weight"), "listed")
+    asking = listed.where("outside").select("e", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), F.col("prefix").alias("prefix_b"), "n")
+    roots, _ = contracted(_pairs(listed, asking, "e", threshold, once=True), roots, compared)
     named = classes.select("class", "first").join(roots.select("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
     group = named.groupBy("root").agg(F.min("first").alias("group"))
     named = named.join(group, "root").select("class", F.col("group.k").alias("class_id"), F.col("group.f").alias("first_fingerprint"))

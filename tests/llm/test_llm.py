@@ -274,6 +274,54 @@ def test_op10_registered_query_against_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in dart_minhash.op10_near_duplicates(spark, "/root/testdata/sf0.01").collect()} == want
 
 
+def test_the_class_in_the_middle_asks_and_two_classes_meet_once(spark):
+    words = dart_minhash.PARITY // 64
+    rows = [("a", 1, [3, 4, 5]), ("b", 9, [3, 4, 5]), ("c", 5, [4, 5]), ("d", 2, [5])]
+    placed = spark.createDataFrame([(e, bytearray(c.encode()), bytearray(c.encode()), [0] * words + [10], w, own) for c, w, own in rows for e in own], "e long, class binary, root binary, parity array<long>, weight long, prefix array<long>")
+    mains = dart_minhash._mains(placed, "e")
+    assert {r["e"]: bytes(r["first"]) for r in mains.collect()} == {3: b"b", 4: b"b", 5: b"b"}
+    listed = placed.join(mains, "e").withColumn("outside", F.col("root") != F.col("main")).drop("main", "first", "weight")
+    asking = listed.where("outside").select("e", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), F.col("prefix").alias("prefix_b"), "n")
+    met = sorted(bytes(r["a"]) + bytes(r["b"]) for r in dart_minhash._pairs(listed, asking, "e", 0.8, once=True).collect())
+    assert met == [b"ab", b"ac", b"ad", b"bc", b"bd", b"cd"]
+
+
+def test_near_copies_at_the_threshold_are_compared_with_those_in_the_middle(spark, monkeypatch):
+    """A large group of copies with up to four words changed: pairs compared in proportion to its members, met once each, and no link lost."""
+    draw = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(146)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in draw.choice(146, i % 5, replace=False):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    sets = [dart_minhash.Shingler()(t)[0] for t in texts]
+    root = list(range(300))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(300):
+        for j in range(i):
+            if dart_minhash.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    met, pairs_of = [], dart_minhash._pairs
+
+    def counted(*args, **kw):
+        pairs = pairs_of(*args, **kw)
+        met.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(dart_minhash, "_pairs", counted)
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(300)}
+    assert all(n == distinct for n, distinct in met) and sum(n for n, _ in met) <= 3 * 300, met
+
+
 def test_darts_estimate_weighted_similarity():
     dart, draw = dart_minhash.DartMinHash(400), np.random.default_rng(5)
     ids = draw.integers(0, 2**63, 300).astype(np.uint64)
