@@ -15,6 +15,8 @@ by prefixes: among sets ordered from the rarest element on, two of similarity ``
 meet by the elements of their prefixes; within an element's list those outside its largest component ask all others, and two that share several elements
 meet in the list of the least of them alone. Members that are unlike
 all others have rare elements of their own there, and do not meet: no link of two classes that share a band is lost.
+A row of a list carries, of the lists its class is in, those up to its own alone; lists whose classes are all of one component are left out before, and elements
+are known there by half their bits: two that are taken for one share a list, so that more classes meet, and none is missed.
 
 Pairs are compared by their whole sets, but for those that the sizes or the parity maps of the sets rule out (both bounds are exact).
 
@@ -294,7 +296,7 @@ def _pairs(members: DataFrame, asking: DataFrame, by: str, threshold: float, onc
     """``a, b``: each class that asks (``by, b, root_b, parity_b, n``) with all members (``by, class, root, parity, n``) of its list that are of
     another component and may be near. A list is dealt out over one task for each ``SALTED`` of its ``n`` members.
 
-    ``once``: members and those that ask hold the ``prefix`` of lists they are in, and all outside the largest component (``outside``) ask. Two then meet in the first of
+    ``once``: members and those that ask hold the ``prefix`` of lists they are in, as far as this one, and all outside the largest component (``outside``) ask. Two then meet in the first of
     their lists alone; of two that both ask, the lesser class is asked.
     """
     parts = F.ceil(F.col("n") / SALTED).cast("int")
@@ -318,17 +320,34 @@ def _mains(placed: DataFrame, by: str, turn: int = 0) -> DataFrame:
 
 
 def _prefixes(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``e, class, prefix`` and what ``apart`` (``class, parity`` and more) has: the prefixes of its sets, without elements that one set alone has."""
-    size = F.col("parity")[PARITY // 64]
-    held = apart.join(sets, "class").select("class", F.explode("elements").alias("e"))
+    """``no, prefix``: of each set of ``apart`` (written: ``no, class, parity`` and more) its prefix, without elements that one set alone has.
+
+    An element is known by its upper 32 bits. The order is one of those numbers, and sets that share an element of their prefixes share its number.
+    """
+    number = F.transform("elements", lambda e: F.shiftright(e, 32).cast("int"))
+    held = sets.join(broadcast_if_small(apart.select("class", "no")), "class").select("no", F.explode(number).alias("e"))
     often = held.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = held.join(often, "e").join(apart.select("class", size.alias("size")), "class")
-    own = Window.partitionBy("class")
+    ranked = held.join(often, "e").join(apart.select("no", F.col("parity")[PARITY // 64].alias("size")), "no")
+    own = Window.partitionBy("no")
     # Elements of one set alone stand first in its order; they are counted, not listed.
     alone = F.col("size") - F.count("*").over(own)
     prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-6) + 1
     ranked = ranked.withColumns({"rank": F.row_number().over(own.orderBy("df", "e")), "room": prefix - alone}).where(F.col("rank") <= F.col("room"))
-    return ranked.select("e", "class", F.collect_list("e").over(own).alias("prefix")).join(apart, "class")
+    return ranked.groupBy("no").agg(F.collect_set("e").alias("prefix"))
+
+
+def _lists(prefixes: DataFrame, apart: DataFrame) -> DataFrame:
+    """``class, root, parity, lists``: of each set of ``apart`` the elements of its prefix whose lists hold several components, in order (``e, n, outside``): the
+    size of the list, and whether the set is outside its largest component."""
+    placed = prefixes.join(apart, "no").select(F.explode("prefix").alias("e"), F.col("no").alias("class"), "root", "weight")
+    in_list = placed.join(_mains(placed, "e").select("e", "n", "main"), "e").select(F.col("class").alias("no"), F.struct("e", "n", (F.col("root") != F.col("main")).alias("outside")).alias("list"))
+    return in_list.groupBy("no").agg(F.sort_array(F.collect_list("list")).alias("lists")).join(apart, "no").select("class", "root", "parity", "lists")
+
+
+def _dealt(lists: DataFrame) -> DataFrame:
+    """``e, n, outside, class, root, parity, prefix``: a row for each list of each set; ``prefix`` goes no further than its own list, as it is asked for the first one shared."""
+    rows = lists.select("class", "root", "parity", F.col("lists.e").alias("all"), F.posexplode("lists").alias("at", "list"))
+    return rows.select("list.*", "class", "root", "parity", F.slice("all", F.lit(1), F.col("at") + 1).alias("prefix"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
@@ -336,15 +355,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     The group's first document is the one with that key and, among rows with the same key, the ``first_fingerprint`` of its text.
     """
-    signed = written(sign_documents(docs, key, text, counted), "signed")
+    signs = written(sign_documents(docs, key, text, counted), "signs")
     first = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("f").alias("f")))
-    classes = written(signed.where(F.col("class").isNotNull()).groupBy("class").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("parity").alias("parity")), "classes")
+    classes = written(signs.where(F.col("class").isNotNull()).groupBy("class").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("parity").alias("parity")), "classes")
+    signed = written(signs.select("k", "f", "class"), "signed")
+    discard(signs)
     keys = classes.select("class", F.explode("bands").alias("band"))
     # Only buckets with two classes or more go on.
     shared = written(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = written(keys.join(shared, "band"), "members")
+    members = written(keys.join(broadcast_if_small(shared), "band"), "members")
     fullest = members.groupBy("class").agg(F.sum("n").alias("weight"))
     asked = written(fullest.join(classes, "class").select("class", "weight", "parity", F.col("first.k").alias("k1"), F.col("first.f").alias("f1")), "asked")
+    firsts = written(classes.select("class", "first"), "firsts")
+    discard(shared, classes)
 
     def make():
         shingler = Shingler()
@@ -360,34 +383,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     asked_texts = texts.join(broadcast_if_small(asked.select("class", "k1", "f1")), F.col("k").eqNullSafe(F.col("k1")) & (F.col("f") == F.col("f1"))).select("class", "t").dropDuplicates(["class"])
     sets = written(arrow_map(asked_texts, make, "class binary, elements array<long>"), "sets")
     roots = written(asked.select("class", F.col("class").alias("root"), "parity", "weight"), "roots")
-    waiting, compared = members.select("band", "class"), None
+    discard(asked)
+    waiting, compared = members, None
 
     def contracted(pairs: DataFrame, roots: DataFrame, compared: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Components after the links among pairs that were not compared before, and all pairs compared."""
         pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        links = _links(pairs, sets, threshold)
+        # Sets are long and few of them are in pairs: the others are left out before any is shuffled.
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+        links = _links(pairs, sets.join(broadcast_if_small(ends), "class", "left_semi"), threshold)
         of_a, of_b = roots.select(F.col("class").alias("a"), F.col("root").alias("ra")), roots.select(F.col("class").alias("b"), F.col("root").alias("rb"))
         merged = components(links.join(of_a, "a").join(of_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         now = written(roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("class", F.coalesce("now", "root").alias("root"), "parity", "weight"), "roots")
-        discard(merged, roots)
+        discard(merged, roots, ends)
         return now, pairs if compared is None else compared.unionByName(pairs)
 
     def apart(waiting: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
         """Members of buckets with several components: ``band, class, root, parity, weight, n, main, first``."""
-        placed = waiting.join(roots, "class")
-        return written(placed.join(_mains(placed, "band", turn), "band"), "placed")
+        placed = waiting.select("band", "class").join(roots, "class")
+        return placed.join(_mains(placed, "band", turn), "band")
 
     for turn in range(2):
-        placed = apart(waiting, roots, turn)
+        placed = written(apart(waiting, roots, turn), "placed")
+        discard(waiting)
         asking = placed.where(F.col("class") == F.col("first")).select("band", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), "n")
         roots, compared = contracted(_pairs(placed.select("band", "class", "root", "parity", "n"), asking, "band", threshold), roots, compared)
-        waiting = placed.select("band", "class")
-    left = written(apart(waiting, roots, 2).select("class", "root", "parity", "weight").dropDuplicates(["class"]), "apart")
+        waiting = placed
+    left = written(apart(waiting, roots, 2).select("class", "root", "parity", "weight").dropDuplicates(["class"]).withColumn("no", F.monotonically_increasing_id()), "apart")
+    discard(waiting)
     prefixes = written(_prefixes(left, sets, threshold), "prefixes")
-    listed = written(prefixes.join(_mains(prefixes, "e"), "e").withColumn("outside", F.col("root") != F.col("main")).drop("main", "first", "weight"), "listed")
+    lists = written(_lists(prefixes, left), "lists")
+    discard(prefixes, left)
+    listed = _dealt(lists)
     asking = listed.where("outside").select("e", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), F.col("prefix").alias("prefix_b"), "n")
     roots, _ = contracted(_pairs(listed, asking, "e", threshold, once=True), roots, compared)
-    named = classes.select("class", "first").join(roots.select("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
+    discard(lists, sets)
+    named = firsts.select("class", "first").join(roots.select("class", "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
     group = named.groupBy("root").agg(F.min("first").alias("group"))
     named = named.join(group, "root").select("class", F.col("group.k").alias("class_id"), F.col("group.f").alias("first_fingerprint"))
     out = signed.select("k", "f", "class").join(named, "class", "left")

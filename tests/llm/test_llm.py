@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -322,6 +323,53 @@ def test_near_copies_at_the_threshold_are_compared_with_those_in_the_middle(spar
     assert all(n == distinct for n, distinct in met) and sum(n for n, _ in met) <= 3 * 300, met
 
 
+def test_op10_lists_and_links_carry_what_they_ask_for_and_tables_go_when_read(spark, monkeypatch):
+    """Texts alike in three quarters, which share bands and many elements and are no links, and a few near copies."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    shared_part = [word() for _ in range(52)]
+    docs = [shared_part + [word() for _ in range(8)] for _ in range(200)]
+    for k in range(20):
+        docs += [docs[k][:-1] + [word()] for _ in range(2)]
+    want = linked([{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs])
+    lists, ends, live, peak, firsts = [], [], {}, [], []
+    pairs_of, links_of, write, drop = dart_minhash._pairs, dart_minhash._links, dart_minhash.written, dart_minhash.discard
+
+    def pairs(members, asking, by, threshold, once=False):
+        if once:
+            lists.extend(members.select("e", "prefix", "root").collect())
+        return pairs_of(members, asking, by, threshold, once)
+
+    def links(met, sets, threshold):
+        ends.append((sets.count(), met.select(F.explode(F.array("a", "b"))).distinct().count()))
+        return links_of(met, sets, threshold)
+
+    def written(df, label):
+        out = write(df, label)
+        live[out._written_to] = sum(f.stat().st_size for f in Path(out._written_to.removeprefix("file:")).glob("*.parquet"))
+        firsts.append(live[out._written_to])
+        peak.append(sum(live.values()))
+        return out
+
+    def discard(*tables):
+        drop(*tables)
+        for t in tables:
+            live.pop(getattr(t, "_written_to", None), None)
+
+    for name, f in (("_pairs", pairs), ("_links", links), ("written", written), ("discard", discard)):
+        monkeypatch.setattr(dart_minhash, name, f)
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+    assert lists and all(r["prefix"][-1] == r["e"] for r in lists)
+    roots = collections.defaultdict(set)
+    for r in lists:
+        roots[r["e"]].add(bytes(r["root"]))
+    assert all(len(found) > 1 for found in roots.values())
+    assert ends and all(n == of for n, of in ends)
+    # With the signatures, the first table, all that is kept at any time.
+    assert max(peak) < 4 * firsts[0], (max(peak), firsts)
+
+
 def test_darts_estimate_weighted_similarity():
     dart, draw = dart_minhash.DartMinHash(400), np.random.default_rng(5)
     ids = draw.integers(0, 2**63, 300).astype(np.uint64)
