@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import arguments, directory_tree, evaluate, markup, patterns, stored
+from quarry.operators import arguments, directory_tree, evaluate, index, markup, patterns, stored
 from quarry.operators.stored_trees import TreeStore
 from quarry.plans.queries import ORACLE_SQL, PAGES, TOKENS, asked_passages, page_blocks, query, questions, read, text_index
 from quarry.plans.retrieval import FOLDERS, SCORED_FOLDERS, SENTENCES, block_sql, document_scores, folder_tree, item_parts, searched_sql
@@ -145,9 +145,9 @@ def dirtree_names(spark, d):
     """Every folder named by what sets it apart; documents in one of the languages have no title."""
     nodes, leaves = folder_tree(spark, d)
     own = text_index(spark, d)
-    weighed = written(directory_tree.weights(own.postings.select("doc_id", "term", "tf"), own.chunks.count()), "weights")
+    worth = own.df.select("term", index.idf(F.lit(own.chunks.count()), F.col("df")).alias("idf"))
     titles = own.chunks.where("lang <> 'de'").select("doc_id", F.concat("lang", F.lit(" report "), (F.col("pos") % 2).cast("string")).alias("name"))
-    return directory_tree.sibling_names(nodes, leaves, weighed, titles)
+    return directory_tree.sibling_names(nodes, leaves, own.postings, titles, worth=worth)
 
 
 # ---------------------------------------------------------------- answers

@@ -106,3 +106,40 @@ def test_clusters_are_those_of_plain_k_means_and_centroids_are_never_joined_with
     monkeypatch.setattr(directory_tree, "written", lambda df, label: labels.append(label) or put(df, label))
     assert {(r.nid, r.doc_id): r.part for r in directory_tree.split_groups(members, weighed, 4).collect()} == wanted
     assert "centroids" not in labels
+
+
+def test_names_meet_postings_once_and_rare_terms_apart(spark, monkeypatch):
+    import math
+    import random
+
+    from quarry import storage
+
+    random.seed(3)
+    texts = {f"d{i:02}": [f"t{min(int(random.expovariate(0.2)), 30)}" for _ in range(random.randint(3, 30))] for i in range(40)}
+    place = {x: f"d0.{1 + i % 3}.{1 + i % 2}" if i % 3 else "d0.1" for i, x in enumerate(texts)}
+    known = sorted({".".join(p.split(".")[:k]) for p in place.values() for k in range(1, p.count(".") + 2)})
+    nodes = spark.createDataFrame([(n, n.rpartition(".")[0] or None, n.count(".")) for n in known], "nid string, parent string, level int")
+    leaves = spark.createDataFrame([(p, x) for x, p in place.items()], "nid string, doc_id string")
+    counts = spark.createDataFrame([(x, t, w.count(t)) for x, w in texts.items() for t in set(w)], "doc_id string, term string, tf int")
+    idf = lambda n, df: math.log(1 + (n - df + 0.5) / (df + 0.5))
+    df = lambda docs: {t: sum(t in texts[x] for x in docs) for t in {t for x in docs for t in texts[x]}}
+    of_all, wanted = df(texts), {}
+    for n in known[1:]:
+        own = [x for x, p in place.items() if p == n or p.startswith(n + ".")]
+        here = df(own)
+        score = {x: sum(texts[x].count(t) * idf(40, of_all[t]) * idf(len(own), here[t]) for t in set(texts[x])) for x in own}
+        wanted[n] = " / ".join(sorted(own, key=lambda x: (-round(score[x], 9), x))[:2])
+    titles = leaves.select("doc_id", F.col("doc_id").alias("name"))
+    rows, put = {}, directory_tree.written
+
+    def noted(table, label):
+        out = put(table, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(directory_tree, "written", noted)
+    for room in (1 << 20, 3000, 0):
+        monkeypatch.setattr(storage, "BROADCAST_BYTES", room)
+        told = directory_tree.sibling_names(nodes, leaves, directory_tree.weights(counts, 40), titles)
+        assert {r.nid: r.titles for r in told.collect()} == wanted
+    assert max(rows.values()) <= counts.count()  # no row for each level above a posting
