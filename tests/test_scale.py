@@ -143,3 +143,23 @@ def test_names_meet_postings_once_and_rare_terms_apart(spark, monkeypatch):
         told = directory_tree.sibling_names(nodes, leaves, directory_tree.weights(counts, 40), titles)
         assert {r.nid: r.titles for r in told.collect()} == wanted
     assert max(rows.values()) <= counts.count()  # no row for each level above a posting
+
+
+def test_a_round_of_k_means_sums_many_documents_a_row(spark, monkeypatch):
+    members = spark.range(90).select(F.concat(F.lit("g"), F.col("id") % 2).alias("nid"), F.format_string("d%02d", "id").alias("doc_id"))
+    weighed = spark.range(900).select(F.format_string("d%02d", F.col("id") % 90).alias("doc_id"), F.concat(F.lit("t"), F.col("id") * 7 % 31).alias("term"), (1 + F.col("id") * 13 % 5).cast("double").alias("w"))
+    weighed = weighed.groupBy("doc_id", "term").agg(F.sum("w").alias("w"))
+    rows, put = {}, directory_tree.written
+
+    def noted(table, label):
+        out = put(table, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(directory_tree, "written", noted)
+    whole = {tuple(r) for r in directory_tree.split_groups(members, weighed, 3).collect()}
+    assert len(whole) == 90 and rows["products"] == 2 + 1
+    for name, n in (("HELD", 40), ("POSTINGS_IN_TASK", 60), ("SPAN", 7)):
+        monkeypatch.setattr(directory_tree, name, n)
+    assert {tuple(r) for r in directory_tree.split_groups(members, weighed, 3).collect()} == whole
+    assert rows["products"] == 2 + 13
